@@ -22,6 +22,7 @@ def ordered_scan(
     keys: list[str],
     order: list[str],
     chunk: list[Column],
+    attach: DataFrame | None = None,
     **scans: tuple,
 ) -> DataFrame:
     """Add one column per scan; ``order`` must be a total, ascending order.
@@ -31,7 +32,9 @@ def ordered_scan(
     ``("min_before", c)``, ``("max_before", c)`` over earlier rows;
     ``("last", c)`` latest non-null so far; ``("lag", c)``, ``("lead", c)``;
     ``("count",)``, ``("sum", c)``, ``("min", c)``, ``("max", c)`` of the whole
-    key.
+    key. ``attach`` is a frame of one row per key whose columns are added to
+    the rows (inner join); it meets the chunk summaries, not the rows, so a hot
+    key costs nothing.
     """
     ck = [f"__chunk{i}" for i in range(len(chunk))]
     df = df.withColumns(dict(zip(ck, chunk)))
@@ -84,7 +87,11 @@ def ordered_scan(
         else:
             raise ValueError(f"unknown scan {kind!r}")
 
+    if not summary:
+        summary = [F.count(F.lit(1)).alias("__rows")]
     states = df.groupBy(*keys, *ck).agg(*summary).withColumns(carried).select(*keys, *ck, *carried)
+    if attach is not None:
+        states = states.join(attach, keys)
     out = df.withColumns(rows) if rows else df
     out = out.join(states, [*keys, *ck])
     return out.withColumns(result).drop(*ck, *rows, *carried)

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators.joins import spread_join
 from lexiloom.operators.ordered import ordered_scan
+from lexiloom.session import cut_lineage
 
 FRAME_CHUNK = 1 << 16
 
@@ -132,11 +132,11 @@ def rank_boundaries(pauses: DataFrame, clips: DataFrame, clip: str = "clip", chu
         .otherwise("ranked_ok"),
     )
     shortness = pauses.withColumn("__short", F.col("start") - F.col("end"))
+    wanted = status.where(F.col("status") == "ranked_ok").select(clip, "n")
     ranked = ordered_scan(
-        shortness, [clip], ["__short", "start"], [F.col("__short"), F.floor(F.col("start") / chunk)], __rank=("number",)
+        shortness, [clip], ["__short", "start"], [F.col("__short"), F.floor(F.col("start") / chunk)], wanted, __rank=("number",)
     )
-    wanted = status.where(F.col("status") == "ranked_ok").select(clip, "n")
-    chosen = spread_join(ranked, wanted, [clip], spread_by=["start"]).where(F.col("__rank") <= F.col("n") - 1)
+    chosen = ranked.where(F.col("__rank") <= F.col("n") - 1)
     middles = chosen.select(clip, F.floor((F.col("start") + F.col("end")) / 2).alias("cut"))
     edges = status.select(clip, F.explode(F.array(F.lit(0).cast("long"), F.col("length").cast("long"))).alias("cut"))
     cuts = ordered_scan(middles.unionByName(edges), [clip], ["cut"], _chunk("cut", chunk), __i=("number",))
@@ -155,6 +155,7 @@ def build_segments(
     clip: str = "clip",
     frame_s: float = 0.001,
     confident: tuple[float, float] = CONFIDENT_SECONDS,
+    chunk: int = FRAME_CHUNK,
 ) -> DataFrame:
     """Segment rows between consecutive cuts.
 
@@ -171,12 +172,11 @@ def build_segments(
         clips = clips.withColumn("intro", F.lit(None).cast("string"))
     clips = clips.withColumn("__lead", F.when(F.coalesce("intro", F.lit("")) != "", 2).otherwise(0))
 
-    following = cuts.select(clip, (F.col("i") - 1).alias("i"), F.col("cut").alias("stop"))
-    pieces = spread_join(
-        cuts.join(following, [clip, "i"]),
+    pieces = ordered_scan(
+        cuts, [clip], ["i"], _chunk("i", chunk),
         clips.where(F.col("status") == "ranked_ok").select(clip, "intro", "n_sentences", "__lead"),
-        [clip], spread_by=["i"],
-    )
+        stop=("lead", "cut"),
+    ).where(F.col("stop").isNotNull())
     kind = F.when(F.col("i") >= F.col("__lead"), "sentence").when(F.col("i") == 0, "book_intro").otherwise("chapter_number_excluded")
     exact = (F.col("stop") - F.col("cut")) * frame_s
     outlier = ~exact.between(*confident)
@@ -239,17 +239,27 @@ def merge_runs(pieces: DataFrame, clip: str = "clip", lo: int = MERGE_MIN_MS, hi
     summaries gives every chunk its entering sum, and the chunks are then
     grouped independently.
     """
-    keyed = pieces.select(clip, F.col("idx").cast("long"), F.col("dur").cast("long").alias("dur")).withColumn(
+    keyed = cut_lineage(pieces.select(clip, F.col("idx").cast("long"), F.col("dur").cast("long").alias("dur")).withColumn(
         "__ch", F.floor(F.col("idx") / chunk)
-    )
+    ), "pieces")
     kt = pieces.schema[clip].dataType.simpleString()
 
     def head(pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.sort_values("idx")["dur"].to_numpy()
-        over = np.flatnonzero(np.cumsum(d) > hi)
+        before = np.concatenate([[0], np.cumsum(d)])
+        over = np.flatnonzero(before[1:] > hi)
         n = len(d) if not len(over) else min(len(d), int(over[0]) + 2)
-        left = [_walk(d[p:], None, lo, hi)[1] for p in range(n)]
-        return pd.DataFrame({clip: [pdf[clip].iloc[0]], "__ch": [pdf["__ch"].iloc[0]], "head": [d[:n]], "left": [left]})
+        # first piece at which a group started at each position is closed
+        closing = np.maximum.reduce([
+            np.searchsorted(before, before[:-1] + lo, side="left"),
+            np.searchsorted(before, before[:-1] + hi, side="right") - 1,
+            np.arange(1, len(d) + 1),
+        ])
+        left = before[-1] - before[:-1]
+        for p in range(len(d) - 1, -1, -1):
+            if closing[p] < len(d):
+                left[p] = left[closing[p]]
+        return pd.DataFrame({clip: [pdf[clip].iloc[0]], "__ch": [pdf["__ch"].iloc[0]], "head": [d[:n]], "left": [left[:n]]})
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__ch")
@@ -271,9 +281,9 @@ def merge_runs(pieces: DataFrame, clip: str = "clip", lo: int = MERGE_MIN_MS, hi
 
     heads = keyed.groupBy(clip, "__ch").applyInPandas(head, f"`{clip}` {kt}, __ch long, head array<long>, left array<long>")
     entered = heads.groupBy(clip).applyInPandas(carry, f"`{clip}` {kt}, __ch long, __open long")
-    flagged = keyed.join(entered, [clip, "__ch"]).groupBy(clip, "__ch").applyInPandas(
+    flagged = cut_lineage(keyed.join(entered, [clip, "__ch"]).groupBy(clip, "__ch").applyInPandas(
         starts, f"`{clip}` {kt}, idx long, dur long, __start long"
-    )
+    ), "groups")
     numbered = ordered_scan(flagged, [clip], ["idx"], _chunk("idx", chunk), __before=("sum_before", "__start"))
     return numbered.select(clip, "idx", "dur", (F.col("__before") + F.col("__start") - 1).alias("group_no"))
 
@@ -294,27 +304,27 @@ def assign_words(groups: DataFrame, words: DataFrame, clip: str = "clip", min_wo
     i is ``i + min(sum of earlier (share - 1), words - groups)``. A text with
     fewer words than groups fills no slice.
     """
+    sizes = words.select(clip, F.size("words").cast("long").alias("__w"))
     sized = ordered_scan(
-        groups, [clip], ["group_no"], _chunk("group_no", chunk),
+        groups, [clip], ["group_no"], _chunk("group_no", chunk), sizes,
         __i=("number",), __g=("count",), __total=("sum", "dur"),
     )
-    sizes = words.select(clip, F.size("words").cast("long").alias("__w"))
-    sized = spread_join(sized, sizes, [clip], spread_by=["group_no"])
     share = F.greatest(F.bround(F.col("__w") * (F.col("dur") / F.col("__total"))), F.lit(1.0)).cast("long")
     shared = ordered_scan(
-        sized.withColumn("__extra", share - 1), [clip], ["group_no"], _chunk("group_no", chunk), __s=("sum_before", "__extra")
+        sized.withColumn("__extra", share - 1), [clip], ["group_no"], _chunk("group_no", chunk),
+        words.select(clip, "words"), __s=("sum_before", "__extra"),
     )
     spare = F.col("__w") - F.col("__g")
     start = F.col("__i") - 1 + F.least(F.col("__s"), spare)
     stop = F.when(F.col("__i") == F.col("__g"), F.col("__w")).otherwise(
         F.col("__i") + F.least(F.col("__s") + F.col("__extra"), spare)
     )
-    slices = shared.where(spare >= 0).select(
-        clip, "group_no", "dur", start.alias("__from"), (stop - start).alias("n_words")
-    ).where(F.col("n_words") >= min_words)
-    return spread_join(slices, words, [clip], spread_by=["group_no"]).select(
-        clip, "group_no", "dur", "n_words",
-        F.array_join(F.slice("words", (F.col("__from") + 1).cast("int"), F.col("n_words").cast("int")), " ").alias("text"),
+    text = F.array_join(F.slice("words", (F.col("__from") + 1).cast("int"), F.col("n_words").cast("int")), " ")
+    return (
+        shared.where(spare >= 0)
+        .withColumn("__from", start).withColumn("n_words", stop - start)
+        .where(F.col("n_words") >= min_words)
+        .select(clip, "group_no", "dur", "n_words", text.alias("text"))
     )
 
 

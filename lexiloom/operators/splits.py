@@ -9,6 +9,7 @@ from lexiloom.functions.hashing import hash_key, uniform
 from lexiloom.functions.text import tokens
 from lexiloom.operators.joins import require_present, spread_join
 from lexiloom.operators.ordered import ordered_scan
+from lexiloom.session import cut_lineage
 
 
 def split_rows(df: DataFrame, key: list[str], test_ratio: float, seed: int = 42) -> DataFrame:
@@ -73,10 +74,10 @@ def leakage(train: DataFrame, test: DataFrame, key: str, text: str = "text", wid
     """
     sets = lambda df: shingle_sets(df, key, text, width)
     id_of = F.xxhash64("set")
-    tests = sets(test).withColumn("sid", F.struct(id_of.alias("h"), F.size("set").alias("n")))
-    trains = sets(train).groupBy("set").agg(F.lit(1).alias("__one")).select(
+    tests = cut_lineage(sets(test).withColumn("sid", F.struct(id_of.alias("h"), F.size("set").alias("n"))), "held-out-sets")
+    trains = cut_lineage(sets(train).select(
         F.struct(id_of.alias("h"), F.size("set").alias("n")).alias("tid"), F.col("set").alias("train_set")
-    )
+    ).groupBy("tid").agg(F.first("train_set").alias("train_set")), "train-sets")
     test_sets = tests.groupBy("sid").agg(F.first("set").alias("test_set"))
 
     occurrences = trains.select(F.explode("train_set").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
@@ -90,8 +91,8 @@ def leakage(train: DataFrame, test: DataFrame, key: str, text: str = "text", wid
             ident, F.col(elements), F.explode(F.slice(ordered, F.lit(1), length.cast("int"))).alias("e")
         )
 
-    train_prefix = prefixes(trains, "tid", "train_set").select("e", "tid")
-    test_prefix = prefixes(test_sets, "sid", "test_set").select("e", "sid")
+    train_prefix = cut_lineage(prefixes(trains, "tid", "train_set").select("e", "tid"), "train-prefixes")
+    test_prefix = cut_lineage(prefixes(test_sets, "sid", "test_set").select("e", "sid"), "held-out-prefixes")
     sized = (F.col("tid.n") >= F.col("sid.n") * threshold) & (F.col("sid.n") >= F.col("tid.n") * threshold)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def leakage(train: DataFrame, test: DataFrame, key: str, text: str = "text", wid
         )
 
     representative = train_prefix.groupBy("e").agg(F.min("tid").alias("tid"))
-    first = verified(test_prefix.join(representative, "e").where(sized))
+    first = cut_lineage(verified(test_prefix.join(representative, "e").where(sized)), "matched")
     rest = test_prefix.join(first, "sid", "left_anti")
     second = verified(rest.join(train_prefix, "e").where(sized))
     matched = first.unionByName(second).distinct().withColumn("leaked", F.lit(True))

@@ -169,7 +169,7 @@ def kept_share(spark, folder):
 
 
 @query("threshold_calibration", """
-SELECT 'l_quantity' AS metric, 0.05 AS prob, round(quantile_cont(l_quantity, 0.05), 6) AS value FROM lineitem
+SELECT 'l_quantity' AS metric, 0.05::DOUBLE AS prob, round(quantile_cont(l_quantity, 0.05), 6) AS value FROM lineitem
 UNION ALL SELECT 'l_extendedprice', 0.95, round(quantile_cont(l_extendedprice, 0.95), 6) FROM lineitem
 UNION ALL SELECT 'l_discount', 0.95, round(quantile_cont(l_discount, 0.95), 6) FROM lineitem""")
 def threshold_calibration(spark, folder):

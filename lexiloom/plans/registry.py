@@ -23,8 +23,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Tables whose rows are expensive, with the column they are dealt by.
+DEAL_BY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; one of long texts that has fewer scan splits than cores is dealt over the cores.
+
+    Such a table is smaller than one split per core, so the exchange is
+    bounded; a table of many splits is read as it lies.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in DEAL_BY and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, DEAL_BY[name])
+    return df
 
 
 # ---- SQL building blocks
@@ -34,7 +47,7 @@ def sql_tokens(col: str) -> str:
 
 
 def sql_marks(col: str) -> str:
-    return sql_tokens(rf"regexp_replace({col}, '([।॥,.!?“”‘’""()\\\[\]:;])', ' \1 ', 'g')")
+    return sql_tokens(rf'''regexp_replace({col}, '([।॥,.!?“”‘’"()\\\[\]:;])', ' \1 ', 'g')''')
 
 
 def sql_trim(col: str) -> str:
