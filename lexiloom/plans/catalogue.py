@@ -1,4 +1,6 @@
 """Importing this module registers every query."""
 
-from lexiloom.plans import profile_queries, segment_queries, split_queries, text_queries  # noqa: F401
-from lexiloom.plans.registry import QUERIES, SQL  # noqa: F401
+from lexiloom.plans import (
+    example_queries, profile_queries, segment_queries, split_queries, text_queries, vector_queries,
+)
+from lexiloom.plans.registry import QUERIES, SQL

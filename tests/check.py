@@ -22,13 +22,15 @@ def main(folder: str, names: list[str]) -> int:
         start = time.time()
         try:
             if name in sql:
-                problem = oracle.compare(queries[name](spark, folder), con, sql[name])
-                state = "ok" if problem is None else f"DIFF {problem}"
+                df = queries[name](spark, folder)
+                built = time.time() - start
+                problem = oracle.compare(df, con, sql[name])
+                state = f"({built + oracle.spark_seconds:.2f}s) " + ("ok" if problem is None else f"DIFF {problem}")
             else:
                 state = f"rows {queries[name](spark, folder).count()}"
         except Exception as e:  # noqa: BLE001  (the report names every failure)
             state = f"FAIL {type(e).__name__}: {str(e)[:1200]}"
-        bad += state.startswith(("DIFF", "FAIL"))
+        bad += ("DIFF" in state[:20] or state.startswith("FAIL"))
         print(f"{name:28s} {time.time() - start:6.2f}s {state}", flush=True)
     print("bad:", bad)
     return bad

@@ -7,10 +7,14 @@ import decimal
 import glob
 import math
 import os
+import time
 
 import duckdb
 
 
+spark_seconds = 0.0
+
+
 def connect(folder: str):
     con = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):
@@ -43,7 +47,10 @@ def kinds(names, records):
 
 def compare(df, con, sql) -> str | None:
     """None when equal, otherwise what differs."""
+    global spark_seconds
+    start = time.time()
     got = [tuple(r) for r in df.collect()]
+    spark_seconds = time.time() - start
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
