@@ -216,8 +216,8 @@ s AS (SELECT conv_id, turn, direction, n, coalesce(m, 0) AS m, greatest(len(h) -
 SQL_BLEU = f"""WITH {_sql_overlap(_sql_13a('hyp'), _sql_13a('ref'), 4)},
 t AS (SELECT direction, n, sum(m) AS m, sum(h) AS h, sum(r) AS r FROM s GROUP BY ALL),
 z AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY direction ORDER BY n) AS zeros FROM t),
-b AS (SELECT direction, max(h) AS h, max(r) AS r, max(m) AS any, min(h) AS least, avg(ln(CASE WHEN m > 0 THEN 100.0 * m / h ELSE 100.0 / (pow(2, zeros) * h) END)) AS p FROM z GROUP BY direction)
-SELECT direction, (SELECT count(*) FROM ({SQL_PAIRS}))::BIGINT AS n, round(CASE WHEN any = 0 OR least = 0 THEN 0 ELSE CASE WHEN h < r THEN exp(1 - r / h) ELSE 1 END * exp(p) END, 6)::DOUBLE AS bleu FROM b"""
+b AS (SELECT direction, max(h) AS h, max(r) AS r, max(m) AS hits, min(h) AS fewest, avg(ln(CASE WHEN m > 0 THEN 100.0 * m / h ELSE 100.0 / (pow(2, zeros) * h) END)) AS p FROM z GROUP BY direction)
+SELECT direction, (SELECT count(*) FROM ({SQL_PAIRS}))::BIGINT AS n, round(CASE WHEN hits = 0 OR fewest = 0 THEN 0 ELSE CASE WHEN h < r THEN exp(1 - r / h) ELSE 1 END * exp(p) END, 6)::DOUBLE AS bleu FROM b"""
 
 
 @query("corpus_bleu", SQL_BLEU)

@@ -111,11 +111,12 @@ def number_or_null(col: Column | str) -> Column:
 def scan_delimited(spark: SparkSession, path: str, columns: list[str], numeric: list[str] = (), sep: str = ",") -> DataFrame:
     """A headed CSV or TSV; every cell is text until the named columns are cast.
 
-    Columns are taken by header name, and one the file lacks reads as null.
+    Columns are taken by header name, and one the file lacks reads as null. An
+    empty cell is the empty text.
     """
     raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=False, quote='"', escape='"', emptyValue="")
     present = set(raw.columns)
-    cells = {c: F.col(f"`{c}`") if c in present else F.lit(None).cast("string") for c in columns}
+    cells = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in present else F.lit(None).cast("string") for c in columns}
     return raw.select(*[(number_or_null(v) if c in numeric else v).alias(c) for c, v in cells.items()])
 
 

@@ -63,7 +63,6 @@ def compare(df, con, sql) -> str | None:
         return f"types {[(k, a[k], b[k]) for k in a if a[k] != b[k]]}"
     left, right = rows(df.columns, got), rows(names, want)
     if left != right:
-        only_l = [x for x in left if x not in set(right)][:3]
-        only_r = [x for x in right if x not in set(left)][:3]
+        only_l, only_r = sorted(set(left) - set(right))[:3], sorted(set(right) - set(left))[:3]
         return f"values: spark {only_l} sql {only_r}"[:1500]
     return None
