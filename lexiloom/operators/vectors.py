@@ -45,11 +45,12 @@ def character_ngrams(word: Column | str, lo: int = 3, hi: int = 5) -> Column:
     word = F.col(word) if isinstance(word, str) else word
     padded = F.concat(F.lit("<"), word, F.lit(">"))
     size = F.length(padded)
-    grams = [
-        F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>"))
-        for n in range(lo, hi + 1)
-    ]
+
+    def of_size(n: int) -> Column:
+        spans = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(size >= n, spans).otherwise(F.array().cast("array<string>"))
+
+    grams = [of_size(n) for n in range(lo, hi + 1)]
     return F.array_distinct(F.concat(*grams))
 
 
