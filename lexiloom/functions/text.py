@@ -70,9 +70,13 @@ def _nfc_udf(text: pd.Series) -> pd.Series:
 
 
 def nfc(col: Column | str) -> Column:
-    """Canonical composition; pure-ASCII rows reach the Python worker as null."""
+    """Canonical composition.
+
+    No character below U+0300 changes under composition or combines with
+    another such, so rows without a higher one reach the Python worker as null.
+    """
     text = _c(col)
-    needs = F.when(text.rlike(r"[^\x00-\x7f]"), text)
+    needs = F.when(text.rlike(r"[^\x00-\u02ff]"), text)
     return F.coalesce(_nfc_udf(needs), text)
 
 

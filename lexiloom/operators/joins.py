@@ -23,13 +23,15 @@ def spread_join(
     how: str = "inner",
     spread_by: list[str] | None = None,
     salts: int = 64,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to one row per key without gathering a hot key in one task.
 
     Hot keys of the large side are dealt over ``salts`` sub-keys by a hash of
     the row (the same on a retry), and only their partners are replicated.
+    ``hot`` is the result of ``hot_keys`` where the same side is joined again.
     """
-    hot = F.broadcast(hot_keys(big, on))
+    hot = F.broadcast(hot_keys(big, on) if hot is None else hot)
     row = [F.col(c) for c in (spread_by or big.columns)]
     left = (
         big.join(hot, on, "left")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators.joins import judge_lexicon, spread_join
+from lexiloom.operators.joins import hot_keys, judge_lexicon, spread_join
 from lexiloom.operators.ordered import ordered_scan
 from lexiloom.session import cut_lineage
 
@@ -242,20 +242,20 @@ def normalise(counts: DataFrame) -> DataFrame:
 def translation_table(cells: DataFrame, key: list[str], rounds: int = 5) -> tuple[DataFrame, list[float]]:
     """(s, t, p) after EM rounds and the log likelihood entering each later round.
 
-    Cells and each round's table are cut from their lineage, so a lost
-    executor repeats one round at most.
+    Cells come from a written table; each round's table is written too, so a
+    lost executor repeats one round at most.
     """
-    cells = cut_lineage(cells)
-    table = cut_lineage(normalise(first_counts(cells)))
+    hot = cut_lineage(hot_keys(cells, ["s", "t"]), "hot-pairs")
+    table = cut_lineage(normalise(cut_lineage(first_counts(cells))))
     history = []
     for _ in range(rounds - 1):
-        weighted = spread_join(cells, table, ["s", "t"], spread_by=key).withColumn("__w", F.col("ns") * F.col("p"))
+        weighted = spread_join(cells, table, ["s", "t"], spread_by=key, hot=hot).withColumn("__w", F.col("ns") * F.col("p"))
         weighted = cut_lineage(weighted.select(*key, "s", "t", "nt", "total", "__w"))
         sums = weighted.groupBy(*key, "t", "nt", "total").agg(F.sum("__w").alias("__z"))
         history.append(sums.agg(F.sum(F.col("nt") * F.log(F.col("__z") / F.col("total")))).first()[0])
         shares = weighted.join(sums.select(*key, "t", "__z"), [*key, "t"])
         counts = shares.groupBy("s", "t").agg(F.sum(F.col("nt") * F.col("__w") / F.col("__z")).alias("c"))
-        table = cut_lineage(normalise(counts))
+        table = cut_lineage(normalise(cut_lineage(counts)))
     return table, history
 
 
@@ -269,7 +269,7 @@ def best_links(cells: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
 
 def align_words(pairs: DataFrame, key: list[str], a_tokens: Column, b_tokens: Column, rounds: int = 5) -> tuple[DataFrame, list[float]]:
     """Pair counts of the likeliest links after ``rounds`` of EM."""
-    cells = alignment_cells(pairs, key, a_tokens, b_tokens)
+    cells = cut_lineage(alignment_cells(pairs, key, a_tokens, b_tokens), "cells")
     table, history = translation_table(cells, key, rounds)
     return best_links(cells, table, key), history
 

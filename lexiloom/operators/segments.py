@@ -64,7 +64,7 @@ def chapter_sentences(routed: DataFrame, key: str = "chapter", terminators: str
         F.array_sort(F.collect_list(F.struct("line_no", "piece"))).alias("parts")
     )
     text = T.strip_space(F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["piece"]), " "), " {2,}", " "))
-    kept = joined.select(key, "__s", text.alias("text")).where(F.col("text") != "")
+    kept = cut_lineage(joined.select(key, "__s", text.alias("text")).where(F.col("text") != ""), "sentences")
     return ordered_scan(kept, [key], ["__s"], _chunk("__s"), num=("number",)).select(key, "num", "text")
 
 

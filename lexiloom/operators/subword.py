@@ -318,35 +318,42 @@ def to_joint(ids: Column | str, offset: int) -> Column:
     return F.transform(ids, lambda i: F.when(i < NATIVE_SPECIALS, UNK_ID).otherwise(i - NATIVE_SPECIALS + offset).cast("int"))
 
 
+def _spell(pieces: list[str]) -> str:
+    """Pieces as text, with runs of byte pieces put back together as UTF-8."""
+    out, held = [], bytearray()
+    for piece in pieces:
+        if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
+            held.append(int(piece[3:5], 16))
+            continue
+        out.append(held.decode("utf-8", "replace"))
+        held.clear()
+        out.append(piece)
+    out.append(held.decode("utf-8", "replace"))
+    return "".join(out).replace(SPACE_MARK, " ").lstrip(" ")
+
+
 def decode_ids(df: DataFrame, joint: DataFrame, key: list[str], ids: str = "ids", side: str = "side") -> DataFrame:
     """(key, text, dropped): the row's side decides which ids are pieces.
 
     Shared specials are skipped, ids of the other side dropped and counted,
-    and a row left without pieces reads ``(empty output)``. Consecutive byte
-    pieces are put back together as UTF-8.
+    and a row left without pieces reads ``(empty output)``. The vocabulary is
+    checked and broadcast, so no id crosses a shuffle.
     """
-    from lexiloom.operators.joins import spread_join
-
-    each = df.select(*key, F.col(side).alias("__side"), F.posexplode(ids).alias("__pos", "joint_id"))
-    named = spread_join(each, joint.select("joint_id", F.col("side").alias("__of"), "piece"), ["joint_id"], "left", spread_by=[*key, "__pos"])
-    mine = F.col("__of") == F.col("__side")
-    special = F.col("joint_id") < len(JOINT_SPECIALS)
-    parts = named.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(mine, F.struct("__pos", "piece")))).alias("__parts"),
-        F.count_if(~special & ~F.coalesce(mine, F.lit(False))).alias("dropped"),
-    )
-    joined = F.array_join(F.transform("__parts", lambda p: p["piece"]), "")
-    runs = F.regexp_extract_all(joined, F.lit("(?:<0x[0-9A-F]{2}>)+|<|[^<]+"), F.lit(0))
-    spelled = F.transform(runs, lambda r: F.when(
-        r.rlike("^(?:<0x[0-9A-F]{2}>)+$"), F.decode(F.unhex(F.regexp_replace(r, "<0x|>", "")), "UTF-8")
-    ).otherwise(r))
-    text = F.ltrim(F.replace(F.array_join(spelled, ""), F.lit(SPACE_MARK), F.lit(" ")))
-    out = df.select(*key).join(parts, key, "left").withColumn("dropped", F.coalesce("dropped", F.lit(0)))
-    return out.select(
-        *key,
-        F.when(F.coalesce(F.size("__parts"), F.lit(0)) > 0, text).otherwise("(empty output)").alias("text"),
-        "dropped",
-    )
+    rows = joint.select("joint_id", "side", "piece").limit(MAX_BROADCAST_PIECES + 1).collect()
+    if len(rows) > MAX_BROADCAST_PIECES:
+        raise ValueError(f"more than {MAX_BROADCAST_PIECES} pieces")
+    shared = joint.sparkSession.sparkContext.broadcast({(r.side, r.joint_id): r.piece for r in rows})
+
+    @F.pandas_udf(ST.StructType([ST.StructField("text", ST.StringType()), ST.StructField("dropped", ST.LongType())]))
+    def decode(sides: pd.Series, sequences: pd.Series) -> pd.DataFrame:
+        known, out = shared.value, []
+        for mine, sequence in zip(sides, sequences):
+            content = [i for i in sequence.tolist() if i >= len(JOINT_SPECIALS)]
+            pieces = [p for p in (known.get((mine, i)) for i in content) if p is not None]
+            out.append((_spell(pieces) if pieces else "(empty output)", len(content) - len(pieces)))
+        return pd.DataFrame(out, columns=["text", "dropped"])
+
+    return df.select(*key, decode(side, ids).alias("__d")).select(*key, "__d.text", "__d.dropped")
 
 
 def decoded_text(text: Column | str, dropped: Column | str) -> Column:

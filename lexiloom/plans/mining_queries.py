@@ -124,7 +124,8 @@ p AS (SELECT word, CASE WHEN regexp_matches(word, '^[a-z]+$') THEN array_to_stri
 
 
 def spoken(spark, folder):
-    return G.pronounce(G.pronunciation_vocabulary(documents(spark, folder, "text"), rules=LATIN_SOUNDS), LATIN_SOUNDS)
+    words = G.pronunciation_vocabulary(documents(spark, folder, "text"), rules=LATIN_SOUNDS)
+    return cut_lineage(G.pronounce(words, LATIN_SOUNDS), "lexicon")
 
 
 # consonants take the inherent vowel, vowels stand for themselves

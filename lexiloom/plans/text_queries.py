@@ -9,6 +9,7 @@ from lexiloom.operators import profile as P
 from lexiloom.plans.registry import (
     query, sql_marks, sql_pieces, sql_sentences, sql_tokens, sql_trim, table,
 )
+from lexiloom.session import cut_lineage
 from lexiloom.sources.files import split_lines
 
 STOP = "."
@@ -204,7 +205,7 @@ def routed(spark, folder):
     from lexiloom.operators.segments import route_lines
 
     lines = split_lines(documents(spark, folder, "doc_id", "text"), ["doc_id"]).withColumnRenamed("line", "text")
-    return route_lines(lines, "doc_id", T.LATIN_TRANSCRIPT)
+    return cut_lineage(route_lines(lines, "doc_id", T.LATIN_TRANSCRIPT), "transcripts")
 
 
 SQL_ROUTED = rf"""
