@@ -234,9 +234,9 @@ def first_counts(cells: DataFrame) -> DataFrame:
 
 
 def normalise(counts: DataFrame) -> DataFrame:
-    """(s, t, p): counts as probabilities of t given s."""
+    """(s, t, p): counts as probabilities of t given s. A source token has at most one row per target type here."""
     totals = counts.groupBy("s").agg(F.sum("c").alias("__z"))
-    return spread_join(counts, totals, ["s"], spread_by=["t"]).select("s", "t", (F.col("c") / F.col("__z")).alias("p"))
+    return counts.join(totals, "s").select("s", "t", (F.col("c") / F.col("__z")).alias("p"))
 
 
 def translation_table(cells: DataFrame, key: list[str], rounds: int = 5) -> tuple[DataFrame, list[float]]:
