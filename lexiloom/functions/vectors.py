@@ -20,7 +20,8 @@ def norm(a: Column | str) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null if either vector is zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def distance(a: Column | str, b: Column | str) -> Column:

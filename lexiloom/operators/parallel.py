@@ -295,7 +295,7 @@ def threshold_sweep(pairs: DataFrame, cuts=LEXICON_CUTS) -> DataFrame:
     clean = without_punctuation_pairs(pairs)
     row = clean.agg(F.count(F.lit(1)).alias("__all"), *[F.count_if(F.col("frequency") >= c).alias(f"c{c}") for c in cuts])
     return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).cast("long").alias("threshold"), F.col(f"c{c}").alias("pairs"), (F.col(f"c{c}") / F.col("__all") * 100).alias("pct"))
+        F.struct(F.lit(c).cast("long").alias("threshold"), F.col(f"c{c}").alias("pairs"), (F.try_divide(F.col(f"c{c}"), F.col("__all")) * 100).alias("pct"))
         for c in cuts])).alias("r")).select("r.*")
 
 
@@ -319,7 +319,7 @@ def lexicon_quality(pairs: DataFrame, reference: DataFrame) -> DataFrame:
     return row.select(
         "pairs", "in_reference", "agree",
         (F.try_divide("agree", "in_reference") * 100).alias("precision_pct"),
-        heads.alias("headwords"), "covered", (F.col("covered") / heads * 100).alias("coverage_pct"),
+        heads.alias("headwords"), "covered", (F.try_divide(F.col("covered"), heads) * 100).alias("coverage_pct"),
     )
 
 

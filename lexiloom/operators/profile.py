@@ -30,13 +30,13 @@ def corpus_stats(df: DataFrame, by: str, text: str = "text", ranges=T.DEVANAGARI
         F.sum(T.word_count(text)).alias("tokens"),
         F.avg(T.word_count(text)).alias("mean_length"),
         F.median(T.word_count(text)).alias("median_length"),
-        (F.sum(T.native_count(text, ranges)) / F.sum(T.non_space_count(text)) * 100).alias("script_pct"),
+        (F.try_divide(F.sum(T.native_count(text, ranges)), F.sum(T.non_space_count(text))) * 100).alias("script_pct"),
     )
     types = df.select(by, F.explode(T.tokens(text)).alias("__t")).groupBy(by).agg(F.countDistinct("__t").alias("types"))
     return (
         sizes.join(types, by, "left")
         .fillna(0, ["types"])
-        .withColumn("type_token_ratio", F.col("types") / F.col("tokens"))
+        .withColumn("type_token_ratio", F.try_divide("types", "tokens"))
     )
 
 
@@ -82,7 +82,7 @@ def coverage(chars: DataFrame, inventories: DataFrame) -> DataFrame:
     return hit.select(
         "candidate", "covered",
         total.alias("total"),
-        (F.col("covered") / total * 100).alias("covered_pct"),
+        (F.try_divide(F.col("covered"), total) * 100).alias("covered_pct"),
         (kinds - F.col("__kinds")).alias("missing_kinds"),
     )
 

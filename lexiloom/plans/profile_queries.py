@@ -84,7 +84,7 @@ SELECT unnest(['min', 'p5', 'p25', 'median', 'p75', 'p95', 'max']) AS point,
   round(unnest(quantile_cont(r, [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])), 6) AS value FROM r""")
 def length_ratio_profile(spark, folder):
     pairs = turn_pairs(spark, folder)
-    return P.ratio_profile(pairs, F.length("a_text") / F.length("b_text")).select("point", F.round("value", 6).alias("value"))
+    return P.ratio_profile(pairs, F.try_divide(F.length("a_text"), F.length("b_text"))).select("point", F.round("value", 6).alias("value"))
 
 
 @query("sentence_packing", f"""

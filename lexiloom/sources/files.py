@@ -181,7 +181,7 @@ def scan_wav_headers(spark: SparkSession, path: str) -> DataFrame:
     return (
         raw.select("path", file_stem("path").alias("stem"), _wav_udf(head).alias("h"))
         .select("path", "stem", "h.*")
-        .withColumn("duration_s", F.coalesce(F.col("frames") / F.col("rate"), F.lit(0.0)))
+        .withColumn("duration_s", F.coalesce(F.try_divide("frames", "rate"), F.lit(0.0)))
     )
 
 
