@@ -291,11 +291,11 @@ def filter_lexicon(pairs: DataFrame, threshold: int = LEXICON_MIN) -> DataFrame:
 
 
 def threshold_sweep(pairs: DataFrame, cuts=LEXICON_CUTS) -> DataFrame:
-    """(threshold, pairs, pct): what survives each cut of the punctuation-free pairs."""
+    """(threshold, pairs, pct): what survives each cut of the punctuation-free pairs; pct is NaN when there are none."""
     clean = without_punctuation_pairs(pairs)
     row = clean.agg(F.count(F.lit(1)).alias("__all"), *[F.count_if(F.col("frequency") >= c).alias(f"c{c}") for c in cuts])
     return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).cast("long").alias("threshold"), F.col(f"c{c}").alias("pairs"), (F.try_divide(F.col(f"c{c}"), F.col("__all")) * 100).alias("pct"))
+        F.struct(F.lit(c).cast("long").alias("threshold"), F.col(f"c{c}").alias("pairs"), F.coalesce(F.try_divide(F.col(f"c{c}"), F.col("__all")) * 100, F.lit(float("nan"))).alias("pct"))
         for c in cuts])).alias("r")).select("r.*")
 
 
