@@ -39,8 +39,15 @@ def word_count(col: Column | str) -> Column:
     return F.size(tokens(col))
 
 
+# The characters SPACE matches, for trimming without a regex.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_space(col: Column | str) -> Column:
-    return F.regexp_replace(_c(col), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_c(col), F.lit(SPACE_CHARS))
 
 
 def collapse_space(col: Column | str) -> Column:
@@ -176,16 +183,16 @@ def _ranges(ranges) -> str:
 
 
 def non_space_count(col: Column | str) -> Column:
-    return F.length(F.regexp_replace(_c(col), "[ \t\n]", ""))
+    return F.length(F.translate(_c(col), " \t\n", ""))
 
 
 def foreign_count(col: Column | str, ranges=DEVANAGARI_RANGES) -> Column:
     """Characters above ASCII and outside the ranges; ASCII is never foreign."""
-    return F.length(F.regexp_replace(_c(col), f"[\\x00-\\x7f{_ranges(ranges)}]", ""))
+    return F.length(F.regexp_replace(_c(col), f"[\\x00-\\x7f{_ranges(ranges)}]+", ""))
 
 
 def native_count(col: Column | str, ranges=DEVANAGARI_RANGES) -> Column:
-    return F.length(F.regexp_replace(_c(col), f"[^{_ranges(ranges)}]", ""))
+    return F.length(F.regexp_replace(_c(col), f"[^{_ranges(ranges)}]+", ""))
 
 
 def script_ratio(col: Column | str, ranges=DEVANAGARI_RANGES) -> Column:
