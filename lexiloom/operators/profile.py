@@ -25,12 +25,15 @@ def corpus_stats(df: DataFrame, by: str, text: str = "text", ranges=T.DEVANAGARI
     distinct length. Types are counted after (group, token) is deduplicated,
     first inside each task, then across tasks.
     """
-    sizes = df.groupBy(by).agg(
+    measured = df.select(
+        by, T.word_count(text).alias("__n"), T.native_count(text, ranges).alias("__native"), T.non_space_count(text).alias("__chars")
+    )
+    sizes = measured.groupBy(by).agg(
         F.count(F.lit(1)).alias("sentences"),
-        F.sum(T.word_count(text)).alias("tokens"),
-        F.avg(T.word_count(text)).alias("mean_length"),
-        F.median(T.word_count(text)).alias("median_length"),
-        (F.try_divide(F.sum(T.native_count(text, ranges)), F.sum(T.non_space_count(text))) * 100).alias("script_pct"),
+        F.sum("__n").alias("tokens"),
+        F.avg("__n").alias("mean_length"),
+        F.median("__n").alias("median_length"),
+        (F.try_divide(F.sum("__native"), F.sum("__chars")) * 100).alias("script_pct"),
     )
     types = df.select(by, F.explode(T.tokens(text)).alias("__t")).groupBy(by).agg(F.countDistinct("__t").alias("types"))
     return (
