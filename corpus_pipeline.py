@@ -8,8 +8,13 @@ from lexiloom.session import scratch_path
 from lexiloom.llm import stages
 
 STAGES = [
+    ("toxicity", stages.toxicity),
     ("near_duplicates", stages.near_duplicates),
+    ("decontamination", stages.decontamination),
+    ("mixing_sources", stages.mixing_sources),
+    ("token_output", stages.token_output),
 ]
+# Tokenizing and a learned score are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

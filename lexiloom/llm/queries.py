@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexiloom.llm import chat, decontaminate, minhash, mixing, secret_scan, sharding, spotsigs, token_files, toxicity, warc
 from lexiloom.llm.common import read_table
-from lexiloom.llm.minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +19,123 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.warc_round_trip(read_table(spark, folder, "pages"))
+
+
+@query
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = turns.unionByName(trap).select("conv_id", "turn", "role", chat.text_part(F.coalesce("text", F.lit(""))).alias("parts"))
+    return chat.conversation_digests(chat.format_conversations(rows))
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(read_table(spark, folder, "documents"), width=2, percent=80)
+    return minhash.near_duplicates(read_table(spark, folder, "documents"), width=2, percent=80)
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_documents(read_table(spark, folder, "documents"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")).drop("key")
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_lexicon(docs, read_table(spark, folder, "labels")))
+
+
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign_shards(read_table(spark, folder, "documents"), shards=16)
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_digests(secret_scan.scan_secrets(read_table(spark, folder, "documents")))
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_files(read_table(spark, folder, "documents"), word_tokenizer(), end_id=1)
+
+
+@query
+def op10_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return spotsigs.edited_fingerprints(docs, spotsigs.common_words(docs))
+
+
+# ---- SQL that the queries must agree with
+
+_CONTROL = ("<|", "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+
+
+def _sql_escaped(col: str) -> str:
+    out = f"replace({col}, '\\', '\\\\')"
+    for c in _CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+SQL["op2_chat_format"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(26 + length({_sql_escaped('role')}) + length({_sql_escaped('text')})) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS attachment_tokens
+FROM t GROUP BY conv_id"""
+
+
+def _sql_mix() -> str:
+    topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in mixing.TOPICS)
+    bare = r"regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+    keys = ", ".join(mixing.MARGINALS)
+    steps = [
+        f"d AS (SELECT doc_id, source, lang, CASE {topic} ELSE 'prose' END AS topic, "
+        rf"CASE WHEN {bare} = '' THEN 0 ELSE len(regexp_split_to_array({bare}, '[\x20\x09-\x0D]+')) END AS n_tokens FROM documents)",
+        f"c AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
+        "n AS (SELECT sum(tokens) AS total FROM c)",
+    ]
+    for m in mixing.MARGINALS:
+        steps.append(
+            f"t_{m} AS (SELECT {m}, {1 - mixing.TOWARDS_EVEN} * sum(tokens) / any_value(total) + {mixing.TOWARDS_EVEN} / count(*) OVER () AS share FROM c, n GROUP BY {m})")
+    steps.append(f"w0 AS (SELECT {keys}, tokens, tokens * {mixing.KEEP} AS weight FROM c)")
+    at = 0
+    for _ in range(mixing.ROUNDS):
+        for m in mixing.MARGINALS:
+            # materialised, or each step would be expanded into the next one twice
+            steps.append(
+                f"w{at + 1} AS MATERIALIZED (SELECT w.* REPLACE (least(weight * share * total * {mixing.KEEP} / now, tokens) AS weight) FROM w{at} w JOIN t_{m} t ON w.{m} IS NOT DISTINCT FROM t.{m} "
+                f"JOIN (SELECT {m}, sum(weight) AS now FROM w{at} GROUP BY {m}) s ON w.{m} IS NOT DISTINCT FROM s.{m}, n)")
+            at += 1
+    unit = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{mixing.SEED}'), 1, 8))::BIGINT / 4294967296.0)"
+    on = " AND ".join(f"d.{m} IS NOT DISTINCT FROM w.{m}" for m in mixing.MARGINALS)
+    picked = ", ".join(f"d.{m}" for m in mixing.MARGINALS)
+    return (
+        f"WITH {', '.join(steps)}, p AS (SELECT doc_id, {picked}, n_tokens::BIGINT AS n_tokens, coalesce(round(least(weight / tokens, 1.0), 6), 1.0) AS probability "
+        f"FROM d LEFT JOIN w{at} w ON {on}) SELECT *, {unit} < probability AS drawn FROM p")
+
+
+SQL["op4_mixing"] = _sql_mix()

@@ -3,11 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiloom.llm import minhash
+from lexiloom.llm import decontaminate, minhash, mixing, token_files
+from lexiloom.llm import toxicity as toxic
+from lexiloom.llm.common import read_table, row_key
+from lexiloom.llm.queries import word_tokenizer
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon learned from ``labels`` rejects go."""
+    source = read_table(spark, sf_dir, "documents")
+    lexicon = toxic.fit_lexicon(source, read_table(spark, sf_dir, "labels"))
+    return docs.where(toxic.toxicity_score(lexicon, spark, F.col("text")) < toxic.THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: five-word shingles, similarity 0.8."""
     kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return _rows_with(docs, kept)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words running of a benchmark item go."""
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"), slop=0)
+    bad = found.where("contaminated").select(F.col("key").alias("__bad")).distinct()
+    return docs.join(bad, row_key("doc_id", "text") == bad["__bad"], "left_anti")
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with the raked probabilities of their source, language and topic stay."""
+    kept = mixing.mix_documents(docs).where("drawn").select("doc_id").distinct()
+    return _rows_with(docs, kept)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back: a row per document."""
+    return token_files.token_files(docs, word_tokenizer())
+
+
+def _rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among the distinct ids, null being a value like any other."""
+    ids = ids.select(F.col("doc_id").alias("__id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
