@@ -15,19 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import arrow_rows
+from lexiloom.llm.minhash import shingle_sets
+from lexiloom.session import cut_lineage
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏαεορυνικτ０１", "aeopcyxijsdhiaeopuviktoi", strict=True))
 SUBSTITUTES = dict(zip("013457@$", "oieastas", strict=True))
 INVISIBLE = dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff\u00ad", "")
-# i and l share a class, since 1 stands for either
-FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | INVISIBLE | {"l": "i"})
+FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | INVISIBLE)
 
 WORD = re.compile(r"[^\W_]+")
-PREFIXES = range(3, 7)
+PREFIXES = range(3, 9)
 SAMPLE_ROWS = 20_000  # labelled rows of each label that the model is fitted on
 LEAST_DOCS = 3  # toxic rows that hold a pattern
-LEAST_WEIGHT = 1.0
+LEAST_WEIGHT = 2.5
+LEAST_GAIN = 15.0  # log-likelihood ratio of a pattern, chi-squared with one degree of freedom
 LEXICON_SIZE = 5_000
 THRESHOLD = 0.3
 
@@ -106,50 +108,76 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Learn a lexicon from labelled texts.
 
     Of each label at most ``sample_rows`` rows are read, chosen by a hash of their ids among
-    all that are not held out. A pattern's weight is the log of how much oftener toxic rows
-    hold it than clean ones, less one standard error. Matches that are followed or preceded by
-    one word in several clean rows and in no toxic row become exception phrases. Two features,
-    the weight sum and the sum against the length, are scaled by a logistic fit on the sample.
+    all that are not held out; of copies and near-copies with one label one is read, or any word of a
+    text copied often would seem telling. A pattern is taken when its counts in toxic and clean rows
+    differ by more than chance (LEAST_GAIN); its weight is the log of how much oftener toxic rows
+    hold it, less one standard error. Matches followed or preceded by one word in several
+    clean rows and in no toxic row become exception phrases. The scale from sums to a score is a
+    logistic fit on the sample, each half being measured with the lexicon of the other half.
     """
     chosen = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     picked = chosen.where("toxic = 1").orderBy(order, "doc_id").limit(sample_rows).unionAll(chosen.where("toxic = 0").orderBy(order, "doc_id").limit(sample_rows))
     # at most 2 * sample_rows ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").where("text IS NOT NULL")
-    sums = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r["toxic"]: r["n"] for r in sums}
-    if not n.get(1):
-        return Lexicon()
-
-    counted = rows.mapInArrow(_count_patterns, "pattern string, toxic bigint, clean bigint").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(a / (n[1] + 1.0)) - F.log(b / (n.get(0, 0) + 1.0))
-    weight = odds - F.sqrt(1 / a + 1 / b)
-    top = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    weights = {r["pattern"]: r["weight"] for r in top.orderBy(F.desc("weight"), "pattern").limit(LEXICON_SIZE).collect()}
-    lexicon = Lexicon(weights=weights)
-
-    sent = rows.sparkSession.sparkContext.broadcast(lexicon)
-    contexts = rows.mapInArrow(_count_contexts(sent), "phrase string, toxic bigint, clean bigint").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL")
+    ends = shingle_sets(rows.select(F.struct("text", "toxic").alias("id"), "text"), 2).select(
+        "id.*", F.array_min("shingles").alias("low"), F.array_max("shingles").alias("high"))
+    for end in ("low", "high"):
+        ends = ends.groupBy("toxic", end).agg(F.min(F.struct("text", "low", "high")).alias("m")).select("toxic", "m.*")
+    rows = cut_lineage(ends.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "sample")
+
+    n = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = rows.mapInArrow(_count_patterns, "pattern string, half int, toxic bigint, clean bigint")
+    sums = [F.coalesce(F.sum(F.when(F.col("half") == h, F.col(c))), F.lit(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean")]
+    counted = cut_lineage(counted.groupBy("pattern").agg(*sums), "patterns")
+
+    def learned(*halves: int) -> Lexicon:
+        total = lambda c: sum((F.col(f"{c}{h}") for h in halves), F.lit(0))
+        number = lambda y: float(sum(n.get((h, y), 0) for h in halves))
+        return Lexicon(weights=_weights(counted.select("pattern", total("toxic").alias("toxic"), total("clean").alias("clean")), number(1), number(0)))
+
+    lexicon, others = learned(0, 1), {0: learned(1), 1: learned(0)}
+    send = rows.sparkSession.sparkContext.broadcast
+    contexts = rows.mapInArrow(_count_contexts(send(lexicon)), "phrase string, toxic bigint, clean bigint").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     spared = contexts.where((F.col("toxic") == 0) & (F.col("clean") >= LEAST_DOCS)).orderBy(F.desc("clean"), "phrase").limit(LEXICON_SIZE).collect()
     lexicon.exceptions = {r["phrase"] for r in spared}
 
     # at most 2 * sample_rows pairs of numbers
-    sent = rows.sparkSession.sparkContext.broadcast(lexicon)
-    measured = rows.mapInArrow(_measure(sent), "x double, y double, toxic int").collect()
-    lexicon.bias, lexicon.slope, lexicon.length_slope = _logistic(
-        np.array([[r["x"], r["y"]] for r in measured]), np.array([r["toxic"] for r in measured], dtype=float))
+    measured = rows.mapInArrow(_measure(send(others)), "x double, y double, toxic int").orderBy("x", "y", "toxic").collect()
+    if any(r["toxic"] for r in measured):
+        lexicon.bias, lexicon.slope, lexicon.length_slope = _logistic(
+            np.array([[r["x"], r["y"]] for r in measured]), np.array([r["toxic"] for r in measured], dtype=float))
     return lexicon
 
 
+def _weights(counted: DataFrame, toxic_rows: float, clean_rows: float) -> dict[str, float]:
+    """Weight of each telling pattern, at most LEXICON_SIZE of them."""
+    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    share = F.lit(toxic_rows / max(1.0, toxic_rows + clean_rows))
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    gain = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)))
+    odds = F.log((a + 0.5) / (toxic_rows + 1)) - F.log((b + 0.5) / (clean_rows + 1))
+    weight = odds - F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    top = counted.where(a >= LEAST_DOCS).withColumns({"gain": gain, "weight": weight}).where((F.col("gain") >= LEAST_GAIN) & (F.col("weight") >= LEAST_WEIGHT))
+    return {r["pattern"]: r["weight"] for r in top.orderBy(F.desc("gain"), "pattern").limit(LEXICON_SIZE).collect()}
+
+
 def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    toxic, clean = Counter(), Counter()
-    for text, label in arrow_rows(batches, "text", "toxic"):
-        (toxic if label else clean).update(patterns_of(fold(text)))
-        if len(toxic) + len(clean) > 300_000:
-            yield _counts("pattern", toxic, clean)
-            toxic, clean = Counter(), Counter()
-    yield _counts("pattern", toxic, clean)
+    toxic, clean = (Counter(), Counter()), (Counter(), Counter())
+
+    def counts():
+        for half in (0, 1):
+            out = _counts("pattern", toxic[half], clean[half])
+            yield pa.RecordBatch.from_arrays(
+                [out.column(0), pa.array([half] * out.num_rows, pa.int32()), out.column(1), out.column(2)], names=["pattern", "half", "toxic", "clean"])
+            toxic[half].clear()
+            clean[half].clear()
+
+    for text, label, half in arrow_rows(batches, "text", "toxic", "half"):
+        (toxic if label else clean)[half].update(patterns_of(fold(text)))
+        if sum(map(len, (*toxic, *clean))) > 300_000:
+            yield from counts()
+    yield from counts()
 
 
 def _counts(name: str, toxic: Counter, clean: Counter) -> pa.RecordBatch:
@@ -182,10 +210,9 @@ def _count_contexts(sent):
 
 def _measure(sent):
     def measure(batches):
-        lexicon = sent.value
-        automaton = lexicon.automaton()
+        lexicons = {h: (x, x.automaton()) for h, x in sent.value.items()}
         for batch in batches:
-            rows = [(*lexicon.features(t, automaton), y) for t, y in arrow_rows([batch], "text", "toxic")]
+            rows = [(*lexicons[h][0].features(t, lexicons[h][1]), y) for t, y, h in arrow_rows([batch], "text", "toxic", "half")]
             x, y, label = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64()), pa.array(label, pa.int32())], names=["x", "y", "toxic"])
 
@@ -193,15 +220,13 @@ def _measure(sent):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> tuple[float, float, float]:
-    """Newton steps for a logistic fit with a small ridge; classes weigh the same."""
-    share = max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)
-    weight = np.where(y > 0, 0.5 / share[0], 0.5 / share[1])
+    """Newton steps for a logistic fit with a small ridge."""
     design = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(3)
-    ridge = penalty * len(y) * np.diag([1e-3, 1.0, 1.0])
+    ridge = penalty * len(y) * np.diag([0.0, 1.0, 1.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge + 1e-9 * np.eye(3), design.T @ (weight * (y - p)) - ridge @ beta)
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge + 1e-9 * np.eye(3), design.T @ (y - p) - ridge @ beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
