@@ -70,14 +70,19 @@ def enrich_segments(
 ) -> DataFrame:
     """Alignment rows with segmentation flags and file paths; defaults where a file is missing.
 
-    Every side is unique on ``segment``, so plain shuffled joins cannot skew.
+    A segment that the report repeats takes its last row. Every side is unique on ``segment``, so plain
+    shuffled joins cannot skew. ``aligned`` says that there is an interval file; whether it holds words
+    is for ``collect_record`` to see.
     """
     path = lambda df, name: df.select(F.col("stem").alias("segment"), F.col("path").alias(name))
-    flags = report.select(
+    newest = report.withColumn("__at", F.monotonically_increasing_id()).groupBy("segment").agg(
+        F.max_by(F.struct("chapter", "confidence", "reason"), "__at").alias("r")
+    )
+    flags = newest.select(
         "segment",
-        F.col("chapter").alias("__chapter"),
-        F.col("confidence").alias("segmentation_confidence"),
-        F.col("reason").alias("segmentation_reason"),
+        F.col("r.chapter").alias("__chapter"),
+        F.col("r.confidence").alias("segmentation_confidence"),
+        F.col("r.reason").alias("segmentation_reason"),
     )
     out = (
         analysis.join(flags, "segment", "left")

@@ -27,21 +27,20 @@ def gloss_bags(df: DataFrame, entry: str, glosses: str) -> DataFrame:
     return spread_join(sets, names, ["__g"], spread_by=[entry]).select(entry, "bag", F.col("__g").alias("glosses"))
 
 
-def idf_jaccard(df: DataFrame, entry: str = "entry", glosses: str = "glosses", min_score: float = 0.1) -> DataFrame:
-    """(a, b, score), a < b: distinct gloss bags whose IDF-weighted Jaccard reaches ``min_score``. Exact.
-
-    IDF counts every entry. Entries of one bag are not paired with each other
-    (their score is 1; see ``gloss_bags``). Bags meet only on the rare front
-    part of their glosses: if everything after a gloss weighs less than
-    ``min_score`` of the bag, no pair can depend on it, so words found in most
-    entries never bring bags together.
+def idf_jaccard(df: DataFrame, entry: str = "entry", glosses: str = "glosses", min_score: float = 0.0) -> DataFrame:
+    """(a, b, score), a < b: all entries with a common gloss of positive weight and an
+    IDF-weighted Jaccard of at least ``min_score``. Exact.
+
+    IDF counts every entry. Entries with equal glosses are one bag while scores are computed, and
+    score 1 among themselves. Given a ``min_score``, bags meet only on the rare front part of their
+    glosses: if everything after a gloss weighs less than ``min_score`` of the bag, no pair can
+    depend on it, so words found in most entries never bring bags together.
     """
-    if min_score <= 0:
-        raise ValueError("min_score must be positive: at 0 every two bags with a common gloss would be a result")
     entries = df.agg(F.count(F.lit(1))).scalar()
     each = df.select(F.explode(F.array_distinct(glosses)).alias("g"))
     idf = each.groupBy("g").agg(F.log(entries / F.count(F.lit(1))).alias("idf"))
-    bags = df.select(entry, F.array_sort(F.array_distinct(glosses)).alias("__g")).groupBy("__g").agg(F.min(entry).alias("bag"))
+    members = gloss_bags(df, entry, glosses)
+    bags = members.where(F.col(entry) == F.col("bag")).select("bag", F.col("glosses").alias("__g")).dropDuplicates(["bag"])
     weighted = spread_join(bags.select("bag", F.explode("__g").alias("g")), idf, ["g"], spread_by=["bag"])
     rest = Window.partitionBy("bag").orderBy(F.desc("idf"), "g").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy("bag")
@@ -55,7 +54,14 @@ def idf_jaccard(df: DataFrame, entry: str = "entry", glosses: str = "glosses", m
     common = F.map_values(F.map_filter("ma", lambda k, v: F.map_contains_key("mb", k)))
     inter = F.aggregate(F.array_sort(common), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (inter / (F.col("wa") + F.col("wb") - inter)).alias("score"))
-    return scored.where(F.col("score") >= min_score)
+    scored = scored.where(F.col("score") >= min_score)
+    named = lambda bag, name: members.select(F.col("bag").alias(bag), F.col(entry).alias(name))
+    apart = scored.join(named("a", "x"), "a").join(named("b", "y"), "b").select("x", "y", "score")
+    weights = content.where("w > 0").select("bag")
+    alike = members.join(weights, "bag", "left_semi")
+    side = lambda name: alike.select("bag", F.col(entry).alias(name))
+    within = side("x").join(side("y"), "bag").where("x < y").select("x", "y", F.lit(1.0).alias("score"))
+    return apart.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
 # Share of the shorter word two words of one stem have in common.

@@ -78,7 +78,9 @@ def unmapped(word: Column | str, rules: SoundRules) -> Column:
     word = F.col(word) if isinstance(word, str) else word
     kinds = F.translate(word, "".join(rules.kinds), "".join(rules.kinds.values()))
     kinds = F.regexp_replace(kinds, f"[^{_C}-{_J}]", _BAD)
-    kinds = F.regexp_replace(kinds, f"(?<!{_C}[{_N}{_J}{_BAD}]{{0,200}})[{_N}{_V}]", _BAD)
+    # a consonant with its nuktas, joiners and letters without a sound, then one virama; or any other character
+    runs = F.regexp_extract_all(kinds, F.lit(f"(?s){_C}[{_N}{_J}{_BAD}]*+{_V}?|."), F.lit(0))
+    kinds = F.array_join(F.transform(runs, lambda r: F.when(r.isin(_N, _V), _BAD).otherwise(r)), "")
     marked = F.transform(
         F.split(word, ""), lambda ch, i: F.struct(i.alias("idx"), ch.alias("ch"), F.substring(kinds, i + 1, F.lit(1)).alias("k"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators.joins import enrich_segments
 from lexiloom.operators.ordered import ordered_scan
 from lexiloom.session import cut_lineage
 
@@ -413,6 +414,26 @@ QC_FIELDS = [
 ]
 
 
+def collect_record(
+    analysis: DataFrame, report: DataFrame, textgrids: DataFrame, wavs: DataFrame, texts: DataFrame, intervals: DataFrame,
+    batch: str, thresholds: dict = QC_THRESHOLDS, chunk: int = 1 << 16,
+) -> DataFrame:
+    """The quality record, QC_FIELDS in order: alignment rows (segment, begin, end, four scores) joined
+    with the segmentation report, the file inventories and the silence metrics of the word intervals.
+
+    The duration is end less begin, an absent one counting 0. A segment whose tier holds no spoken
+    word is not aligned, whatever files it has, so it fails; one without an interval file has no metrics.
+    """
+    begin, end = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("begin", "end"))
+    rows = enrich_segments(analysis.withColumn("duration_s", F.round(end - begin, 3)), report, textgrids, wavs, texts)
+    metrics = silence_metrics(intervals, rows.select("segment", "duration_s"), "segment", chunk)
+    seen = rows.join(metrics, "segment", "left")
+    aligned = F.col("aligned") & F.col("n_words_aligned").isNotNull()
+    for c in [c for c in metrics.columns if c != "segment"]:
+        seen = seen.withColumn(c, F.when(F.col("aligned"), F.col(c)))
+    return judge(seen.withColumn("aligned", aligned).withColumn("batch", F.lit(batch)), thresholds).select(*QC_FIELDS)
+
+
 def trim_bounds(df: DataFrame, begin: str = "speech_begin_s", end: str = "speech_end_s", frames: str = "frames", pad_s: float = 0.1, rate: int = 16000) -> DataFrame:
     """Padded frame range clamped to the file; an empty range is an error row."""
     start = F.greatest(F.lit(0).cast("long"), ((F.col(begin) - pad_s) * rate).cast("long"))

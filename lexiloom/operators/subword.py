@@ -271,17 +271,16 @@ def tokeniser_report(encoded: DataFrame, by: list[str] | None = None) -> DataFra
 
 
 def choose_vocab(report: DataFrame) -> DataFrame:
-    """One row (vocab_size, fertility, reason): two or more healthy -> smallest of all, one -> it, none -> nearest the middle."""
+    """One row (vocab_size, fertility, reason): two or more healthy -> the smallest of them, one -> it, none -> nearest the middle."""
     lo, hi = FERTILITY_RANGE
     healthy = F.col("fertility").between(lo, hi)
     row = F.struct("vocab_size", "fertility")
     one = report.agg(
         F.count_if(healthy).alias("k"),
-        F.min_by(row, F.col("vocab_size")).alias("small"),
-        F.min_by(row, F.when(healthy, F.col("vocab_size"))).alias("only"),
+        F.min_by(row, F.when(healthy, F.col("vocab_size"))).alias("small"),
         F.min_by(row, F.struct(F.abs(F.col("fertility") - FERTILITY_MIDDLE), "vocab_size")).alias("near"),
     )
-    pick = F.when(F.col("k") >= 2, F.col("small")).when(F.col("k") == 1, F.col("only")).otherwise(F.col("near"))
+    pick = F.when(F.col("k") >= 1, F.col("small")).otherwise(F.col("near"))
     why = F.when(F.col("k") >= 2, "several_in_range").when(F.col("k") == 1, "one_in_range").otherwise("nearest_middle")
     return one.select(pick["vocab_size"].alias("vocab_size"), pick["fertility"].alias("fertility"), why.alias("reason"))
 

@@ -72,10 +72,11 @@ def compose_vectors(words: DataFrame, vectors: DataFrame, counts: DataFrame, lo:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query", vector_id: str = "word", exclude: str | None = None, slice_rows: int = 4096) -> DataFrame:
     """(query, rank, word, cosine): the k nearest vectors of each query vector, exact.
 
-    Queries are taken in slices of ``slice_rows``, the bound on what is
-    broadcast; each slice is one pass over the vectors in which a task
+    Queries are dealt by a hash of their id into slices of about ``slice_rows``,
+    the bound on what is broadcast; each slice is one pass over the vectors in which a task
     multiplies blocks of vectors with the slice and passes on k rows per query
     and block. ``exclude`` names an array column of ids a query must not return.
+    Query ids must be unique, or the answers of several queries could not be told apart.
     """
     spark = vectors.sparkSession
     extra = [F.col(exclude).alias("__no")] if exclude else [F.lit(None).cast("array<string>").alias("__no")]
@@ -83,13 +84,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str =
     qt = queries.schema[query_id].dataType.simpleString()
     vt = vectors.schema[vector_id].dataType.simpleString()
     out: DataFrame | None = None
-    last = None
-    while True:
-        page = asked if last is None else asked.where(F.col("__q") > F.lit(last))
-        rows = page.orderBy("__q").limit(slice_rows).collect()
+    ids = asked.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("__q").alias("distinct")).first()
+    if ids["n"] != ids["distinct"]:
+        raise ValueError(f"{query_id} is null or repeated in {ids['n'] - ids['distinct']} queries")
+    slices = -(-ids["n"] // slice_rows)
+    for part in range(slices):
+        rows = asked.where(F.pmod(F.xxhash64("__q"), F.lit(slices)) == part).collect()
         if not rows:
-            break
-        last = rows[-1]["__q"]
+            continue
         matrix = np.array([r["vec"] for r in rows], dtype="float64")
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
         unit = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
@@ -113,12 +115,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str =
                     picked += [(names[q], ids[j], float(sims[q, j])) for j in order if ids[j] not in banned[q]]
                 yield pd.DataFrame(picked, columns=["query", "word", "cosine"])
 
-        part = vectors.select(F.col(vector_id).alias("__id"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).mapInPandas(
+        found = vectors.select(F.col(vector_id).alias("__id"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).mapInPandas(
             search, f"query {qt}, word {vt}, cosine double"
         )
-        out = part if out is None else out.unionByName(part)
-        if len(rows) < slice_rows:
-            break
+        out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], f"query {qt}, rank int, word {vt}, cosine double")
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "word")

@@ -119,17 +119,18 @@ def joint_vocabulary(spark, folder):
 
 
 @query("id_decoding", r"""
-WITH d AS (SELECT doc_id, regexp_replace(text, '[\x00-\x1F]', '', 'g') AS t FROM documents), x AS (SELECT doc_id, ltrim(regexp_replace(t, '[^\x00-\x7F]', '', 'g'), ' ') AS text,
+WITH d AS (SELECT doc_id, text AS t FROM documents), x AS (SELECT doc_id, ltrim(regexp_replace(t, '[^\x00-\x7F]', '', 'g'), ' ') AS text,
   len(regexp_replace(t, '[\x00-\x7F]', '', 'g'))::BIGINT AS dropped, regexp_replace(t, '[^\x00-\x7F]', '', 'g') AS kept FROM d)
 SELECT doc_id, CASE WHEN kept = '' THEN '(empty output)' ELSE text END AS text, dropped FROM x""")
 def id_decoding(spark, folder):
     """Documents as code points; side a holds the ASCII ones, so the others are dropped and counted."""
-    docs = documents(spark, folder, "doc_id", "text").withColumn("text", F.regexp_replace("text", r"[\x00-\x1f]", ""))
+    docs = documents(spark, folder, "doc_id", "text")
+    first = 6  # ids below are special
     chars = F.filter(F.split("text", ""), lambda c: c != "")
-    ids = docs.select("doc_id", F.lit("a").alias("side"), F.transform(chars, lambda c: F.ascii(c)).alias("ids"))
+    ids = docs.select("doc_id", F.lit("a").alias("side"), F.transform(chars, lambda c: F.ascii(c) + first).alias("ids"))
     seen = docs.select(F.explode(chars).alias("ch")).distinct()
     joint = seen.select(
-        F.ascii("ch").alias("joint_id"), F.when(F.ascii("ch") < 128, "a").otherwise("b").alias("side"),
+        (F.ascii("ch") + first).alias("joint_id"), F.when(F.ascii("ch") < 128, "a").otherwise("b").alias("side"),
         F.when(F.col("ch") == " ", U.SPACE_MARK).otherwise(F.col("ch")).alias("piece"),
     )
     return U.decode_ids(ids, joint, ["doc_id"])

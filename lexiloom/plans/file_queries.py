@@ -28,14 +28,14 @@ def report_round_trip(spark, folder):
 
 
 @query("dataset_round_trip", """
-SELECT 'doc' || doc_id || '.wav' AS file_name, lang AS text, CASE WHEN source IN ('src3', 'src7') THEN 'validation' ELSE 'train' END AS split FROM documents""")
+SELECT 'doc' || doc_id || '.wav' AS file_name, text, CASE WHEN source IN ('src3', 'src7') THEN 'validation' ELSE 'train' END AS split FROM documents""")
 def dataset_round_trip(spark, folder):
-    rows = documents(spark, folder, "doc_id", "lang", "source").select(
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("file_name"), F.col("lang").alias("text"), "source"
+    rows = documents(spark, folder, "doc_id", "text", "source").select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("file_name"), "text", "source"
     )
     path = scratch_path(spark, "dataset")
     W.write_dataset(split_groups(rows, "source", ["src3", "src7"]), path)
-    return spark.read.csv(f"{path}/metadata", header=True).select("file_name", "text", "split")
+    return R.scan_delimited(spark, f"{path}/metadata", ["file_name", "text", "split"])
 
 
 @query("line_corpus_round_trip", r"""

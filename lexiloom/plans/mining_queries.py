@@ -34,15 +34,15 @@ def dictionary_filter(spark, folder):
 SQL_BAGS = f"""
 WITH e AS (SELECT item_id, list_sort(list_distinct({sql_tokens('text')})) AS g FROM benchmark),
 i AS (SELECT w, ln((SELECT count(*) FROM e) / count(*)) AS idf FROM (SELECT unnest(g) AS w FROM e) GROUP BY w),
-b AS (SELECT min(item_id) AS bag, g FROM e GROUP BY g), x AS (SELECT bag, unnest(g) AS w FROM b), y AS (SELECT bag, w, idf FROM x JOIN i USING (w)),
+x AS (SELECT item_id AS bag, unnest(g) AS w FROM e), y AS (SELECT bag, w, idf FROM x JOIN i USING (w) WHERE idf > 0),
 t AS (SELECT bag, sum(idf) AS s FROM y GROUP BY bag),
 o AS (SELECT p.bag AS a, q.bag AS b, sum(p.idf) AS c FROM y p JOIN y q ON p.w = q.w AND p.bag < q.bag GROUP BY ALL),
-s AS (SELECT a, b, c / (ta.s + tb.s - c) AS score FROM o JOIN t ta ON ta.bag = a JOIN t tb ON tb.bag = b WHERE c / (ta.s + tb.s - c) >= 0.1)"""
+s AS (SELECT a, b, c / (ta.s + tb.s - c) AS score FROM o JOIN t ta ON ta.bag = a JOIN t tb ON tb.bag = b)"""
 
 
 def similar_items(spark, folder):
     items = table(spark, folder, "benchmark").select("item_id", T.tokens("text").alias("glosses"))
-    return M.idf_jaccard(items, "item_id", "glosses", 0.1)
+    return M.idf_jaccard(items, "item_id", "glosses")
 
 
 @query("gloss_similarity", f"{SQL_BAGS} SELECT a, b, round(score, 6) AS score FROM s")
@@ -70,7 +70,7 @@ def stem_exclusion(spark, folder):
 
 
 @query("similarity_set", f"""{SQL_STEMS}
-SELECT word1, word2, round((score - (SELECT min(score) FROM k)) / ((SELECT max(score) FROM k) - (SELECT min(score) FROM k)), 6) AS score FROM k""")
+SELECT word1, word2, coalesce(round((score - (SELECT min(score) FROM k)) / nullif((SELECT max(score) FROM k) - (SELECT min(score) FROM k), 0), 6), 0) AS score FROM k""")
 def similarity_set(spark, folder):
     return M.minmax(cut_lineage(distinct_stems(spark, folder), "pairs"), "score").withColumn("score", F.round("score", 6))
 

@@ -48,12 +48,14 @@ def inventory_coverage(spark, folder):
 @query("missing_characters", f"""
 WITH c AS (SELECT lang, ch, count(*) AS n FROM ({SQL_CHARS}) WHERE ch <> '' GROUP BY ALL),
 a AS (SELECT ch, sum(n)::BIGINT AS n FROM c GROUP BY ch)
-SELECT l.lang AS candidate, a.ch, a.n FROM (VALUES ('en'), ('fr'), ('de'), ('es')) l(lang) CROSS JOIN a
+SELECT l.lang AS candidate, a.ch, a.n FROM (SELECT DISTINCT lang FROM c) l CROSS JOIN a
 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = l.lang AND c.ch = a.ch)""")
 def missing_characters(spark, folder):
     by_lang = P.charset(documents(spark, folder, "lang", "text"), by=["lang"])
     chars = by_lang.groupBy("ch").agg(F.sum("n").alias("n"))
-    return P.missing_characters(chars, by_lang.select(F.col("lang").alias("candidate"), "ch"), ["en", "fr", "de", "es"])
+    # one row per language
+    names = [r["lang"] for r in by_lang.select("lang").distinct().orderBy("lang").collect()]
+    return P.missing_characters(chars, by_lang.select(F.col("lang").alias("candidate"), "ch"), names)
 
 
 @query("reduction_report", rf"""

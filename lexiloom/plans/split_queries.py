@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.operators import joins as J
 from lexiloom.operators import profile as P
+from lexiloom.operators import segments as SG
 from lexiloom.operators import splits as S
 from lexiloom.plans.profile_queries import SQL_TOKENS
 from lexiloom.plans.registry import SQL_PAIRS, query, sql_tokens, sql_uniform, table, turn_pairs
@@ -119,6 +120,57 @@ def segment_enrichment(spark, folder):
     )
 
 
+# The lines of an order are the words of its tier; a returned line is a silence, so some tiers hold no word.
+@query("quality_record", f"""
+WITH s AS (SELECT {SEGMENT_SQL} AS segment, o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus, c_acctbal, c_nationkey,
+  round(15.0::DOUBLE - CASE WHEN o_orderpriority = '1-URGENT' THEN 0.0 ELSE 0.5 END, 3) AS duration_s FROM orders JOIN customer ON o_custkey = c_custkey),
+w AS (SELECT l_orderkey AS o_orderkey, l_linenumber AS idx, l_linenumber * 2.0::DOUBLE AS xmin, l_linenumber * 2.0::DOUBLE + least(max(l_quantity) / 25, 1.9::DOUBLE) AS xmax FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING min(l_returnflag) <> 'R'),
+g AS (SELECT *, xmin - lag(xmax) OVER (PARTITION BY o_orderkey ORDER BY idx) AS gap FROM w),
+m AS (SELECT o_orderkey, arg_min(xmin, idx) AS b, arg_max(xmax, idx) AS e, greatest(coalesce(max(gap), 0), 0) AS q, count(*)::BIGINT AS n FROM g GROUP BY o_orderkey),
+r AS (SELECT s.*, o_orderstatus <> 'P' AS grid, o_orderstatus <> 'P' AND n IS NOT NULL AS aligned, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = s.o_orderkey AND l_linenumber = 2) AS wav,
+  CASE WHEN o_orderstatus <> 'P' THEN b END AS b, CASE WHEN o_orderstatus <> 'P' THEN e END AS e, CASE WHEN o_orderstatus <> 'P' THEN q END AS q, CASE WHEN o_orderstatus <> 'P' THEN n END AS n
+  FROM s LEFT JOIN m USING (o_orderkey)),
+j AS (SELECT *, CASE WHEN NOT aligned THEN 'alignment_failed' ELSE array_to_string(list_filter([
+  CASE WHEN NOT wav OR c_acctbal <= 0 THEN 'missing_source_files' END, CASE WHEN round(e - b, 3) < 1.5 THEN 'too_short' END, CASE WHEN round(e - b, 3) > 20 THEN 'too_long' END,
+  CASE WHEN -o_totalprice / 4000 < -70 THEN 'low_likelihood' END, CASE WHEN o_totalprice / 20000 > 10 THEN 'phone_duration_outlier' END,
+  CASE WHEN round(q, 3) > 3.5 THEN 'long_internal_silence' END, CASE WHEN n < 3 THEN 'too_few_words' END], lambda x: x IS NOT NULL), ';') END AS qc_reasons FROM r)
+SELECT segment, 'orders' AS batch, 'B' || c_nationkey AS book, coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN 'given_' || o_custkey END, 'B' || c_nationkey || '_' || o_custkey) AS chapter,
+  qc_reasons = '' AS qc_pass, qc_reasons, duration_s, round(e - b, 3) AS speech_duration_s, round(b, 3) AS speech_begin_s, round(e, 3) AS speech_end_s, round(b, 3) AS leading_silence_s,
+  CASE WHEN e IS NOT NULL THEN round(greatest(0, duration_s - e), 3) END AS trailing_silence_s, round(q, 3) AS max_internal_silence_s, n AS n_words_aligned, -o_totalprice / 4000 AS overall_log_likelihood,
+  NULL::DOUBLE AS speech_log_likelihood, o_totalprice / 20000 AS phone_duration_deviation, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS snr, aligned,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN CASE WHEN o_totalprice < 50000 THEN 'low' ELSE 'high' END ELSE '' END AS segmentation_confidence,
+  CASE WHEN o_orderpriority <> '5-LOW' AND o_totalprice < 50000 THEN 'duration_outlier' ELSE '' END AS segmentation_reason,
+  CASE WHEN wav THEN '/wavs/' || segment ELSE '' END AS wav_path, CASE WHEN c_acctbal > 0 THEN '/texts/' || segment ELSE '' END AS txt_path, CASE WHEN grid THEN '/grids/' || segment ELSE '' END AS textgrid_path
+FROM j""")
+def quality_record(spark, folder):
+    rows = table(spark, folder, "orders").join(
+        table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    ).withColumn("segment", F.concat_ws("", F.lit("B"), "c_nationkey", F.lit("_"), "o_custkey", F.lit("_seg_"), "o_orderkey"))
+    low = F.col("o_totalprice") < 50000
+    report = rows.where("o_orderpriority <> '5-LOW'").select(
+        "segment", F.concat(F.lit("given_"), F.col("o_custkey").cast("string")).alias("chapter"),
+        F.when(low, "low").otherwise("high").alias("confidence"), F.when(low, "duration_outlier").otherwise("").alias("reason"),
+    )
+    lines = table(spark, folder, "lineitem")
+    spoken = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("quantity"), F.min("l_returnflag").alias("flag"))
+    words = spoken.join(rows.select(F.col("o_orderkey").alias("l_orderkey"), "segment"), "l_orderkey").select(
+        "segment", F.col("l_linenumber").alias("idx"), (F.col("l_linenumber") * 2.0).alias("xmin"),
+        (F.col("l_linenumber") * 2.0 + F.least(F.col("quantity") / 25, F.lit(1.9))).alias("xmax"),
+        F.when(F.col("flag") == "R", "").otherwise("word").alias("text"),
+    )
+    analysis = rows.select(
+        "segment", F.when(F.col("o_orderpriority") != "1-URGENT", 0.5).alias("begin"), F.lit(15.0).alias("end"),
+        (-F.col("o_totalprice") / 4000).alias("overall_log_likelihood"), F.lit(None).cast("double").alias("speech_log_likelihood"),
+        (F.col("o_totalprice") / 20000).alias("phone_duration_deviation"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("snr"),
+    )
+    files = lambda df, root: df.select(F.col("segment").alias("stem"), F.concat(F.lit(root), "segment").alias("path"))
+    second = lines.where("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    return SG.collect_record(
+        analysis, report, files(rows.where("o_orderstatus <> 'P'"), "/grids/"), files(rows.join(second, "o_orderkey", "left_semi"), "/wavs/"),
+        files(rows.where("c_acctbal > 0"), "/texts/"), words, "orders",
+    )
+
+
 @query("expected_inventory", """
 WITH e AS (SELECT o_orderkey AS book, unnest(range(1, 8))::INT AS num FROM orders),
 l AS (SELECT DISTINCT l_orderkey AS book, l_linenumber AS num FROM lineitem WHERE l_linestatus = 'O'),
@@ -155,7 +207,8 @@ def unseen_words(spark, folder):
 SELECT event_type AS batch, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users, round(sum(value), 2) AS total FROM events GROUP BY event_type""")
 def batch_union(spark, folder):
     events = table(spark, folder, "events").select("event_type", "user_id", "value")
-    kinds = ["click", "error", "purchase", "signup", "view"]
+    # one batch per kind of event
+    kinds = [r["event_type"] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
     union = J.union_batches({k: events.where(F.col("event_type") == k) for k in kinds})
     return union.groupBy("batch").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total")

@@ -105,12 +105,12 @@ def composed_vectors(spark, folder):
 WITH t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS tok FROM documents),
 v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM embeddings),
 w AS (SELECT DISTINCT tok FROM t), n AS (SELECT count(*) AS n FROM embeddings),
-k AS (SELECT tok, ('0x' || substr(md5(tok), 1, 6))::BIGINT % 2000 AS vec_id FROM w)
+k AS (SELECT tok, ('0x' || substr(md5(tok), 1, 6))::BIGINT % (SELECT n FROM n) AS vec_id FROM w)
 SELECT doc_id, round(avg(x) FILTER (dim = 1), 6) AS first, round(avg(x) FILTER (dim = 64), 6) AS last FROM t JOIN k USING (tok) JOIN v USING (vec_id) WHERE dim IN (1, 64) GROUP BY doc_id""")
 def document_vectors(spark, folder):
     """Documents as means of their known words' vectors; a word's hash picks its vector, if there is one."""
     docs = documents(spark, folder, "doc_id", "text")
-    key = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 6), 16, 10).cast("long") % 2000
+    key = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 6), 16, 10).cast("long") % F.lit(embeddings(spark, folder).count())
     words = P.vocabulary(docs, T.tokens("text")).select(F.col("token").alias("word"), key.alias("vec_id"))
     vectors = words.join(embeddings(spark, folder), "vec_id").select("word", "vec")
     out = E.pool(docs, vectors, "doc_id")

@@ -108,13 +108,14 @@ def number_or_null(col: Column | str) -> Column:
     return F.when(~col.isin(*NULL_TEXTS), F.trim(col).try_cast("double"))
 
 
-def scan_delimited(spark: SparkSession, path: str, columns: list[str], numeric: list[str] = (), sep: str = ",") -> DataFrame:
+def scan_delimited(spark: SparkSession, path: str, columns: list[str], numeric: list[str] = (), sep: str = ",", multi_line: bool = True) -> DataFrame:
     """A headed CSV or TSV; every cell is text until the named columns are cast.
 
     Columns are taken by header name, and one the file lacks reads as null. An
-    empty cell is the empty text.
+    empty cell is the empty text. Quoted cells may hold line breaks; a file known to have none
+    can be split over tasks with ``multi_line=False``.
     """
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=False, quote='"', escape='"', emptyValue="")
+    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"', emptyValue="", lineSep="\n")
     present = set(raw.columns)
     cells = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in present else F.lit(None).cast("string") for c in columns}
     return raw.select(*[(number_or_null(v) if c in numeric else v).alias(c) for c, v in cells.items()])
@@ -176,10 +177,9 @@ def _wav_udf(content: pd.Series) -> pd.DataFrame:
 def scan_wav_headers(spark: SparkSession, path: str) -> DataFrame:
     """(path, stem, channels, sampwidth, rate, frames, duration_s); an unreadable file lasts 0 s."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    # The head of the file holds the chunk table; the samples stay in the JVM.
-    head = F.when(F.col("length") > 0, F.substring("content", 1, 65536)).otherwise(F.col("content"))
+    # a chunk of any length may stand before the samples, so the walk gets the whole file
     return (
-        raw.select("path", file_stem("path").alias("stem"), _wav_udf(head).alias("h"))
+        raw.select("path", file_stem("path").alias("stem"), _wav_udf("content").alias("h"))
         .select("path", "stem", "h.*")
         .withColumn("duration_s", F.coalesce(F.try_divide("frames", "rate"), F.lit(0.0)))
     )

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Cells come back as they were: blanks and line breaks kept, quotes doubled.
+CELLS = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
+
 def write_report(df: DataFrame, path: str, columns: list[str] | None = None, fmt: str = "csv", mode: str = "errorifexists") -> None:
     """Write the named columns in their order as csv, tsv, json or plain lines."""
     out = df.select(*(columns or df.columns)).write.mode(mode)
     if fmt in ("csv", "tsv"):
-        out.csv(path, header=True, sep="," if fmt == "csv" else "\t", escape='"', emptyValue="", nullValue="")
+        out.csv(path, sep="," if fmt == "csv" else "\t", nullValue="", **CELLS)
     elif fmt == "json":
         out.json(path, ignoreNullFields=False)
     elif fmt == "lines":
@@ -25,10 +29,10 @@ def write_dataset(df: DataFrame, path: str, split: str = "split", mode: str = "e
     The two stand apart so that a loader walking one split never meets the
     manifest's extra columns.
     """
-    df.write.mode(mode).csv(f"{path}/manifest", header=True, escape='"', emptyValue="")
+    df.write.mode(mode).csv(f"{path}/manifest", **CELLS)
     (
         df.select("file_name", "text", split)
-        .write.mode(mode).partitionBy(split).csv(f"{path}/metadata", header=True, escape='"', emptyValue="")
+        .write.mode(mode).partitionBy(split).csv(f"{path}/metadata", **CELLS)
     )
 
 

@@ -16,11 +16,12 @@ from lexiloom.session import scratch_path
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: StructType, time: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream over ``name`` below ``folder``."""
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """A file stream over the table ``name`` below ``folder``, a file or a folder of part files."""
+    source = spark.readStream.schema(schema)
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
-    stream = source.parquet(folder)
+    # as a pattern of one match, which a stream takes for a file and for a folder alike
+    stream = source.parquet(f"{folder}/[{name[0]}]{name[1:]}")
     return stream.withColumn(time, F.col(time).cast("timestamp")) if time else stream
 
 
@@ -46,6 +47,19 @@ def pass_rates(stream: DataFrame, time: str, key: str, passed: Column, width: st
     )
 
 
+def closing_record(stream: DataFrame, time: str, at) -> DataFrame:
+    """The stream with one record more, null but for its time, which lies so late that all sessions end.
+
+    A stream that is drained has no later record to move its watermark; this one stands for it,
+    and its own session is never given out.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, "closing")
+    cells = [F.lit(at).cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*cells).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def pause_sessions(stream: DataFrame, time: str, key: str, gap: str, late: str, value: str) -> DataFrame:
     """Runs of records of one key with no pause longer than ``gap``."""
     sessions = stream.withWatermark(time, late).groupBy(F.col(key), F.session_window(time, gap).alias("s")).agg(

@@ -44,6 +44,15 @@ def test_pronunciations(spark):
 
 # ---- parallel corpus
 
+def test_marks_far_from_their_consonant(spark):
+    """A virama belongs to its consonant however many joiners stand between them, and to none after another virama."""
+    words = ["\u0915" + "\u200d" * 250 + "\u094d", "\u0915\u094d\u094d", "\u094d\u0915"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string")
+    rules = G.DEVANAGARI_SOUNDS
+    bad = {r.i: [u.idx for u in r.u] for r in df.select("i", G.unmapped("word", rules).alias("u")).collect()}
+    assert bad == {0: [], 1: [2], 2: [0]}
+
+
 def test_verse_units(spark):
     lines = [
         r"\id ACT x", r"\c 1", "stray", r"\p", r"\v 1 one \em note\em* here", "wrapped \\bd strong\\bd* line", r"\v 2-3 bridge",
@@ -169,7 +178,7 @@ def test_em_likelihood_does_not_fall(spark):
 
 @pytest.mark.parametrize("report, want", [
     ([(8000, 3.0), (16000, 2.6)], (8000, "several_in_range")), ([(8000, 4.4), (16000, 3.9)], (16000, "one_in_range")),
-    ([(8000, 1.36), (16000, 1.2)], (8000, "nearest_middle")),
+    ([(8000, 1.36), (16000, 1.2)], (8000, "nearest_middle")), ([(4000, 4.6), (8000, 3.0), (16000, 2.6)], (8000, "several_in_range")),
 ])
 def test_choose_vocab(spark, report, want):
     row = U.choose_vocab(spark.createDataFrame(report, "vocab_size int, fertility double")).first()
@@ -228,6 +237,13 @@ def test_nearest_in_slices(spark):
         assert [got[q, k] for k in (1, 2, 3)] == list(np.argsort(-(unit @ unit[q]))[:3])
 
 
+def test_nearest_refuses_repeated_ids(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "word int, vec array<double>")
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "query int, vec array<double>")
+    with pytest.raises(ValueError, match="repeated"):
+        E.nearest(twice, vectors, 2, slice_rows=1)
+
+
 def test_pool_drops_unknown(spark):
     docs = spark.createDataFrame([(1, "a b zz"), (2, "zz")], "id int, text string")
     vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "word string, vec array<double>")
@@ -261,18 +277,19 @@ def test_idf_jaccard_is_exact(spark):
     bags = {i: sorted({f"w{int(x)}" for x in rng.zipf(1.6, 8) if x < 60} | {"common"}) for i in range(60)}
     df = spark.createDataFrame([(i, g) for i, g in bags.items()], "entry int, glosses array<string>")
     idf = {w: math.log(60 / sum(w in g for g in bags.values())) for g in bags.values() for w in g}
-    names = {}
-    for i, g in bags.items():
-        names.setdefault(tuple(g), i)
-    want = {}
-    for ga, a in names.items():
-        for gb, b in names.items():
+    scores = {}
+    for a, ga in bags.items():
+        for b, gb in bags.items():
             both = sum(idf[w] for w in set(ga) & set(gb))
             union = sum(idf[w] for w in set(ga) | set(gb))
-            if a < b and union and both / union >= 0.3:
-                want[a, b] = both / union
-    got = {(r.a, r.b): r.score for r in M.idf_jaccard(df, min_score=0.3).collect()}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+            if a < b and both > 0:
+                scores[a, b] = both / union
+    assert any(s == 1 for s in scores.values())
+    for least in (0.0, 0.3):
+        want = {k: s for k, s in scores.items() if s >= least}
+        rows = M.idf_jaccard(df, min_score=least).collect()
+        got = {(r.a, r.b): r.score for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
 def test_same_stem_and_dictionary(spark):

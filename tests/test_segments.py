@@ -171,3 +171,23 @@ def test_chapter_sentences(spark):
     assert [r.intro for r in S.book_intros(routed).collect()] == ["मत्ती"]
     got = S.chapter_sentences(routed).orderBy("num").collect()
     assert [(r.num, r.text) for r in got] == [(1, "एक दुई तीन।"), (2, "चार पाँच॥"), (3, "छ")]
+
+
+def test_quality_record_without_words_fails(spark):
+    """Repeated report rows, a tier without words, and a segment without an interval file."""
+    analysis = spark.createDataFrame(
+        [("B_1_seg_1", 0.0, 9.0), ("B_1_seg_2", None, 9.0), ("B_1_seg_3", 0.0, 9.0)], "segment string, begin double, end double"
+    ).selectExpr("*", "-50.0D AS overall_log_likelihood", "0.0D AS speech_log_likelihood", "1.0D AS phone_duration_deviation", "CAST(NULL AS DOUBLE) AS snr")
+    report = spark.createDataFrame([("B_1_seg_1", "c", "low", "x"), ("B_1_seg_1", "c", "high", "")], "segment string, chapter string, confidence string, reason string").coalesce(1)
+    files = spark.createDataFrame([("B_1_seg_1", "/1"), ("B_1_seg_2", "/2"), ("B_1_seg_3", "/3")], "stem string, path string")
+    word = lambda s, i, t: (s, i, i * 1.0, i + 0.8, t)
+    intervals = spark.createDataFrame(
+        [word("B_1_seg_1", i, "w") for i in range(5)] + [word("B_1_seg_2", i, "") for i in range(5)] + [word("B_1_seg_3", i, "w") for i in range(5)],
+        "segment string, idx long, xmin double, xmax double, text string")
+    out = S.collect_record(analysis, report, files.where("stem <> 'B_1_seg_3'"), files, files, intervals, "b1")
+    assert out.columns == S.QC_FIELDS
+    rows = {r.segment: r for r in out.collect()}
+    assert len(rows) == out.count() == 3
+    assert (rows["B_1_seg_1"].qc_pass, rows["B_1_seg_1"].segmentation_confidence, rows["B_1_seg_1"].n_words_aligned) == (True, "high", 5)
+    assert (rows["B_1_seg_2"].aligned, rows["B_1_seg_2"].qc_reasons, rows["B_1_seg_2"].duration_s) == (False, "alignment_failed", 9.0)
+    assert (rows["B_1_seg_3"].aligned, rows["B_1_seg_3"].speech_begin_s, rows["B_1_seg_3"].chapter) == (False, None, "B_1")

@@ -92,9 +92,14 @@ def test_wav_headers(spark, tmp_path):
     wav(tmp_path / "stereo.wav", 2, 2, 16000, 100)
     wav(tmp_path / "slow.wav", 1, 2, 8000, 100)
     (tmp_path / "broken.wav").write_bytes(b"not audio")
+    # a chunk longer than any prefix stands before the samples
+    data = (tmp_path / "mono.wav").read_bytes()
+    note = b"LIST" + (200_001).to_bytes(4, "little") + b"x" * 200_002
+    (tmp_path / "noted.wav").write_bytes(data[:4] + (len(data) + len(note) - 8).to_bytes(4, "little") + data[8:12] + note + data[12:])
     heads = R.scan_wav_headers(spark, str(tmp_path))
     got = {r.stem: (r.channels, r.sampwidth, r.rate, r.frames, r.duration_s) for r in heads.collect()}
     assert got["mono"] == (1, 2, 16000, 8000, 0.5)
+    assert got["noted"] == got["mono"]
     assert got["broken"] == (None, None, None, None, 0.0)
     assert {r.stem: r.reason for r in R.wav_violations(heads).collect()} == {
         "stereo": "expected 1ch/16-bit, got 2ch/16-bit", "slow": "expected 16000 Hz, got 8000 Hz", "broken": "unreadable header"}
@@ -113,3 +118,28 @@ def test_vocab_and_sinks(spark, tmp_path):
     lexicon = spark.createDataFrame([("क", ["k", "a"])], "word string, phones array<string>")
     W.write_lexicon(lexicon, str(tmp_path / "l"))
     assert spark.read.text(str(tmp_path / "l")).first().value == "क\tk a"
+
+
+def test_cells_with_line_breaks_come_back(spark, tmp_path):
+    texts = ["two\nlines", ' blanks around ', 'a "quoted",\n\n"cell"', "", "tab\there", "plain"]
+    df = spark.createDataFrame([(f"{i}.wav", t, f"s{i}", "train") for i, t in enumerate(texts)], "file_name string, text string, segment string, split string")
+    for fmt, sep in (("csv", ","), ("tsv", "\t")):
+        W.write_report(df, str(tmp_path / fmt), fmt=fmt)
+        back = R.scan_delimited(spark, str(tmp_path / fmt), df.columns, sep=sep)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    W.write_dataset(df, str(tmp_path / "d"))
+    for part in ("manifest", "metadata"):
+        rows = R.scan_delimited(spark, str(tmp_path / "d" / part), ["file_name", "text", "split"]).collect()
+        assert sorted(r.text for r in rows) == sorted(texts)
+
+
+def test_streams_read_files_and_folders(spark, tmp_path):
+    from lexiloom.streaming import verdicts as X
+
+    df = spark.range(1000).withColumnRenamed("id", "x")
+    df.repartition(4).write.parquet(str(tmp_path / "t.parquet"))
+    one = tmp_path / "one"
+    df.coalesce(1).write.parquet(str(one))
+    next(one.glob("part-*")).rename(tmp_path / "single.parquet")
+    for name in ("t.parquet", "single.parquet"):
+        assert X.drain(X.read_stream(spark, str(tmp_path), name, df.schema), "rows").count() == 1000
