@@ -33,7 +33,7 @@ SENSITIVE = {
     "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 0.9, "bearer": 0.8, "auth": 0.6, "pass": 0.7, "pin": 0.5, "salt": 0.5, "key": 0.5,
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:changeme|example.*|placeholder|your[-_ ].*|x{3,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|none|null|true|false|test|todo)$")
-LEAST_SCORE = 1.0
+LEAST_SCORE = 1.3
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 SCHEMA = "id bigint, spans array<struct<start:int,end:int,kind:string,name:string,score:double>>"
