@@ -6,10 +6,13 @@ long, so ordered steps go through ``ordered_scan`` in chunks of frames.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiloom.functions import text as T
 from lexiloom.operators.joins import enrich_segments
@@ -228,6 +231,50 @@ def _walk(durations: np.ndarray, open_ms: int | None, lo: int, hi: int) -> tuple
     return starts, open_ms
 
 
+def _head(d: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of a chunk in which an entering group must close, and for each the sum left open at the
+    chunk's end if a group starts there."""
+    before = np.concatenate([[0], np.cumsum(d)])
+    over = np.flatnonzero(before[1:] > hi)
+    n = len(d) if not len(over) else min(len(d), int(over[0]) + 2)
+    # first piece at which a group started at each position is closed
+    closing = np.maximum.reduce([
+        np.searchsorted(before, before[:-1] + lo, side="left"),
+        np.searchsorted(before, before[:-1] + hi, side="right") - 1,
+        np.arange(1, len(d) + 1),
+    ])
+    left = (before[-1] - before[:-1]).tolist()
+    for p in range(len(d) - 1, -1, -1):
+        if closing[p] < len(d):
+            left[p] = left[closing[p]]
+    return d[:n], np.array(left[:n], dtype=np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(key, value arrays) of each run of rows with one key, which may reach over batches; one run is in memory."""
+    at, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        columns = [batch.column(v).to_numpy(zero_copy_only=False) for v in values]
+        borders = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for i, j in zip(borders, borders[1:]):
+            if held and names[i] != at:
+                yield at, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            at = names[i]
+            held.append([c[i:j] for c in columns])
+    if held:
+        yield at, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _rows(types: dict, keys: tuple, n: int, **columns) -> pa.RecordBatch:
+    names = [*list(types)[: len(keys)], *columns]
+    arrays = [pa.array([k] * n, types[name]) for k, name in zip(keys, types)] + [pa.array(c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def merge_runs(pieces: DataFrame, clip: str = "clip", lo: int = MERGE_MIN_MS, hi: int = MERGE_MAX_MS, chunk: int = 1 << 14) -> DataFrame:
     """Greedy groups of consecutive pieces: (clip, idx, dur, group_no) with idx from 0 without gaps.
 
@@ -243,47 +290,41 @@ def merge_runs(pieces: DataFrame, clip: str = "clip", lo: int = MERGE_MIN_MS, hi
     keyed = cut_lineage(pieces.select(clip, F.col("idx").cast("long"), F.col("dur").cast("long").alias("dur")).withColumn(
         "__ch", F.floor(F.col("idx") / chunk)
     ), "pieces")
-    kt = pieces.schema[clip].dataType.simpleString()
-
-    def head(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("idx")["dur"].to_numpy()
-        before = np.concatenate([[0], np.cumsum(d)])
-        over = np.flatnonzero(before[1:] > hi)
-        n = len(d) if not len(over) else min(len(d), int(over[0]) + 2)
-        # first piece at which a group started at each position is closed
-        closing = np.maximum.reduce([
-            np.searchsorted(before, before[:-1] + lo, side="left"),
-            np.searchsorted(before, before[:-1] + hi, side="right") - 1,
-            np.arange(1, len(d) + 1),
-        ])
-        left = before[-1] - before[:-1]
-        for p in range(len(d) - 1, -1, -1):
-            if closing[p] < len(d):
-                left[p] = left[closing[p]]
-        return pd.DataFrame({clip: [pdf[clip].iloc[0]], "__ch": [pdf["__ch"].iloc[0]], "head": [d[:n]], "left": [left[:n]]})
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__ch")
-        entering, state = [], None
-        for ahead, left in zip(pdf["head"], pdf["left"]):
-            entering.append(-1 if state is None else state)
-            for d, after in zip(ahead, left):
-                if state is None or (state >= lo and state + d > hi):
-                    state = int(after)
-                    break
-                state += int(d)
-        return pd.DataFrame({clip: pdf[clip].to_numpy(), "__ch": pdf["__ch"].to_numpy(), "__open": entering})
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        first = int(pdf["__open"].iloc[0])
-        flags, _ = _walk(pdf["dur"].to_numpy(), None if first < 0 else first, lo, hi)
-        return pdf[[clip, "idx", "dur"]].assign(__start=flags.astype("int64"))
-
-    heads = keyed.groupBy(clip, "__ch").applyInPandas(head, f"`{clip}` {kt}, __ch long, head array<long>, left array<long>")
-    entered = heads.groupBy(clip).applyInPandas(carry, f"`{clip}` {kt}, __ch long, __open long")
-    flagged = cut_lineage(keyed.join(entered, [clip, "__ch"]).groupBy(clip, "__ch").applyInPandas(
-        starts, f"`{clip}` {kt}, idx long, dur long, __start long"
+    clip_type = pieces.schema[clip].dataType
+    fields = lambda *names: ", ".join(f"{n} {t}" for n, t in names)
+    kt = (f"`{clip}`", clip_type.simpleString())
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, (durations,) in _runs(batches, [clip, "__ch"], ["dur"]):
+            ahead, left = _head(durations, lo, hi)
+            yield _rows(batch_schema, keys, 1, head=[ahead.tolist()], left=[left.tolist()])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            entering = []
+            for key, ahead, left in zip(*(batch.column(c).to_pylist() for c in (clip, "head", "left")), strict=True):
+                if key != at:
+                    at, state = key, None
+                entering.append(-1 if state is None else state)
+                for d, after in zip(ahead, left, strict=True):
+                    if state is None or (state >= lo and state + d > hi):
+                        state = after
+                        break
+                    state += d
+            yield pa.RecordBatch.from_arrays([batch.column(clip), batch.column("__ch"), pa.array(entering, pa.int64())], names=[clip, "__ch", "__open"])
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, (index, durations, opened) in _runs(batches, [clip, "__ch"], ["idx", "dur", "__open"]):
+            flags, _ = _walk(durations, None if opened[0] < 0 else int(opened[0]), lo, hi)
+            yield _rows(batch_schema, keys[:1], len(index), idx=index, dur=durations, __start=flags.astype(np.int64))
+
+    batch_schema = {clip: to_arrow_type(clip_type), "__ch": pa.int64()}
+    placed = lambda df, by, *order: df.repartition(*by).sortWithinPartitions(*by, *order)
+    heads = placed(keyed, [clip, "__ch"], "idx").mapInArrow(head, fields(kt, ("__ch", "long"), ("head", "array<long>"), ("left", "array<long>")))
+    entered = placed(heads, [clip], "__ch").mapInArrow(carry, fields(kt, ("__ch", "long"), ("__open", "long")))
+    flagged = cut_lineage(placed(keyed.join(entered, [clip, "__ch"]), [clip, "__ch"], "idx").mapInArrow(
+        starts, fields(kt, ("idx", "long"), ("dur", "long"), ("__start", "long"))
     ), "groups")
     numbered = ordered_scan(flagged, [clip], ["idx"], _chunk("idx", chunk), __before=("sum_before", "__start"))
     return numbered.select(clip, "idx", "dur", (F.col("__before") + F.col("__start") - 1).alias("group_no"))
@@ -312,21 +353,23 @@ def assign_words(groups: DataFrame, words: DataFrame, clip: str = "clip", min_wo
     )
     share = F.greatest(F.bround(F.col("__w") * (F.col("dur") / F.col("__total"))), F.lit(1.0)).cast("long")
     shared = ordered_scan(
-        sized.withColumn("__extra", share - 1), [clip], ["group_no"], _chunk("group_no", chunk),
-        words.select(clip, "words"), __s=("sum_before", "__extra"),
+        sized.withColumn("__extra", share - 1), [clip], ["group_no"], _chunk("group_no", chunk), __s=("sum_before", "__extra"),
     )
     spare = F.col("__w") - F.col("__g")
     start = F.col("__i") - 1 + F.least(F.col("__s"), spare)
     stop = F.when(F.col("__i") == F.col("__g"), F.col("__w")).otherwise(
         F.col("__i") + F.least(F.col("__s") + F.col("__extra"), spare)
     )
-    text = F.array_join(F.slice("words", (F.col("__from") + 1).cast("int"), F.col("n_words").cast("int")), " ")
-    return (
+    slices = (
         shared.where(spare >= 0)
         .withColumn("__from", start).withColumn("n_words", stop - start)
         .where(F.col("n_words") >= min_words)
-        .select(clip, "group_no", "dur", "n_words", text.alias("text"))
     )
+    # a clip has fewer slices than words, so its slices fit where its words do
+    lists = slices.groupBy(clip).agg(F.collect_list(F.struct("group_no", "dur", "n_words", "__from")).alias("__s"))
+    text = lambda g: F.array_join(F.slice("words", (g["__from"] + 1).cast("int"), g["n_words"].cast("int")), " ")
+    cut = lambda g: F.struct(g["group_no"].alias("group_no"), g["dur"].alias("dur"), g["n_words"].alias("n_words"), text(g).alias("text"))
+    return lists.join(words.select(clip, "words"), clip).select(clip, F.explode(F.transform("__s", cut)).alias("g")).select(clip, "g.*")
 
 
 def shift_pairs(units: DataFrame, key: str = "chapter", k: int = 2, chunk: int = 1 << 16) -> DataFrame:
