@@ -288,12 +288,17 @@ def chapter_line(col: Column | str, rules: TranscriptRules = DEVANAGARI_TRANSCRI
 
 # ---------------------------------------------------------------- inventories
 
-def adapt_text(col: Column | str, missing: list[str], policy: dict[str, str] | None = None) -> Column:
-    """Replace each missing character by its policy text (default: delete)."""
+def adaptation_policy(missing: list[str], danda: str = "", overrides: dict[str, str] | None = None) -> dict[str, str]:
+    """What stands for a missing character: nothing for the joiner, ``danda`` for sentence ends, then the overrides."""
+    plain = {"\u200d": "", "।": danda, "॥": danda}
+    return {c: t for c, t in plain.items() if c in missing} | (overrides or {})
+
+
+def adapt_text(col: Column | str, missing: list[str], policy: dict[str, str] | None = None, default: str = "") -> Column:
+    """Replace each missing character by its policy text, one without a policy by ``default`` (empty: delete)."""
     if not missing:
         return collapse_space(col)
     policy = policy or {}
-    default = policy.get("__default__", "")
     deleted = [c for c in missing if policy.get(c, default) == ""]
     mapped = {c: policy.get(c, default) for c in missing if policy.get(c, default) != ""}
     out = _c(col)

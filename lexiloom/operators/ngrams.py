@@ -77,15 +77,13 @@ def fill_mask(model: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def perplexity(model: DataFrame, test: DataFrame, tokens: Column, n: int = 2, alpha: float = 1.0, first_rows: int | None = None, order: list[str] | None = None) -> DataFrame:
+def perplexity(model: DataFrame, test: DataFrame, tokens: Column, n: int = 2, alpha: float = 1.0) -> DataFrame:
     """One row (events, perplexity, uniform, ratio): add-alpha, weighted by token.
 
     Held-out events are counted first, so each distinct event meets the model
     once, however frequent. The vocabulary is the model's next tokens and one
-    unknown. ``first_rows`` takes the first rows in ``order``.
+    unknown.
     """
-    if first_rows is not None:
-        test = test.orderBy(*order).limit(first_rows)
     events = ngram_model(test, tokens, n).withColumnRenamed("n", "__c")
     totals = model.groupBy("context").agg(F.sum("n").alias("__t"))
     size = model.agg(F.countDistinct("next") + 1).scalar()

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -234,29 +234,33 @@ def first_counts(cells: DataFrame) -> DataFrame:
 
 
 def normalise(counts: DataFrame) -> DataFrame:
-    """(s, t, p): counts as probabilities of t given s. A source token has at most one row per target type here."""
+    """(s, t, p): written counts as probabilities of t given s. A frequent source token has many targets, so it is dealt over tasks."""
     totals = counts.groupBy("s").agg(F.sum("c").alias("__z"))
-    return counts.join(totals, "s").select("s", "t", (F.col("c") / F.col("__z")).alias("p"))
+    return spread_join(counts.select("s", "t", "c"), totals, ["s"], spread_by=["t"]).select("s", "t", (F.col("c") / F.col("__z")).alias("p"))
 
 
 def translation_table(cells: DataFrame, key: list[str], rounds: int = 5) -> tuple[DataFrame, list[float]]:
     """(s, t, p) after EM rounds and the log likelihood entering each later round.
 
-    Cells come from a written table; each round's table is written too, so a
-    lost executor repeats one round at most.
+    Cells come from a written table; a round reads them once, and its counts are the one table it
+    writes, so a lost executor repeats one round at most. The likelihood is summed along with the
+    counts, each target token's share being split over its cells.
     """
     hot = cut_lineage(hot_keys(cells, ["s", "t"]), "hot-pairs")
-    table = cut_lineage(normalise(cut_lineage(first_counts(cells))))
+    table = normalise(cut_lineage(first_counts(cells), "counts"))
     history = []
+    target = Window.partitionBy(*key, "t")
     for _ in range(rounds - 1):
         weighted = spread_join(cells, table, ["s", "t"], spread_by=key, hot=hot).withColumn("__w", F.col("ns") * F.col("p"))
-        weighted = cut_lineage(weighted.select(*key, "s", "t", "nt", "total", "__w"))
-        sums = weighted.groupBy(*key, "t", "nt", "total").agg(F.sum("__w").alias("__z"))
-        history.append(sums.agg(F.sum(F.col("nt") * F.log(F.col("__z") / F.col("total")))).first()[0])
-        shares = weighted.join(sums.select(*key, "t", "__z"), [*key, "t"])
-        counts = shares.groupBy("s", "t").agg(F.sum(F.col("nt") * F.col("__w") / F.col("__z")).alias("c"))
-        table = cut_lineage(normalise(cut_lineage(counts)))
-    return table, history
+        # a target token of one sentence pair has as many cells as the pair's source has types
+        summed = weighted.select("s", "t", "nt", "total", "__w", F.sum("__w").over(target).alias("__z"), F.count(F.lit(1)).over(target).alias("__m"))
+        counts = cut_lineage(summed.groupBy("s", "t").agg(
+            F.sum(F.col("nt") * F.col("__w") / F.col("__z")).alias("c"),
+            F.sum(F.col("nt") * F.log(F.col("__z") / F.col("total")) / F.col("__m")).alias("likelihood"),
+        ), "counts")
+        history.append(counts.agg(F.sum("likelihood")).first()[0])
+        table = normalise(counts)
+    return cut_lineage(table, "translations"), history
 
 
 def best_links(cells: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:

@@ -222,3 +222,19 @@ def context_rate(df: DataFrame, suffixes: list[str], markers: list[str], text: s
         F.struct(F.lit(s).alias("suffix"), F.col(f"n{i}").alias("sentences"), F.col(f"m{i}").alias("with_marker"))
         for i, s in enumerate(suffixes)])).alias("r")).select("r.*")
     return out.withColumn("rate", F.when(F.col("sentences") > 0, F.col("with_marker") / F.col("sentences")))
+
+
+# ---------------------------------------------------------------- adaptation
+
+def adapt_dataset(df: DataFrame, key: str, missing: list[str], policy: dict[str, str] | None = None, text: str = "text") -> DataFrame:
+    """The rows with their text adapted to an inventory; refused if any row would be left empty.
+
+    The refusal names a few of the rows; no more than those reach the driver.
+    """
+    out = df.withColumn(text, T.adapt_text(F.col(text), missing, policy))
+    empty = out.where(F.coalesce(T.strip_space(text), F.lit("")) == "")
+    n = empty.count()
+    if n:
+        some = [r[key] for r in empty.orderBy(key).limit(3).collect()]
+        raise ValueError(f"adaptation empties {n} rows, such as {some}")
+    return out

@@ -136,10 +136,6 @@ def pronunciation_vocabulary(df: DataFrame, text: str = "text", rules: SoundRule
     return each.select(T.strip_chars("t", rules.strip).alias("word")).where(F.col("word") != "").distinct()
 
 
-def lexicon_entries(spoken: DataFrame) -> DataFrame:
-    return spoken.where(F.col("phones").isNotNull()).select("word", "phones")
-
-
 def unmapped_report(spoken: DataFrame) -> DataFrame:
     """(word, chars) with each offending character as U+XXXX(c)@index."""
     from lexiloom.operators.profile import code_point_label

@@ -107,14 +107,6 @@ def _expected(words: pd.Series, counts: pd.Series, scores: dict[str, float], lon
     return used, likelihood
 
 
-def _local_scores(pieces: DataFrame) -> dict[str, float]:
-    """The piece table on the driver; its size is the trainer's parameter, and is checked."""
-    rows = pieces.select("piece", "score").limit(MAX_BROADCAST_PIECES + 1).collect()
-    if len(rows) > MAX_BROADCAST_PIECES:
-        raise ValueError(f"more than {MAX_BROADCAST_PIECES} pieces; lower seed_size")
-    return {r.piece: r.score for r in rows}
-
-
 LIKELIHOOD = "﷑"
 
 
@@ -209,11 +201,11 @@ def _best_path(word: str, scores: dict[str, float], longest: int, penalty: float
     return out
 
 
-def encoder(vocab: DataFrame) -> "tuple[Column, Column]":
-    """Column functions text -> pieces and text -> ids for a checked, broadcast vocabulary.
+def encoder(vocab: DataFrame):
+    """Column function text -> (pieces, ids) for a checked, broadcast vocabulary.
 
     Encoding stays inside the row: no token ever crosses a shuffle, and each
-    task remembers the words it has already split.
+    task remembers the words it has already split, of which each is split once for both.
     """
     rows = vocab.select("piece_id", "piece", "score").limit(MAX_BROADCAST_PIECES + 1).collect()
     if len(rows) > MAX_BROADCAST_PIECES:
@@ -225,37 +217,35 @@ def encoder(vocab: DataFrame) -> "tuple[Column, Column]":
         (ids, scores, max(map(len, scores)), min(scores.values()) - 10.0)
     )
 
-    def split(text: str, memo: dict) -> list[str]:
-        _, table, longest, penalty = shared.value
-        out = []
-        for word in text.split():
-            if word not in memo:
-                if len(memo) > 200_000:
-                    memo.clear()
-                memo[word] = _best_path(SPACE_MARK + word, table, longest, penalty)
-            out += memo[word]
-        return out
-
-    @F.pandas_udf(ST.ArrayType(ST.StringType()))
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("pieces array<string>, ids array<int>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known, table, longest, penalty = shared.value
         memo: dict = {}
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else split(t, memo))
-
-    @F.pandas_udf(ST.ArrayType(ST.IntegerType()))
-    def piece_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict = {}
-        known = shared.value[0]
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else [known.get(p, UNK_ID) for p in split(t, memo)])
+            pieces, numbers = [], []
+            for text in texts:
+                if text is None:
+                    pieces.append(None)
+                    numbers.append(None)
+                    continue
+                out: list[str] = []
+                for word in text.split():
+                    if word not in memo:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        memo[word] = _best_path(SPACE_MARK + word, table, longest, penalty)
+                    out += memo[word]
+                pieces.append(out)
+                numbers.append([known.get(p, UNK_ID) for p in out])
+            yield pd.DataFrame({"pieces": pieces, "ids": numbers})
 
-    return pieces, piece_ids
+    return split
 
 
 def encode(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
     """Add ``pieces`` and ``ids``."""
-    pieces, piece_ids = encoder(vocab)
-    return df.withColumn("pieces", pieces(text)).withColumn("ids", piece_ids(text))
+    both = df.withColumn("__e", encoder(vocab)(text))
+    return both.withColumn("pieces", F.col("__e.pieces")).withColumn("ids", F.col("__e.ids")).drop("__e")
 
 
 def tokeniser_report(encoded: DataFrame, by: list[str] | None = None) -> DataFrame:

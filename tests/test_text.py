@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -89,3 +90,13 @@ def test_skip_reason(spark):
     reasons = [r.r for r in df.select(T.skip_reason("t", F.col("gone")).alias("r")).collect()]
     assert reasons == [None, "empty transcript", "under 3 words after cleaning", "source file missing", "source file missing"]
 
+
+def test_adaptation_refuses_emptied_rows(spark):
+    from lexiloom.operators import profile as P
+
+    policy = T.adaptation_policy(["\u200d", "।", "x"], danda=".", overrides={"x": "ks"})
+    assert policy == {"\u200d": "", "।": ".", "x": "ks"}
+    df = spark.createDataFrame([(1, "क\u200dख। x"), (2, "y")], "id int, text string")
+    assert [r.text for r in P.adapt_dataset(df, "id", ["\u200d", "।", "x"], policy).orderBy("id").collect()] == ["कख. ks", "y"]
+    with pytest.raises(ValueError, match=r"empties 1 rows, such as \[2\]"):
+        P.adapt_dataset(df, "id", ["y"])
