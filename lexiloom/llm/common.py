@@ -23,12 +23,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def space_words(text: Column) -> Column:
-    """Words between ASCII white space, A-Z lower-cased; an empty or null text has none."""
-    bare = F.btrim(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
-
-
 def row_key(*columns: str) -> Column:
     """A hash that names a row by the given columns, nulls included; equal rows share it."""
     return F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in columns])

@@ -2,27 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from lexiloom.llm.common import keep_ids, space_words
+from lexiloom.llm.common import keep_ids
 from lexiloom.llm.components import connected_components
 from lexiloom.session import cut_lineage
 
-SKETCH = 32  # retained hash values
-OVERLAP = 10  # retained values two sketches of a linked pair share at least
+SKETCH = 48  # retained hash values
+OVERLAP = 22  # retained values two sketches of a linked pair share at least
+CROWD = 32  # members of a list up to which its components are compared pair by pair
+BATCH = 1_000  # rows whose full sets are handed back at a time
+MIX = np.uint64(0x9E3779B97F4A7C15)
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of ``width`` consecutive words of a text in UTF-8.
+
+    Words stand between ASCII white space, A-Z counting as a-z; fewer words are one shingle.
+    """
+    words = text.translate(LOWER_BYTES).split() if text else ()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    starts = max(1, len(words) - width + 1) if len(words) else 0
+    chain = hashes[:starts]
+    for j in range(1, min(width, len(words))):
+        chain = (chain ^ (chain >> np.uint64(29))) * MIX + hashes[j : j + starts]
+    return np.unique((chain ^ (chain >> np.uint64(32))).view(np.int64))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles): sorted distinct 64-bit hashes of ``width`` consecutive words."""
-    words = docs.select("id", space_words(F.col("text")).alias("words"))
-    size = F.size("words")
-    starts = F.greatest(size - (width - 1), F.lit(0))
-    chain = F.transform(F.slice("words", F.lit(1), starts), lambda w: F.xxhash64(w))
-    for j in range(1, width):
-        chain = F.zip_with(chain, F.slice("words", F.lit(1 + j), starts), lambda h, w: F.xxhash64(h, w))
-    some = F.when(size >= width, chain).when(size > 0, F.array(F.xxhash64("words"))).otherwise(F.array().cast("array<bigint>"))
-    return words.select("id", F.sort_array(F.array_distinct(some)).alias("shingles"))
+    """(id, shingles) of rows (id, text)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                yield _set_batch(part.column(0), [shingles(t, width) for t in part.column(1).to_pylist()])
+
+    id_type = docs.schema["id"].dataType
+    schema = StructType([StructField("id", id_type), StructField("shingles", ArrayType(LongType()))])
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(sets, schema)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
+
+
+def _set_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, _lists(sets)], names=["id", "shingles"])
+
+
+def shingle_sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(id, n, k1, k2, sketch) of rows (id, text): the set's size, 128 bits of hash and smallest values."""
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            k1, k2 = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(k1), pa.array(k2), _lists([s[:SKETCH] for s in sets])],
+                names=["id", "n", "k1", "k2", "sketch"])
+
+    rows = docs.select("id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(sketches, "id bigint, n int, k1 bigint, k2 bigint, sketch array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -35,12 +86,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     become one class. (2) Retained values have inverted lists. A class enters only the
     lists of its rarest values, as many as leave out fewer than the overlap that a
     linked pair has: exactly percent of the set where sketches hold whole sets, else
-    OVERLAP of SKETCH, which a pair at 0.8 misses with a chance below 1e-8.
+    OVERLAP of SKETCH, which a pair at 0.8 misses with a chance of 1e-7.
     (3) Each list compares its members with two of its own, the one with the most
     shared values and one by lot, so that a group of copies costs its size, not its
-    square. (4) Lists that still hold several components compare across them.
-    Both rounds first estimate similarity on the union of the sketches and then
-    confirm it on the full sets of the surviving pairs.
+    square. (4) Lists that still hold several components compare across them. Lists of more
+    than CROWD members do so through the rarest values of their members' full sets, where
+    the places of a common value bound the overlap exactly: in a crowd of texts that are
+    alike, but not enough, each begins with values of its own and meets no other.
+    Rounds (3) and (4) estimate similarity on the union of the sketches, and every link is
+    confirmed on the full sets.
 
     Cases. Null and empty texts have no shingles and are linked with nothing. Null ids
     are counted but linked with nothing and kept. Repeated rows share their class, so
@@ -48,11 +102,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sketches = cut_lineage(
-        shingle_sets(docs, width).select(
-            "id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("k1"), F.xxhash64(F.lit(1), "shingles").alias("k2"),
-            F.slice("shingles", 1, SKETCH).alias("sketch")),
-        "sketches")
+    sketches = cut_lineage(shingle_sketches(docs, width), "sketches")
     linkable = sketches.where("n > 0 AND id IS NOT NULL")
     classes = cut_lineage(
         linkable.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
@@ -61,8 +111,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = _estimated(_star_pairs(lists, percent), classes, percent)
     links = _confirmed(stars, docs, width, percent)
     parts = connected_components(links)
-    across = _across_pairs(lists, parts, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = _confirmed(_estimated(across, classes, percent), docs, width, percent)
+    across, crowded = _across(lists, parts, percent)
+    more = _confirmed(_estimated(across, classes, percent), docs, width, percent).unionByName(_crowded_links(crowded, docs, width, percent))
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
 
@@ -115,18 +165,42 @@ def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _across_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of members of one list that lie in different components."""
+def _across(lists: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of members of one short list that lie in different components, and the
+    members (rep, part) of the longer lists that hold several components."""
     placed = lists.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "value", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    mixed = placed.groupBy("value").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("value")
-    placed = cut_lineage(placed.join(mixed, "value", "left_semi"), "across")
-    left = placed.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = placed.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    return (
-        left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _similar_sizes("na", "nb", percent))
-        .select("a", "b").distinct()
-    )
+    mixed = placed.groupBy("value").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("members")).where("p < q")
+    placed = cut_lineage(placed.join(mixed.select("value", "members"), "value"), "across")
+    short = placed.where(F.col("members") <= CROWD)
+    left = short.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    right = short.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    pairs = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _similar_sizes("na", "nb", percent))
+    return pairs.select("a", "b").distinct(), placed.where(F.col("members") > CROWD).select("rep", "part").distinct()
+
+
+def _crowded_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members (rep, part), by exact prefix filtering.
+
+    Sets are put in one order, the rarest values first. If the first common value of two linked
+    sets is the i-th of one of n values, n - i + 1 values at least are as many as the overlap needs.
+    """
+    members = cut_lineage(members, "crowd")
+    sets = shingle_sets(keep_ids(docs, "id", members.select(F.col("rep").alias("id"))), width).withColumnRenamed("id", "rep")
+    sets = cut_lineage(sets.join(members, "rep").select("rep", "part", F.size("shingles").alias("n"), "shingles"), "sets")
+    postings = sets.select("rep", "part", "n", F.explode("shingles").alias("value"))
+    common = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = (
+        postings.join(common, "value", "left").groupBy("rep", "part", "n")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value"))).alias("values")))
+    front = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int") + 1
+    first = ranked.select("rep", "part", "n", F.posexplode(F.slice("values", F.lit(1), front)).alias("at", "v")).where("v.df > 1")
+    first = cut_lineage(first.select(F.col("v.value").alias("value"), "rep", "part", "n", "at"), "fronts")
+    side = lambda end: first.select("value", F.col("rep").alias(end), F.col("part").alias(f"p{end}"), F.col("n").alias(f"n{end}"), F.col("at").alias(f"i{end}"))
+    needed = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent))
+    fits = (F.col("na") - F.col("ia") >= needed) & (F.col("nb") - F.col("ib") >= needed)
+    pairs = side("a").join(side("b"), "value").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits).select("a", "b").distinct()
+    return _linked(pairs, sets.select(F.col("rep").alias("id"), "shingles"), percent)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -143,11 +217,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs linked on their full shingle sets; only texts of some pair are shingled again."""
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    # rows of one id that differ are told apart by the class they stand for: the smallest set hash is arbitrary but fixed
-    sets = shingle_sets(keep_ids(docs, "id", ids), width).where(F.size("shingles") > 0)
-    sets = cut_lineage(sets, "sets")
+    return _linked(pairs, cut_lineage(shingle_sets(keep_ids(docs, "id", ids), width), "sets"), percent)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s{end}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
     both = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
-    return cut_lineage(both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b").distinct(), "links")
+    return cut_lineage(both.where((F.col("i") > 0) & (F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent)).select("a", "b").distinct(), "links")
