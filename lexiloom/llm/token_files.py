@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -112,28 +114,56 @@ def read_planes(folder: str, name: str) -> Iterator[tuple[int | None, np.ndarray
 
 # ---- tables
 
+# Fixed value: how the word tokenizer cuts lower-cased text.
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# The same for texts of the first 256 characters, which are composed already and have one lower case each.
+LETTERS, NUMBERS, SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is printable, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins text across a blank or line break,
-    so that each piece between them is encoded once and remembered."""
+    """Ids of whole texts, as little-endian 32-bit bytes, equal to those of the tokenizer file's library.
 
-    def __init__(self, tokenizer_file: str, remembered: int = 300_000):
+    Texts of Latin letters are cut into words as the tokenizer does, and the library's model
+    is asked once for each word, of which ``remembered`` at most are kept. Other texts, texts that
+    hold a special token's string, and other kinds of tokenizers go to the library whole.
+    """
+
+    def __init__(self, tokenizer_file: str, remembered: int = 200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.remembered = Tokenizer.from_file(tokenizer_file), {}, remembered
-
-    def __call__(self, text: str) -> list[int]:
-        pieces = text.replace("\n", " ").split(" ")
-        known = self.known
-        if new := [p for p in set(pieces) if p not in known]:
-            if len(known) + len(new) > self.remembered:
-                known.clear()
-                new = list(set(pieces))
-            for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[piece] = e.ids
-        out: list[int] = []
-        for p in pieces:
-            out += known[p]
-        return out
+        kind = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (kind["normalizer"] or {}).get("normalizers", [])]
+        cut = ((kind["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and cut == WORD_PATTERN
+        self.special = [t["content"] for t in kind["added_tokens"]]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_words or not self._latin(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        words, known = LATIN_WORDS.findall(text.lower()), self.known
+        new = [w for w in set(words) if w not in known]
+        if len(known) + len(new) > self.remembered:
+            known.clear()
+            new = set(words)
+        for w in new:
+            spelled = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
+            known[w] = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        return b"".join(map(known.__getitem__, words))
+
+    @staticmethod
+    def _latin(text: str) -> bool:
+        return text.isascii() or max(text) <= "ÿ"
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, unit: str = "byte") -> DataFrame:
@@ -150,7 +180,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, id_col:
 
         from pyspark import TaskContext
 
-        part, encoder, writer, tokens = TaskContext.get().partitionId(), None, None, 0
+        part, end, tokens = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes(), 0
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
         rows = arrow_rows(batches, "id", "text")
         first = next(rows, None)
@@ -160,7 +190,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, id_col:
         with shared_output(folder, name) as stream:
             writer = PlaneWriter(stream, unit)
             for id_, text in (r for source in ([first], rows) for r in source):
-                ids = np.array([*encoder(text or ""), end_id], dtype="<u4")
+                ids = np.frombuffer(encoder(text or "") + end, dtype="<u4")
                 tokens += len(ids)
                 writer.add(id_, ids)
             writer.close()

@@ -246,12 +246,19 @@ def test_token_files(spark):
     assert token_files.token_files(frame(spark, {}), queries.word_tokenizer()).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a <|endoftext|> b<|startoftext|>", "it's  'T\tx y z\r\n\n", "é ́x ΟΔΟΣ Σ", "1234 $$$ ...a", ""])
+@pytest.mark.parametrize("text", ["a <|endoftext|> b<|startoftext|>", "it's  'T\tx y z\r\n\n", "é ́x ΟΔΟΣ Σ", "1234 $$$ ...a", "", "It'S we'LL 'd ÀÉÿ ª º µ ß ×÷ ¼½²9 \x85a\xa0b\x1cc¿¡ \x00\x7f", "€ ŸœĲ", "a'sb 'tis'"])
 def test_word_encoder_equals_the_library(text):
     tokenizer = Tokenizer.from_file(queries.word_tokenizer())
     encoder = token_files.WordEncoder(queries.word_tokenizer(), remembered=2)
     for _ in range(2):
-        assert encoder(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_on_all_latin_characters():
+    tokenizer, encoder = Tokenizer.from_file(queries.word_tokenizer()), token_files.WordEncoder(queries.word_tokenizer())
+    for c in map(chr, range(256)):
+        for text in (c, f"a{c}b", f" {c}{c} 1{c}", f"'{c}S"):
+            assert np.frombuffer(encoder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 @pytest.mark.parametrize("unit", ["byte", "bit"])
