@@ -24,10 +24,15 @@ TOPICS = (
 )
 
 
+# What every match of a topic's pattern holds; quicker to look for, and without it the pattern is not tried.
+HINTS = {"code": r"[=:] ?[\"']", "contact": r"[@(]"}
+
+
 def topic_of(text: Column) -> Column:
-    out = F.lit("prose")
+    text, out = F.coalesce(text, F.lit("")), F.lit("prose")
     for name, pattern in reversed(TOPICS):
-        out = F.when(F.coalesce(text, F.lit("")).rlike(pattern), F.lit(name)).otherwise(out)
+        hit = text.rlike(HINTS[name]) & text.rlike(pattern) if name in HINTS else text.rlike(pattern)
+        out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 
 
@@ -82,7 +87,7 @@ def mix_documents(docs: DataFrame, keep: float = KEEP, seed: int = SEED, targets
         docs.select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("n_tokens")), "rows")
     cells = cut_lineage(rows.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "totals")
     counted = cells.where("tokens > 0")
-    weighted = rake(counted, targets or {c: even_targets(counted, c) for c in MARGINALS}, keep)
+    weighted = rake(counted, targets or {c: cut_lineage(even_targets(counted, c), "targets") for c in MARGINALS}, keep)
     chance = weighted.select(*MARGINALS, F.round(F.least(F.col("weight") / F.col("tokens"), F.lit(1.0)), 6).alias("probability"))
     # nulls as values: joined by a text that names them
     cell = F.to_json(F.struct(*MARGINALS))
