@@ -143,7 +143,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     lexicon.exceptions = {r["phrase"] for r in spared}
 
     # at most 2 * sample_rows pairs of numbers
-    measured = rows.mapInArrow(_measure(send(others)), "x double, y double, toxic int").orderBy("x", "y", "toxic").collect()
+    measured = rows.mapInArrow(_measure(send(others)), "x double, y double, toxic int").collect()
+    measured.sort(key=lambda r: (r["x"], r["y"], r["toxic"]))
     if any(r["toxic"] for r in measured):
         lexicon.bias, lexicon.slope, lexicon.length_slope = _logistic(
             np.array([[r["x"], r["y"]] for r in measured]), np.array([r["toxic"] for r in measured], dtype=float))
