@@ -15,8 +15,8 @@ from lexiloom.llm.common import keep_ids
 from lexiloom.llm.components import connected_components
 from lexiloom.session import cut_lineage
 
-SKETCH = 48  # retained hash values
-OVERLAP = 22  # retained values two sketches of a linked pair share at least
+SKETCH = 32  # retained hash values
+OVERLAP = 12  # retained values two sketches of a linked pair share at least
 CROWD = 32  # members of a list up to which its components are compared pair by pair
 BATCH = 1_000  # rows whose full sets are handed back at a time
 MIX = np.uint64(0x9E3779B97F4A7C15)
