@@ -19,7 +19,7 @@ from lexiloom.session import cut_lineage
 # that is: every other byte becomes a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SEGMENT_BYTES = 4 << 20  # text in one segment of the index, or one longer text
+SEGMENT_BYTES = 2 << 20  # text in one segment of the index, or one longer text
 GAP = 64  # unused positions between two texts of a segment, so that no phrase spans them
 BLOCK_ITEMS = 20_000  # benchmark items sent to the tasks at a time
 

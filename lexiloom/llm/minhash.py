@@ -64,7 +64,7 @@ def shingle_sketches(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, k1, k2, sketch) of rows (id, text): the set's size, 128 bits of hash and smallest values."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             k1, k2 = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).T

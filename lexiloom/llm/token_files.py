@@ -136,7 +136,7 @@ class WordEncoder:
     hold a special token's string, and other kinds of tokenizers go to the library whole.
     """
 
-    def __init__(self, tokenizer_file: str, remembered: int = 200_000):
+    def __init__(self, tokenizer_file: str, remembered: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -176,7 +176,7 @@ def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for text, label, half in arrow_rows(batches, "text", "toxic", "half"):
         (toxic if label else clean)[half].update(patterns_of(fold(text)))
-        if sum(map(len, (*toxic, *clean))) > 300_000:
+        if sum(map(len, (*toxic, *clean))) > 100_000:
             yield from counts()
     yield from counts()
 
