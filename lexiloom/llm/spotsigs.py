@@ -13,6 +13,9 @@ from lexiloom.llm.components import connected_components
 from lexiloom.session import cut_lineage
 
 ANCHOR_SHARE = 200  # a word holding at least 1/200 of all words is an anchor: at most 200 of them exist
+STRETCH = 16  # distinct words that may follow each other without an anchor before anchors are added to the list
+ADDED, ROUNDS = 40, 8  # words added in a round, and rounds
+LONG_STRETCH = 24  # distinct words without an anchor from which words of the stretch are chosen by their hash
 SPLIT = r"[^\p{L}\p{N}]+"
 SIGNATURES = "array<bigint>"
 
@@ -21,13 +24,34 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), SPLIT), lambda w: w != "")
 
 
+def _stretches(words: Column, anchors: list[str], least: int) -> Column:
+    """The runs of words between anchors that hold more than ``least`` distinct words."""
+    gone = (lambda w: F.when(w.isin(anchors), F.lit("\n")).otherwise(w)) if anchors else (lambda w: w)
+    lines = F.filter(F.split(F.array_join(F.transform(words, gone), " "), "\n"), lambda s: F.length(s) > 2 * least)
+    return F.filter(F.transform(lines, lambda s: F.split(F.btrim(s), " ")), lambda s: F.size(F.array_distinct(s)) > least)
+
+
 def common_words(docs: DataFrame, text_col: str = "text", share: int = ANCHOR_SHARE) -> list[str]:
-    """The words that each hold at least 1/share of all word occurrences of the table."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    counts = cut_lineage(docs.select(F.explode(_words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    """The words that each hold at least 1/share of all word occurrences, then those that the texts without them need.
+
+    A language or form of text with a small share of the words has none in the first list. So the
+    stretches of more than STRETCH distinct words without an anchor are pooled, their ADDED commonest words
+    become anchors, and what is still a stretch is pooled again, ROUNDS times at most.
+    """
+    texts = docs.select(_words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("w"))
+    counts = cut_lineage(texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # at most ``share`` words can pass
-    return [r["word"] for r in counts.where(F.col("n") * share >= total).orderBy("word").collect()]
+    added = [r["word"] for r in counts.where(F.col("n") * share >= total).collect()]
+    anchors = list(added)
+    for _ in range(ROUNDS):
+        texts = cut_lineage(texts.select(F.explode(_stretches(F.col("w"), added, STRETCH)).alias("w")), "stretches")
+        pooled = texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        added = [r["word"] for r in pooled.orderBy(F.desc("n"), "word").limit(ADDED).collect()]
+        if not added:
+            break
+        anchors += added
+    return sorted(anchors)
 
 
 def with_signatures(df: DataFrame, text: Column, anchors: list[str], name: str) -> DataFrame:
@@ -35,7 +59,8 @@ def with_signatures(df: DataFrame, text: Column, anchors: list[str], name: str)
 
     Every anchor gives one: itself and the next two content words (words that are no
     anchors). The beginning of the text counts as an anchor, so any text with content words has a
-    signature; one with anchors only has the hash of its words, one without words the
+    signature. In a stretch of more than LONG_STRETCH distinct content words without an anchor, about every
+    fourth word, chosen by its hash, gives one with the two words after it; it stays a content word. A text with anchors only has the hash of its words, one without words the
     hash of its characters, and the empty text none.
     """
     kept = df.columns
@@ -53,7 +78,20 @@ def with_signatures(df: DataFrame, text: Column, anchors: list[str], name: str)
         F.slice("__p", F.lit(1), "__n"), "__h", lambda p, h: F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a: signature(h, a)))
     plain = F.when(F.size("__w") > 0, F.array(F.shiftrightunsigned(F.xxhash64("__w"), 32))).when(
         F.col("__t") != "", F.array(F.shiftrightunsigned(F.xxhash64("__t"), 32))).otherwise(F.array().cast(SIGNATURES))
-    found = F.when(F.col("__n") > 0, F.sort_array(F.array_distinct(F.flatten(each)))).otherwise(plain)
+
+    def chosen(x: Column) -> Column:
+        """Signatures of the words of a stretch whose hash is a multiple of 4 or the smallest, up to the last but two."""
+        s, hashes, least = x["s"], x["h"], x["least"]
+        picked = lambda i: (i < F.size(s) - 2) & ((F.pmod(F.get(hashes, i), F.lit(4)) == 0) | (F.get(hashes, i) == least))
+        all_ = F.transform(s, lambda w, i: F.when(picked(i), signature(F.xxhash64(F.get(s, i + 1), F.get(s, i + 2)), w)))
+        return F.filter(all_, lambda h: h.isNotNull())
+
+    # hashes and their minimum stand beside the stretch, or every word would compute them again
+    hashed = F.transform(_stretches(F.col("__w"), anchors, LONG_STRETCH), lambda s: F.struct(s.alias("s"), F.transform(s, lambda w: F.xxhash64(w)).alias("h")))
+    runs = runs.select("*", F.transform(hashed, lambda x: F.struct(
+        x["s"].alias("s"), x["h"].alias("h"), F.array_min(F.slice(x["h"], F.lit(1), F.size(x["h"]) - 2)).alias("least"))).alias("__x"))
+    inside = F.flatten(F.transform("__x", chosen))
+    found = F.when(F.col("__n") > 0, F.sort_array(F.array_distinct(F.concat(F.flatten(each), inside)))).otherwise(plain)
     return runs.select(*[F.col(f"`{c}`") for c in kept], found.alias(name))
 
 

@@ -302,3 +302,26 @@ def test_spotsigs_classes(spark):
     sets = {k: brute.signatures(t, {"the"}) for k, t in texts.items()}
     assert brute.jaccard(sets[1], sets[2]) >= 0.8 > brute.jaccard(sets[1], sets[3])
     assert {k: r["component_id"] for k, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
+
+
+def test_spotsigs_of_a_small_language(spark):
+    """Two texts of a hundred are in a language of their own: it gets anchors, and its second halves count."""
+    text = lambda i, small, name: " ".join(f"{small[j % 5]} {name}{i}x{j}" for j in range(60))
+    texts = {i: text(i, ["the", "of", "and", "to", "in"], "en") for i in range(98)}
+    texts |= {i: text(i, ["el", "de", "y", "que", "los"], "es") for i in (98, 99)}
+    df = frame(spark, texts)
+    anchors = spotsigs.common_words(df)
+    assert {"the", "of", "el", "de", "y", "que", "los"} <= set(anchors)
+    got = rows(spotsigs.edited_fingerprints(df, anchors))
+    assert all(len(got[k]["fingerprint"]) >= 8 * 30 and got[k]["near_edited"] < 0.8 for k in texts)
+
+
+def test_spotsigs_without_anchors(spark):
+    """Long texts of words that nothing else holds: alike in the first half only, and all but for two words."""
+    head = [f"h{i}" for i in range(100)]
+    texts = {1: " ".join(head + [f"a{i}" for i in range(100)]), 2: " ".join(head + [f"b{i}" for i in range(100)])}
+    texts[3] = texts[2].replace(" b50 ", " other words ")
+    got = rows(spotsigs.similar_documents(frame(spark, texts), ["the"]))
+    assert all(r["n_signatures"] >= 20 for r in got.values())
+    assert {k: r["component_id"] for k, r in got.items()} == {1: 1, 2: 2, 3: 2}
+    assert rows(spotsigs.edited_fingerprints(frame(spark, texts), ["the"]))[2]["near_edited"] < 0.8
