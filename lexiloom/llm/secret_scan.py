@@ -34,15 +34,24 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:changeme|example.*|placeholder|your[-_ ].*|x{3,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|none|null|true|false|test|todo)$")
 LEAST_SCORE = 1.3
+# Names of less weight would need literals of three kinds of characters for that: they have a least score
+# that their own literals reach, for literals with a digit (hexadecimal, digits) and without one.
+LEAST_WITH_DIGIT = {"pin": 0.8, "key": 1.0, "salt": 1.0, "pass": 1.0, "auth": 0.9}
+LEAST_WITHOUT = {"pass": 1.07, "auth": 1.0}
+DIGIT = re.compile("[0-9]")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 SCHEMA = "id bigint, spans array<struct<start:int,end:int,kind:string,name:string,score:double>>"
 
 
+def _sensitive_parts(name: str) -> list[str]:
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    return [p for p in [*parts, *map("".join, zip(parts, parts[1:]))] if p in SENSITIVE]
+
+
 def name_score(name: str) -> float:
     """How sensitive a target name is, by its words and pairs of neighbouring words."""
-    parts = [p.lower() for p in NAME_PARTS.findall(name)]
-    return max((SENSITIVE.get(p, 0.0) for p in [*parts, *map("".join, zip(parts, parts[1:]))]), default=0.0)
+    return max((SENSITIVE[p] for p in _sensitive_parts(name)), default=0.0)
 
 
 def literal_score(value: str) -> float:
@@ -55,6 +64,16 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 4.0) * (0.5 + 0.25 * min(kinds - 1, 2))
 
 
+def pair_score(name: str, value: str) -> float:
+    """Weight of the name and randomness of the literal, 0 if no part of the name reaches its least score with it."""
+    parts = _sensitive_parts(name)
+    random = literal_score(value) if parts else 0.0
+    least = LEAST_WITH_DIGIT if DIGIT.search(value) else LEAST_WITHOUT
+    if random and any(SENSITIVE[p] + random >= least.get(p, LEAST_SCORE) for p in parts):
+        return name_score(name) + random
+    return 0.0
+
+
 def _literals(text: str) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals given to a sensitive name, directly or through constants."""
     if "=" not in text and ":" not in text:
@@ -70,9 +89,8 @@ def _literals(text: str) -> Iterator[tuple[int, int, str, float]]:
         else:
             continue
         values[m["quoted"] or m["name"]] = found
-        sensitive = name_score(name)
-        score = sensitive + literal_score(found[2]) if sensitive and literal_score(found[2]) else 0.0
-        if score >= LEAST_SCORE and score > best.get(found[:2], (0.0, ""))[0]:
+        score = pair_score(name, found[2])
+        if score > best.get(found[:2], (0.0, ""))[0]:
             best[found[:2]] = (score, name)
     for (start, end), (score, name) in best.items():
         yield start, end, name, score
@@ -97,7 +115,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Kinds ``assign``, ``access`` and ``hex`` are the base patterns. Kind ``literal`` comes from
     lexing: assignments of program and settings syntax become (name, literal) pairs, a
     name given to another name passes its literal on, and a literal is kept when the
-    sensitivity of the name and the randomness of the literal reach LEAST_SCORE together.
+    sensitivity of the name and the randomness of the literal reach the name's least score together.
 
     Cases. Null and empty texts have no spans; texts are scanned whole, however long; repeated
     rows and null ids each give a row; an empty table gives an empty one; other columns are not read.

@@ -237,6 +237,13 @@ def test_assignments(text, found):
     assert {text[s:e] for s, e, k, *_ in secret_scan.scan_text(text) if k == "literal"} == found
 
 
+@pytest.mark.parametrize("text,found", [
+    ('signing_key = "9f86d081884c7d65"', {"9f86d081884c7d65"}), ("DB_PASS=12345678", {"12345678"}), ("salt: 'a1b2c3d4e5f60718'", {"a1b2c3d4e5f60718"}), ('pin = "483920"', {"483920"}),
+    ("auth=84736251", {"84736251"}), ("pass = 'correcthorsebattery'", {"correcthorsebattery"}), ("pass: through", set()), ("pin: mapping", set()), ("key: thousand", set()), ("auth: required", set())])
+def test_literals_of_names_of_less_weight(text, found):
+    assert {text[s:e] for s, e, k, *_ in secret_scan.scan_text(text) if k == "literal"} == found
+
+
 def test_token_files(spark):
     got = rows(token_files.token_files(frame(spark), queries.word_tokenizer()))
     tokenizer = Tokenizer.from_file(queries.word_tokenizer())
