@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ SEED = 17
 KEEP = 0.8  # share of all tokens that the mix is to hold
 TOWARDS_EVEN = 0.25  # how far targets go from the present shares towards equal ones
 ROUNDS = 6
+MOST_ROUNDS, TOLERANCE = 40, 0.005  # where targets must be reached: rounds at most, and how far a value may be off
 MARGINALS = ("source", "lang", "topic")
 # What a text is about by its form, the first that applies. Patterns run on whole texts.
 TOPICS = (
@@ -51,12 +55,44 @@ def even_targets(cells: DataFrame, column: str, towards_even: float = TOWARDS_EV
         column, ((1 - towards_even) * F.col("tokens") / F.col("all") + towards_even / F.col("n")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+def reachable_targets(cells: DataFrame, column: str, shares: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(column, share): shares that the values have the tokens for, and that still sum to 1.
+
+    A value whose share of the mix is more than it has is taken whole; what it lacks goes to the other values in
+    proportion to their shares. Values taken whole only become more, so this ends.
+    """
+    now = cells.groupBy(column).agg(F.sum("tokens").alias("tokens"))
+    both = cut_lineage(now.join(shares, now[column].eqNullSafe(shares[column])).select(now[column], "tokens", "share"), "targets")
+    mass = float(both.agg(F.sum("tokens")).first()[0] or 0) * keep
+    scale, whole = mass, -1
+    while True:
+        short = F.col("share") * F.lit(scale) >= F.col("tokens")
+        row = both.agg(F.count_if(short).alias("n"), F.sum(F.when(short, F.col("tokens"))).alias("used"), F.sum(F.when(~short, F.col("share"))).alias("free")).first()
+        if row["n"] == whole or not row["free"]:
+            break
+        scale, whole = (mass - (row["used"] or 0)) / row["free"], row["n"]
+    return both.select(column, (F.least(F.col("share") * F.lit(scale), F.col("tokens").cast("double")) / F.lit(mass or 1.0)).alias("share"))
+
+
+def achieved_shares(weighted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(marginal, value, wanted, achieved) of every value: its share in the targets and in the weights."""
+    total = weighted.agg(F.sum("weight")).first()[0] or 1.0
+    out = None
+    for column, shares in targets.items():
+        now = weighted.groupBy(column).agg((F.sum("weight") / F.lit(float(total))).alias("achieved"))
+        rows = now.join(shares, now[column].eqNullSafe(shares[column])).select(
+            F.lit(column).alias("marginal"), now[column].alias("value"), F.col("share").alias("wanted"), "achieved")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS, tolerance: float = 0.0) -> DataFrame:
     """Adds ``weight``: tokens of each cell in the mix, by iterative proportional fitting.
 
     Weights start in proportion to the cells' tokens. Each step scales the cells of every value
     of one marginal to that value's target, ``keep`` of all tokens times its share, but to
-    no more than the cell has; ``rounds`` passes over all marginals are made. Each pass
+    no more than the cell has; ``rounds`` passes over all marginals are made, fewer
+    when no value is off its target by more than the share ``tolerance`` of it. Each pass
     is written, so the plan does not grow.
     """
     cells = cells.withColumn("weight", F.col("tokens") * F.lit(keep))
@@ -69,15 +105,40 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, ro
             cells = cells.join(factor, cells[column].eqNullSafe(factor["value"])).drop("value").withColumn(
                 "weight", F.least(F.col("weight") * F.col("factor"), F.col("tokens").cast("double"))).drop("factor")
         cells = cut_lineage(cells, "cells")
+        if tolerance and (_worst(cells, targets, total * keep) or 0.0) <= tolerance:
+            break
     return cells
 
 
-def mix_documents(docs: DataFrame, keep: float = KEEP, seed: int = SEED, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def _worst(cells: DataFrame, targets: dict[str, DataFrame], mass: float) -> float | None:
+    """How far the value farthest off its target is, as a share of the target."""
+    off = []
+    for column, shares in targets.items():
+        now = cells.groupBy(column).agg(F.sum("weight").alias("now"))
+        want = F.col("share") * F.lit(float(mass))
+        off.append(now.join(shares, now[column].eqNullSafe(shares[column])).where("share > 0").select((F.abs(F.col("now") - want) / want).alias("off")))
+    return reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0]
+
+
+def mixed_cells(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP) -> DataFrame:
+    """Cells with ``weight``, raked to what of the targets can be reached; warns where marginals are still apart."""
+    reachable = {c: reachable_targets(cells, c, shares, keep) for c, shares in targets.items()}
+    weighted = rake(cells, reachable, keep, MOST_ROUNDS, TOLERANCE)
+    mass = float(cells.agg(F.sum("tokens")).first()[0] or 0) * keep
+    worst = _worst(weighted, reachable, mass) or 0.0
+    if worst > TOLERANCE:
+        warnings.warn(f"mix: a value is off its reachable share by {worst:.1%}", stacklevel=2)
+    return weighted
+
+
+def mix_documents(docs: DataFrame, keep: float = KEEP, seed: int = SEED, targets: dict[str, DataFrame] | None = None, reach: bool = True) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, drawn) of every row of ``documents``.
 
     Token totals of the cells of source, language and topic are raked to the targets; a document
     is drawn with its cell's probability, weight over tokens, by a hash of its id, so
-    any retry draws the same ones. Without targets, marginals go part of the way to equal shares.
+    any retry draws the same ones. Without targets, marginals go part of the way to equal shares. Targets are
+    first made such as the tokens allow, and raked until they are met; with ``reach`` off, values
+    that lack tokens are cut off in ROUNDS rounds and the mix stays under ``keep``.
 
     Cases. Null sources and languages are values like any other; null texts have no tokens and
     the topic of prose. A cell without tokens is drawn whole, as it costs nothing. Rows with one id are drawn
@@ -87,7 +148,8 @@ def mix_documents(docs: DataFrame, keep: float = KEEP, seed: int = SEED, targets
         docs.select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("n_tokens")), "rows")
     cells = cut_lineage(rows.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "totals")
     counted = cells.where("tokens > 0")
-    weighted = rake(counted, targets or {c: cut_lineage(even_targets(counted, c), "targets") for c in MARGINALS}, keep)
+    targets = targets or {c: cut_lineage(even_targets(counted, c), "targets") for c in MARGINALS}
+    weighted = mixed_cells(counted, targets, keep) if reach else rake(counted, targets, keep)
     chance = weighted.select(*MARGINALS, F.round(F.least(F.col("weight") / F.col("tokens"), F.lit(1.0)), 6).alias("probability"))
     # nulls as values: joined by a text that names them
     cell = F.to_json(F.struct(*MARGINALS))

@@ -141,6 +141,24 @@ def test_raking_meets_marginals(spark):
     assert all(r["weight"] <= r["tokens"] for r in got)
 
 
+def test_default_targets_are_reached(spark):
+    """Values with fewer tokens than their default target are taken whole, and the mix holds KEEP of all tokens."""
+    cells = spark.createDataFrame(
+        [(s, lang, t, n * (3 + i)) for i, s in enumerate("ab") for lang, k in (("en", 60), ("es", 10)) for t, n in (("prose", 50 * k), ("code", k), ("license", 2 * k))],
+        "source string, lang string, topic string, tokens bigint")
+    total = sum(r["tokens"] for r in cells.collect())
+    targets = {c: mixing.even_targets(cells, c) for c in mixing.MARGINALS}
+    got = mixing.mixed_cells(cells, targets)
+    weights = got.collect()
+    assert math.isclose(sum(r["weight"] for r in weights), total * mixing.KEEP, rel_tol=0.01) and all(r["weight"] <= r["tokens"] + 1e-6 for r in weights)
+    reachable = {c: mixing.reachable_targets(cells, c, t) for c, t in targets.items()}
+    report = {(r["marginal"], r["value"]): r for r in mixing.achieved_shares(got, reachable).collect()}
+    assert all(math.isclose(r["wanted"], r["achieved"], rel_tol=0.02) for r in report.values()) and len(report) == 7
+    wanted = {(r["marginal"], r["value"]): r["wanted"] for r in mixing.achieved_shares(got, targets).collect()}
+    assert wanted["topic", "code"] > report["topic", "code"]["achieved"] and math.isclose(wanted["source", "a"], report["source", "a"]["achieved"], rel_tol=0.02)
+    assert math.isclose(report["topic", "code"]["achieved"] * total * mixing.KEEP, 490, rel_tol=0.02)
+
+
 ITEMS = [(1, " ".join(NEAR[5:25])), (2, "One two"), (3, None), (4, "!!"), (None, "w0x w1x w4x"), (1, "three four FIVE"), (10, "the one and the two of the three or so")]
 
 
