@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chat, decontaminate, minhash, mixing, secret_scan, sharding, spotsigs, token_files, toxicity, warc
+from lexiloom.llm import chat, decontaminate, filter_audit, minhash, mixing, secret_scan, sharding, spotsigs, token_files, toxicity, warc
 from lexiloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op10_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.edited_fingerprints(docs, spotsigs.common_words(docs))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 # ---- SQL that the queries must agree with
 
 _CONTROL = ("<|", "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -140,3 +145,32 @@ def _sql_mix() -> str:
 
 
 SQL["op4_mixing"] = _sql_mix()
+
+SQL["op11_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+    CAST(len(w) < 200 AS INT) + CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) * 2 + CAST(100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) AS INT) * 4
+      + CAST(regexp_matches(t, '[#$%&*|]') AS INT) * 8 + CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INT) * 16 AS fails
+  FROM d LEFT JOIN labels USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS b FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM l p, l q, l r, l s, l t
+  WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+k AS (SELECT filter_order, step, bits[step] AS own, list_sum(bits[1:step - 1]) AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+m AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (fails & (coalesce(earlier, 0)::INT | own) = 0) AS kept,
+    sum(n) FILTER (fails & own > 0 AND fails & coalesce(earlier, 0)::INT = 0) AS removed,
+    sum(n) FILTER (fails & own > 0 AND fails & coalesce(earlier, 0)::INT > 0) AS redundant,
+    sum(n) FILTER (fails = own) AS unique_fails,
+    sum(g) FILTER (fails & own > 0 AND fails & coalesce(earlier, 0)::INT = 0) AS good_lost,
+    sum(b) FILTER (fails & own > 0 AND fails & coalesce(earlier, 0)::INT = 0) AS toxic_lost
+  FROM c, k GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM m"""
