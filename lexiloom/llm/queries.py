@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chat, decontaminate, filter_audit, minhash, mixing, secret_scan, sharding, spotsigs, token_files, toxicity, warc, whitening
+from lexiloom.llm import chat, decontaminate, filter_audit, minhash, mixing, secret_scan, sharding, spotsigs, substring_dedup, token_files, toxicity, warc, whitening
 from lexiloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,11 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(read_table(spark, folder, "embeddings"))
 
 
+@query
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, folder, "documents"))
+
+
 # ---- SQL that the queries must agree with
 
 _CONTROL = ("<|", "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")

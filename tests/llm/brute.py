@@ -121,3 +121,14 @@ def signatures(text, anchors):
 
 def jaccard(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def without_repeats(texts, width=35):
+    """{id: (n_words, n_removed, digest)}: words under windows that begin at several places go."""
+    words = {k: re.findall("[^\x20\x09-\x0d]+", t or "") for k, t in texts.items()}
+    starts = Counter(tuple(w[i : i + width]) for w in words.values() for i in range(len(w) - width + 1))
+    out = {}
+    for k, w in words.items():
+        gone = {j for i in range(len(w) - width + 1) if starts[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
+        out[k] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
+    return out
