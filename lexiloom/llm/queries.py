@@ -47,8 +47,7 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    # its SQL cuts off values that lack tokens; the pipeline's stage reaches its targets
-    return mixing.mix_documents(read_table(spark, folder, "documents"), reach=False)
+    return mixing.mix_documents(read_table(spark, folder, "documents"))
 
 
 @query
@@ -127,31 +126,42 @@ FROM t GROUP BY conv_id"""
 def _sql_mix() -> str:
     topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in mixing.TOPICS)
     bare = r"regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
-    keys = ", ".join(mixing.MARGINALS)
+    keys, even, most = ", ".join(mixing.MARGINALS), mixing.TOWARDS_EVEN, mixing.KEEP ** (-1 / 3)
+    same = lambda m, a, b: f"{a}.{m} IS NOT DISTINCT FROM {b}.{m}"
     steps = [
         f"d AS (SELECT doc_id, source, lang, CASE {topic} ELSE 'prose' END AS topic, "
         rf"CASE WHEN {bare} = '' THEN 0 ELSE len(regexp_split_to_array({bare}, '[\x20\x09-\x0D]+')) END AS n_tokens FROM documents)",
-        f"c AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
-        "n AS (SELECT sum(tokens) AS total FROM c)",
+        f"c AS MATERIALIZED (SELECT {keys}, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
     for m in mixing.MARGINALS:
         steps.append(
-            f"t_{m} AS (SELECT {m}, {1 - mixing.TOWARDS_EVEN} * sum(tokens) / any_value(total) + {mixing.TOWARDS_EVEN} / count(*) OVER () AS share FROM c, n GROUP BY {m})")
-    steps.append(f"w0 AS (SELECT {keys}, tokens, tokens * {mixing.KEEP} AS weight FROM c)")
+            f"a_{m} AS (SELECT {m}, now, {1 - even} * now + {even} / count(*) OVER () AS aim FROM (SELECT {m}, sum(tokens) / (SELECT sum(tokens) FROM c) AS now FROM c GROUP BY {m})), "
+            f"t_{m} AS MATERIALIZED (SELECT {m}, now + more - less * (CASE WHEN sum(less) OVER () > 0 THEN sum(more) OVER () / sum(less) OVER () ELSE 0 END) AS share "
+            f"FROM (SELECT {m}, now, greatest(least(aim, now * {most}) - now, 0) AS more, greatest(now - aim, 0) AS less FROM a_{m}))")
+    steps.append(f"w0 AS MATERIALIZED (SELECT {keys}, tokens, tokens AS weight FROM c)")
     at = 0
     for _ in range(mixing.ROUNDS):
         for m in mixing.MARGINALS:
             # materialised, or each step would be expanded into the next one twice
             steps.append(
-                f"w{at + 1} AS MATERIALIZED (SELECT w.* REPLACE (least(weight * share * total * {mixing.KEEP} / now, tokens) AS weight) FROM w{at} w JOIN t_{m} t ON w.{m} IS NOT DISTINCT FROM t.{m} "
-                f"JOIN (SELECT {m}, sum(weight) AS now FROM w{at} GROUP BY {m}) s ON w.{m} IS NOT DISTINCT FROM s.{m}, n)")
+                f"w{at + 1} AS MATERIALIZED (SELECT w.* REPLACE (weight * share / now AS weight) FROM w{at} w JOIN t_{m} t ON {same(m, 'w', 't')} "
+                f"JOIN (SELECT {m}, sum(weight) AS now FROM w{at} GROUP BY {m}) s ON {same(m, 'w', 's')})")
             at += 1
     unit = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{mixing.SEED}'), 1, 8))::BIGINT / 4294967296.0)"
-    on = " AND ".join(f"d.{m} IS NOT DISTINCT FROM w.{m}" for m in mixing.MARGINALS)
+    on = " AND ".join(same(m, "d", "w") for m in mixing.MARGINALS)
     picked = ", ".join(f"d.{m}" for m in mixing.MARGINALS)
-    return (
-        f"WITH {', '.join(steps)}, p AS (SELECT doc_id, {picked}, n_tokens::BIGINT AS n_tokens, coalesce(round(least(weight / tokens, 1.0), 6), 1.0) AS probability "
-        f"FROM d LEFT JOIN w{at} w ON {on}) SELECT *, {unit} < probability AS drawn FROM p")
+    steps.append(
+        f"p AS MATERIALIZED (SELECT doc_id, {picked}, n_tokens::BIGINT AS n_tokens, coalesce(round(weight / tokens / (SELECT max(weight / tokens) FROM w{at}), 6), 1.0) AS probability "
+        f"FROM d LEFT JOIN w{at} w ON {on})")
+    steps.append(f"u AS MATERIALIZED (SELECT *, {unit} < probability AS drawn FROM p)")
+    joins, shares = "", ""
+    for m in mixing.MARGINALS:
+        steps.append(f"s_{m} AS (SELECT {m}, round(coalesce(sum(n_tokens) FILTER (drawn), 0) / (SELECT sum(n_tokens) FROM u WHERE drawn), 6) AS part FROM u WHERE n_tokens > 0 GROUP BY {m})")
+        joins += f" LEFT JOIN t_{m} ON {same(m, 'u', f't_{m}')} LEFT JOIN s_{m} ON {same(m, 'u', f's_{m}')}"
+        # a cell without tokens has no shares
+        shares += f", CASE WHEN has THEN round(t_{m}.share, 6) END AS wanted_{m}, CASE WHEN has THEN s_{m}.part END AS drawn_{m}"
+    has = f"SELECT u.*, EXISTS (SELECT 1 FROM c WHERE {' AND '.join(same(m, 'u', 'c') for m in mixing.MARGINALS)}) AS has FROM u"
+    return f"WITH {', '.join(steps)} SELECT doc_id, {', '.join(f'u.{m}' for m in mixing.MARGINALS)}, n_tokens, probability, drawn{shares} FROM ({has}) u{joins}"
 
 
 SQL["op4_mixing"] = _sql_mix()
