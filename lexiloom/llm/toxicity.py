@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,14 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import arrow_rows
-from lexiloom.llm.minhash import shingle_sets
+from lexiloom.llm.minhash import near_duplicates
 from lexiloom.session import cut_lineage
 
-# Letters of other scripts that look like Latin ones, and digits and signs written for letters.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏαεορυνικτ０１", "aeopcyxijsdhiaeopuviktoi", strict=True))
-SUBSTITUTES = dict(zip("013457@$", "oieastas", strict=True))
+# Letters that look like Latin ones and do not decompose to them, by script, and digits and signs written for letters.
+CYRILLIC = dict(zip("авезикмнопрстухьѕіјԁһӏԛԝ", "abeeukmhonpctyxbsijdhlqw", strict=True))
+GREEK = dict(zip("αβγεζηικνοπρτυχω", "abyeznikvonptuxw", strict=True))
+LATIN = dict(zip("ıɩłøđħŧƒʀɢɴʟʙꜱɡɑ", "iilodhtfrgnlbsga", strict=True))
+SUBSTITUTES = dict(zip("013457@$€£", "oieastasel", strict=True))
 INVISIBLE = dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff\u00ad", "")
-FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | INVISIBLE)
+FOLD = str.maketrans(CYRILLIC | GREEK | LATIN | SUBSTITUTES | INVISIBLE)
+# Accents and other marks that stay when letters are decomposed.
+MARKS = {c: None for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Me")}
+# Signs for letters inside a word, and letters of a word with one sign between each two.
+BAR = re.compile(r"(?<=[^\W\d_])[!|](?=[^\W\d_])")
+APART = re.compile(r"(?<![^\W_])[^\W_](?:([.\-_*·])[^\W_](?:\1[^\W_])+)(?![^\W_])")
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = range(3, 9)
@@ -35,8 +44,33 @@ THRESHOLD = 0.3
 
 
 def fold(text: str) -> str:
-    """Lower-cased text with look-alike letters, digits and signs as the letters they stand for."""
-    return text.lower().translate(FOLD)
+    """Lower-cased text with look-alike and decorated letters, digits and signs as the plain letters they stand for.
+
+    Letters are decomposed (full width, mathematical and circled ones, accents) and marks dropped; letters of other
+    scripts, digits and signs are replaced; ``!`` and ``|`` between letters are i; single letters with one sign
+    between each two are joined. Places in the folded text are not those of the text.
+    """
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(MARKS)
+    text = text.lower().translate(FOLD)
+    if "!" in text or "|" in text:
+        text = BAR.sub("i", text)
+    return APART.sub(lambda m: m[0].replace(m[1], ""), text)
+
+
+def neighbours(folded: str, begin: int) -> tuple[str | None, str | None, str | None]:
+    """The word that begins at a place, and the words before and after it, however far they are."""
+    here = WORD.match(folded, begin)
+    if not here:
+        return None, None, None
+    after = WORD.search(folded, here.end())
+    end = begin
+    while end and not WORD.match(folded[end - 1]):
+        end -= 1
+    start = end
+    while start and WORD.match(folded[start - 1]):
+        start -= 1
+    return folded[start:end] or None, here[0], after[0] if after else None
 
 
 @dataclass
@@ -81,12 +115,8 @@ class Lexicon:
         return math.log1p(total), total / math.sqrt(len(folded.split()) + 20)
 
     def _excepted(self, folded: str, begin: int) -> bool:
-        here = WORD.match(folded, begin)
-        if not here:
-            return False
-        after = WORD.search(folded, here.end(), here.end() + 100)
-        before = WORD.findall(folded, max(0, begin - 100), begin)
-        return bool(after and f"{here[0]} {after[0]}" in self.exceptions or before and f"{before[-1]} {here[0]}" in self.exceptions)
+        before, here, after = neighbours(folded, begin)
+        return f"{here} {after}" in self.exceptions or f"{before} {here}" in self.exceptions
 
     def score(self, features: tuple[float, float]) -> float:
         z = self.bias + self.slope * features[0] + self.length_slope * features[1]
@@ -104,28 +134,31 @@ def patterns_of(text: str) -> set[str]:
     return out | {w[:n] + "*" for w in out for n in PREFIXES if len(w) > n}
 
 
+def sample_texts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(text, toxic, half): labelled texts to learn from, one of each group of near-copies with one label."""
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    order = F.xxhash64("doc_id")
+    picked = chosen.where("toxic = 1").orderBy(order, "doc_id").limit(sample_rows).unionAll(chosen.where("toxic = 0").orderBy(order, "doc_id").limit(sample_rows))
+    # at most 2 * sample_rows ids
+    rows = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL"), "labelled")
+    groups = near_duplicates(rows, width=2, percent=80).select("doc_id", "component_id").distinct()
+    rows = rows.join(groups, "doc_id").groupBy("toxic", "component_id").agg(F.min("text").alias("text"))
+    return cut_lineage(rows.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "sample")
+
+
 def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
     """Learn a lexicon from labelled texts.
 
     Of each label at most ``sample_rows`` rows are read, chosen by a hash of their ids among
-    all that are not held out; of copies and near-copies with one label one is read, or any word of a
-    text copied often would seem telling. A pattern is taken when its counts in toxic and clean rows
+    all that are not held out; of copies and near-copies (similarity 0.8 on their sets of two-word shingles,
+    ``minhash.near_duplicates``) with one label one is read, or any word of a text copied often would seem
+    telling. A row labelled both ways is read under both labels. A pattern is taken when its counts in toxic and clean rows
     differ by more than chance (LEAST_GAIN); its weight is the log of how much oftener toxic rows
     hold it, less one standard error. Matches followed or preceded by one word in several
     clean rows and in no toxic row become exception phrases. The scale from sums to a score is a
     logistic fit on the sample, each half being measured with the lexicon of the other half.
     """
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    picked = chosen.where("toxic = 1").orderBy(order, "doc_id").limit(sample_rows).unionAll(chosen.where("toxic = 0").orderBy(order, "doc_id").limit(sample_rows))
-    # at most 2 * sample_rows ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL")
-    ends = shingle_sets(rows.select(F.struct("text", "toxic").alias("id"), "text"), 2).select(
-        "id.*", F.array_min("shingles").alias("low"), F.array_max("shingles").alias("high"))
-    for end in ("low", "high"):
-        ends = ends.groupBy("toxic", end).agg(F.min(F.struct("text", "low", "high")).alias("m")).select("toxic", "m.*")
-    rows = cut_lineage(ends.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "sample")
-
+    rows = sample_texts(docs, labels, sample_rows)
     n = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = rows.mapInArrow(_count_patterns, "pattern string, half int, toxic bigint, clean bigint")
     sums = [F.coalesce(F.sum(F.when(F.col("half") == h, F.col(c))), F.lit(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean")]
@@ -196,13 +229,11 @@ def _count_contexts(sent):
                 begin = end - size + 1
                 if begin and folded[begin - 1].isalnum():
                     continue
-                here = WORD.match(folded, begin)
-                after = here and WORD.search(folded, here.end(), here.end() + 100)
-                before = WORD.findall(folded, max(0, begin - 100), begin)
-                if after:
-                    phrases.add(f"{here[0]} {after[0]}")
+                before, here, after = neighbours(folded, begin)
+                if here and after:
+                    phrases.add(f"{here} {after}")
                 if here and before:
-                    phrases.add(f"{before[-1]} {here[0]}")
+                    phrases.add(f"{before} {here}")
             (toxic if label else clean).update(phrases)
         yield _counts("phrase", toxic, clean)
 
