@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import math
 import re
 import struct
 import zlib
@@ -132,3 +134,78 @@ def without_repeats(texts, width=35):
         gone = {j for i in range(len(w) - width + 1) if starts[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
         out[k] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
     return out
+
+
+def toxic_features(text, weights, exceptions, fold):
+    """(log of the sum, sum per root of words): at each beginning of a word its heaviest pattern, without excepted phrases."""
+    folded, total = fold(text or ""), 0.0
+    words = [(m.start(), m[0]) for m in re.finditer(r"[^\W_]+", folded)]
+    for begin in range(len(folded)):
+        if begin and folded[begin - 1].isalnum():
+            continue
+        best = 0.0
+        for pattern, weight in weights.items():
+            bare = pattern.removesuffix("*")
+            end = begin + len(bare)
+            if folded.startswith(bare, begin) and (pattern.endswith("*") or end == len(folded) or not folded[end].isalnum()):
+                best = max(best, weight)
+        at = [i for i, (start, _) in enumerate(words) if start == begin]
+        if best and at:
+            here = words[at[0]][1]
+            pairs = [f"{here} {w[1]}" for w in words[at[0] + 1 : at[0] + 2]] + [f"{w[1]} {here}" for w in words[at[0] - 1 : at[0]] if at[0]]
+            best = 0.0 if set(pairs) & exceptions else best
+        total += best
+    return math.log1p(total), total / math.sqrt(len(folded.split()) + 20)
+
+
+def audit(docs, labels):
+    """{(part, order, step): counts} of (id, text, part) rows, by applying the filters in every order."""
+    first = {}
+    for i, text, _ in docs:
+        if i is not None:
+            first[text or ""] = min(i, first.get(text or "", i))
+    rows = []
+    for i, text, part in docs:
+        text = text or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        fails = set()
+        fails |= {"A"} if len(words) < 200 else set()
+        fails |= {"B"} if 100 * len(set(words)) < 50 * len(words) else set()
+        fails |= {"C"} if 100 * len(re.findall("[A-Z]", text)) > 3 * len(text) else set()
+        fails |= {"D"} if re.search("[#$%&*|]", text) else set()
+        fails |= {"E"} if i is not None and first[text] < i else set()
+        rows.append((part or "", fails, *(any(r[0] == i is not None and r[c] == 1 for r in labels) for c in (1, 2))))
+    out = {}
+    for part in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == part]
+        total = Counter()
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = mine
+            for step, f in enumerate(order, 1):
+                lost = [r for r in left if f in r[1]]
+                left = [r for r in left if f not in r[1]]
+                own = [r for r in mine if f in r[1]]
+                total[f] += len(lost)
+                out[part, order, step] = [len(left), len(lost), len(own) - len(lost), sum(r[1] == {f} for r in mine), sum(r[2] for r in lost), sum(r[3] for r in lost)]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(total[order[step - 1]])
+    return out
+
+
+def whitened(vectors, components=4):
+    """n, and {id: (deviation, whitened)} and shares of variance of {id: list of numbers}."""
+    import numpy as np
+
+    good = {k: v for k, v in vectors.items() if v and all(c is not None and math.isfinite(c) for c in v)}
+    x = {k: [math.floor(256 * float(c)) for c in v] for k, v in good.items()}
+    fit = np.array(sorted({tuple(v) for v in x.values()}), dtype=np.int64)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = fit - sums / n
+    covariance = centred.T @ centred / n
+    values, axes = np.linalg.eigh(covariance)
+    values, axes = values[::-1][:components], axes[:, ::-1][:, :components]
+    real = values > 1e-12 * max(values.max(), 1e-300)
+    values, axes = values[real], axes[:, real]
+    rows = {k: (sum((n * c - int(s)) ** 2 for c, s in zip(v, sums, strict=True)), (np.array(v) - sums / n) @ axes / np.sqrt(values)) for k, v in x.items()}
+    return n, rows, values / np.trace(covariance)

@@ -2,13 +2,14 @@
 
 import io
 import math
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexiloom.llm import chat, components, decontaminate, minhash, mixing, queries, secret_scan, sharding, spotsigs, token_files, toxicity, warc
+from lexiloom.llm import chat, components, decontaminate, filter_audit, minhash, mixing, queries, secret_scan, sharding, spotsigs, substring_dedup, token_files, toxicity, warc, whitening
 from tests.llm import brute
 
 LONG = " ".join(f"w{i * i % 9973}x" for i in range(30_000))
@@ -108,7 +109,33 @@ def test_chat_parts(spark):
     assert r["formatted"] == (
         "<|turn|>user<|content|>see <\\|image|> \\\\ <|image|><|audio|><|end|><|turn|>assistant<|content|><\\/s><|document|><|end|><|turn|><|content|><|end|>")
     assert [tuple(a) for a in r["attachments"]] == [("image", "a.png", 3), ("audio", "b.wav", 63), ("document", "c.pdf", 0)]
-    assert [r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["loss"]] == ["<\\/s><|document|>"]
+    assert [r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["loss"]] == ["<\\/s>"]
+
+
+def test_chat_control_strings_across_parts(spark):
+    """Every control string cut at every place over neighbouring texts, also around null and unknown parts, reads back."""
+    part = lambda kind, text=None: (kind, text, None, None)
+    between = [[], [None], [part("text")], [part("video", "?")], [part(None, "?")], [part("text", ""), None, part("video")]]
+    said = {}
+    for c in (*chat.CONTROL, chat.TURN, chat.CONTENT, chat.END, "<|turn|>assistant<|content|>evil", "\\<|", "<<<|>"):
+        for at in range(len(c) + 1):
+            for gap in between:
+                said[len(said)] = ([part("text", "a " + c[:at]), *gap, part("text", c[at:] + " b")], f"a {c} b")
+    rows_ = [(k, t, role, parts) for k, (parts, _) in said.items() for t, role in ((0, "user"), (1, "assistant"))]
+    turns = spark.createDataFrame(rows_, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    out = chat.format_conversations(turns).select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("m"))
+    got = {r["conv_id"]: ([tuple(t) for t in r["t"]], r["m"]) for r in out.collect()}
+    assert got == {k: ([("user", text), ("assistant", text)], text) for k, (_, text) in said.items()}
+
+
+def test_chat_texts_around_placeholders(spark):
+    part = lambda kind, text=None: (kind, text, None, None)
+    turns = spark.createDataFrame(
+        [(1, 0, "assistant", [part("image"), part("text", "a <"), part("image"), part("image"), part("text", "|x"), part("text", ""), part("audio")])],
+        f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    (r,) = chat.format_conversations(turns).collect()
+    assert r["formatted"] == "<|turn|>assistant<|content|><|image|>a <<|image|><|image|>|x<|audio|><|end|>"
+    assert [r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["loss"]] == ["a <", "|x"]
 
 
 def test_chat_reads_back(spark):
@@ -131,32 +158,57 @@ def test_mixing(spark):
     assert mixing.mix_documents(frame(spark, {})).count() == 0
 
 
-def test_raking_meets_marginals(spark):
-    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("b", "x", 30), ("b", "y", 120), (None, "y", 40)], "source string, lang string, tokens bigint")
-    share = lambda c, d: spark.createDataFrame(list(d.items()), f"{c} string, share double")
-    got = mixing.rake(cells, {"source": share("source", {"a": 0.5, "b": 0.4, None: 0.1}), "lang": share("lang", {"x": 0.5, "y": 0.5})}, keep=0.4, rounds=25).collect()
-    for column, want in (("source", {"a": 0.5, "b": 0.4, None: 0.1}), ("lang", {"x": 0.5, "y": 0.5})):
-        for value, part in want.items():
-            assert math.isclose(sum(r["weight"] for r in got if r[column] == value), 340 * 0.4 * part, rel_tol=1e-4)
-    assert all(r["weight"] <= r["tokens"] for r in got)
+def share(spark, values):
+    return spark.createDataFrame(list(values.items()), "v string, share double").select(mixing.key_of(F.col("v")).alias("value"), "share")
+
+
+def keyed(cells):
+    return cells.withColumns({f"k_{c}": mixing.key_of(F.col(c)) for c in ("source", "lang", "topic") if c in cells.columns})
 
 
-def test_default_targets_are_reached(spark):
-    """Values with fewer tokens than their default target are taken whole, and the mix holds KEEP of all tokens."""
-    cells = spark.createDataFrame(
+def test_raking_meets_marginals(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("b", "x", 30), ("b", "y", 120), (None, "y", 40)], "source string, lang string, tokens bigint")
+    wanted = {"source": {"a": 0.5, "b": 0.4, None: 0.1}, "lang": {"x": 0.5, "y": 0.5}}
+    factors = mixing.rake(keyed(cells), {c: share(spark, v) for c, v in wanted.items()}, tolerance=1e-7)
+    by = {c: {r["value"]: r["factor"] for r in f.collect()} for c, f in factors.items()}
+    weights = [(r["source"], r["lang"], r["tokens"] * by["source"][r["k_source"]] * by["lang"][r["k_lang"]]) for r in keyed(cells).collect()]
+    for i, values in enumerate(wanted.values()):
+        for value, part in values.items():
+            assert math.isclose(sum(w[2] for w in weights if w[i] == value), part, rel_tol=1e-5)
+
+
+def test_targets_that_no_mix_meets(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("b", "y", 100)], "source string, lang string, tokens bigint")
+    with pytest.warns(UserWarning, match="no such mix"):
+        mixing.rake(keyed(cells), {"source": share(spark, {"a": 0.9, "b": 0.1}), "lang": share(spark, {"x": 0.1, "y": 0.9})}, rounds=1)
+
+
+def test_mix_of_given_targets(spark):
+    """Draws follow the raked weights, the scarcest cell is drawn whole, and unwanted values are not drawn."""
+    docs = spark.createDataFrame(
+        [(i, ("word " * 10).strip() if i % 4 else "a = 'b' and six more words to come", "en" if i % 3 else "es", f"s{i % 2}" if i % 10 else None) for i in range(6000)], "doc_id bigint, text string, lang string, source string")
+    targets = {"source": share(spark, {"s0": 0.5, "s1": 0.5}), "lang": share(spark, {"en": 0.5, "es": 0.5}), "topic": share(spark, {"code": 0.1, "prose": 0.9})}
+    mixed = mixing.mix_documents(docs, targets=targets)
+    report = {(r["marginal"], r["value"]): r for r in mixing.mix_report(mixed).collect()}
+    assert report["source", None]["wanted"] == report["source", None]["achieved"] == 0
+    assert all(abs(r["wanted"] - r["achieved"]) < 0.03 for r in report.values())
+    assert mixed.agg(F.max("probability")).first()[0] == 1.0 and mixed.where("source IS NULL AND drawn").count() == 0
+
+
+def test_default_targets_leave_most_tokens(spark):
+    """Scarce values grow no further than their tokens reach, shares sum to 1, and about KEEP of the tokens can be drawn."""
+    cells = keyed(spark.createDataFrame(
         [(s, lang, t, n * (3 + i)) for i, s in enumerate("ab") for lang, k in (("en", 60), ("es", 10)) for t, n in (("prose", 50 * k), ("code", k), ("license", 2 * k))],
-        "source string, lang string, topic string, tokens bigint")
-    total = sum(r["tokens"] for r in cells.collect())
-    targets = {c: mixing.even_targets(cells, c) for c in mixing.MARGINALS}
-    got = mixing.mixed_cells(cells, targets)
-    weights = got.collect()
-    assert math.isclose(sum(r["weight"] for r in weights), total * mixing.KEEP, rel_tol=0.01) and all(r["weight"] <= r["tokens"] + 1e-6 for r in weights)
-    reachable = {c: mixing.reachable_targets(cells, c, t) for c, t in targets.items()}
-    report = {(r["marginal"], r["value"]): r for r in mixing.achieved_shares(got, reachable).collect()}
-    assert all(math.isclose(r["wanted"], r["achieved"], rel_tol=0.02) for r in report.values()) and len(report) == 7
-    wanted = {(r["marginal"], r["value"]): r["wanted"] for r in mixing.achieved_shares(got, targets).collect()}
-    assert wanted["topic", "code"] > report["topic", "code"]["achieved"] and math.isclose(wanted["source", "a"], report["source", "a"]["achieved"], rel_tol=0.02)
-    assert math.isclose(report["topic", "code"]["achieved"] * total * mixing.KEEP, 490, rel_tol=0.02)
+        "source string, lang string, topic string, tokens bigint"))
+    targets = {c: mixing.default_targets(cells, c) for c in mixing.MARGINALS}
+    shares = {(c, r["value"]): r["share"] for c, t in targets.items() for r in t.collect()}
+    assert all(math.isclose(sum(v for (c, _), v in shares.items() if c == m), 1) for m in mixing.MARGINALS)
+    assert math.isclose(shares["topic", '{"v":"code"}'], mixing.KEEP ** (-1 / 3) / 53, rel_tol=1e-9) and shares["topic", '{"v":"prose"}'] < 50 / 53
+    assert math.isclose(shares["source", '{"v":"a"}'], 3 / 7 * 0.75 + 0.25 / 2, rel_tol=1e-9)
+    factors = {c: {r["value"]: r["factor"] for r in f.collect()} for c, f in mixing.rake(cells, targets).items()}
+    rates = [(r["tokens"], math.prod(factors[c][r[f"k_{c}"]] for c in mixing.MARGINALS)) for r in cells.collect()]
+    top = max(rate for _, rate in rates)
+    assert sum(n * rate / top for n, rate in rates) >= 0.99 * mixing.KEEP * sum(n for n, _ in rates)
 
 
 ITEMS = [(1, " ".join(NEAR[5:25])), (2, "One two"), (3, None), (4, "!!"), (None, "w0x w1x w4x"), (1, "three four FIVE"), (10, "the one and the two of the three or so")]
@@ -202,6 +254,27 @@ def test_toxicity(spark):
     assert not any(r["predicted"] for r in toxicity.score_toxicity(docs, none).collect())
 
 
+@pytest.mark.parametrize("word", ["idiot", "IDIOT", "1d10t", "\uff49\uff44\uff49\uff4f\uff54", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "ıdıot", "ïdíöt", "i.d.i.o.t",
+    "i-d-i-o-t", "id!ot", "id|ot", "іdіот", "ιdιοτ", "i\u200bd\u00adiot", "ⓘⓓⓘⓞⓣ", "idioт"])
+def test_disguises(word):
+    assert toxicity.fold(f"You {word}, you") == "you idiot, you"
+
+
+def test_fold_leaves_other_words():
+    assert toxicity.fold("Stop! a-b e.g. 12.5 x | y U.S.") == "stop! a-b e.g. i2.s x | y u.s."
+
+
+def test_sample_loses_near_copies_only(spark):
+    """Texts that share a common pair of words stay; copies with one word of sixty changed count once."""
+    unlike = {i: f"you are {' '.join(f'a{i}b{j}' for j in range(30))} bad" for i in range(100, 160)}
+    alike = {i: " ".join([*NEAR[:59], f"x{i}"]) + " bad" for i in range(300, 320)}
+    docs = frame(spark, unlike | alike)
+    labels = spark.createDataFrame([(k, 1) for k in (unlike | alike)] + [(9999, 0)], "doc_id bigint, toxic int")
+    texts = toxicity.sample_texts(docs, labels, 1000).collect()
+    learned = [k for k in unlike if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert sum("you are" in r["text"] for r in texts) == len(learned) and sum("n1 n2" in r["text"] for r in texts) == 1
+
+
 def test_exception_phrases():
     lexicon = toxicity.Lexicon(weights={"idiot": 5.0, "mor*": 4.0}, exceptions={"village idiot", "idiot proof"})
     automaton = lexicon.automaton()
@@ -350,3 +423,83 @@ def test_spotsigs_without_anchors(spark):
     assert all(r["n_signatures"] >= 20 for r in got.values())
     assert {k: r["component_id"] for k, r in got.items()} == {1: 1, 2: 2, 3: 2}
     assert rows(spotsigs.edited_fingerprints(frame(spark, texts), ["the"]))[2]["near_edited"] < 0.8
+
+
+def test_galloping_merges():
+    runs = [list(range(0, 100, 7)), [], [3, 4, 5, 14, 98, 99, 200], list(range(50, 60)), [14]]
+    assert filter_audit.union(runs) == sorted(set().union(*runs)) and filter_audit.union([]) == filter_audit.union([[], []]) == []
+    for a in runs:
+        for b in runs:
+            assert filter_audit.difference(a, b) == sorted(set(a) - set(b))
+    assert filter_audit.gallop([1, 2, 3, 8, 9], 0, 8) == 3 and filter_audit.gallop([1], 0, 5) == 1
+
+
+@pytest.mark.parametrize("block", [1 << 16, 3])
+def test_filter_audit(spark, monkeypatch, block):
+    monkeypatch.setattr(filter_audit, "BLOCK_ROWS", block)
+    many = {100 + i: "Shout #1 " * 150 for i in range(20)} | {200 + i: " ".join(f"q{j}" for j in range(190 + i)) for i in range(20)}
+    docs = frame(spark, TEXTS | many, NULL_AND_REPEATED).drop("part").withColumn("part", F.lit("clash"))
+    labels = [(i, 1 if i % 3 else None, 1 if i % 5 == 0 else 0) for i in (*TEXTS, *many)] + [(5, 1, 1), (5, 0, 0), (None, 1, 1), (77, 1, 1)]
+    got = filter_audit.audit_filters(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").withColumn("part", F.lit("clash"))).collect()
+    want = brute.audit([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()], labels)
+    columns = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert {(r["part"], r["filter_order"], r["step"]): [r[c] for c in columns] for r in got} == want and len(got) == len(want)
+    assert filter_audit.audit_filters(docs.limit(0), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).count() == 0
+
+
+VECTORS = {
+    1: [0.1, 0.2, -0.3], 2: [0.1, 0.2, -0.3], 3: None, 4: [0.5, None, 0.1], 5: [float("nan"), 0.0, 0.0], 6: [0.1, float("inf"), 0.0], 7: [], 8: [1.0, -1.0, 2.5], 9: [0.0, -0.0, 0.25],
+    10: [3.0, 1.0, -2.0], 11: [-0.001, 0.7, 0.3], 12: [0.1, 0.2], 13: [-5.0, 2.0, 2.0],
+}
+
+
+def test_whitening(spark):
+    schema = "vec_id bigint, embedding array<float>, label int"
+    vectors = spark.createDataFrame([(k, v, 0) for k, v in VECTORS.items()] + [(None, [0.3, 0.3, 0.3], 1), (8, [1.0, -1.0, 2.5], 1)], schema).withColumns({c: F.lit("clash") for c in CLASH + ["x", "place", "y"]})
+    out = whitening.whiten(vectors).collect()
+    as_read = {(r["vec_id"], i): r["embedding"] for i, r in enumerate(vectors.collect())}
+    n, rows_, shares = brute.whitened({k: v for k, v in as_read.items() if v and len(v) == 3})
+    assert n == 7 and len(out) == 3 * len(rows_) == 27
+    for c in (1, 2, 3):
+        mine = sorted((str(r["vec_id"]), r["deviation"], abs(r["whitened"])) for r in out if r["component"] == c)
+        want = sorted((str(k), d, abs(w[c - 1])) for (k, _), (d, w) in rows_.items())
+        assert [m[:2] for m in mine] == [w[:2] for w in want] and np.allclose([m[2] for m in mine], [w[2] for w in want], atol=1e-9)
+    assert {round(r["explained"], 12) for r in out} == {round(float(s), 12) for s in shares} and all(r["identity_error"] < 1e-9 for r in out)
+    same = spark.createDataFrame([(1, [0.5, 0.5], 0), (2, [0.5, 0.5], 0)], schema)
+    flat = spark.createDataFrame([(i, [float(i), 2.0 * i, 1.0], 0) for i in range(9)], schema)
+    assert whitening.whiten(same).count() == whitening.whiten(same.limit(0)).count() == 0 == whitening.whiten(spark.createDataFrame([(1, None, 0)], schema)).count()
+    assert {r["component"] for r in whitening.whiten(flat).collect()} == {1}
+
+
+def test_whitening_in_small_blocks(spark, monkeypatch):
+    """The same rows whatever the size of the blocks, and many of them."""
+    generator = np.random.default_rng(3)
+    data = generator.normal(size=(300, 10)) @ generator.normal(size=(10, 10))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    whole = {(r["vec_id"], r["component"]): r["whitened"] for r in whitening.whiten(vectors).collect()}
+    monkeypatch.setattr(whitening, "BLOCK_COLUMNS", 4)
+    monkeypatch.setattr(whitening, "BLOCK_ENTRIES", 28)
+    parts = {(r["vec_id"], r["component"]): r["whitened"] for r in whitening.whiten(vectors).collect()}
+    assert parts.keys() == whole.keys() and all(math.isclose(parts[k], whole[k], abs_tol=1e-9) for k in whole)
+
+
+@pytest.mark.parametrize("width", [2, 3, 5, 12, 35])
+def test_substring_dedup(spark, width):
+    """Windows at every width: overlapping repeats, passages in other texts, copies, hot passages, ends of texts."""
+    passage = [f"p{i}" for i in range(50)]
+    more = {100 + i: " ".join([f"a{i}b{j}" for j in range(i % 40)] + passage[i % 7 : 50 - i % 5] + [f"c{i}d{j}" for j in range(i % 13)]) for i in range(40)}
+    more |= {200: "x " * 100, 201: "x y " * 60, 202: " ".join(passage[:35]), 203: " ".join(passage[:34]), 204: " ".join(passage[16:]) + " " + " ".join(passage[:30])}
+    more |= {300 + i: "the same text many times over and over " * 6 for i in range(30)}
+    texts = TEXTS | more
+    got = rows(substring_dedup.remove_repeats(frame(spark, texts), width=width))
+    assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute.without_repeats(texts, width)
+
+
+def test_substring_dedup_rows(spark):
+    long = " ".join(NEAR[:40])
+    more = [(50, long, "en", None), (50, long, "en", None), (None, "u " + long, None, None), (None, None, None, None), (51, "v " * 3 + long, None, None)]
+    out = substring_dedup.remove_repeats(frame(spark, {60: "a b c"}, more)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in out) == sorted([("60", 3, 0), ("50", 40, 40), ("50", 40, 40), ("None", 41, 40), ("None", 0, 0), ("51", 43, 40)])
+    twice = substring_dedup.remove_repeats(frame(spark, {60: "a b c"}, more[:2])).collect()
+    assert [(r["n_removed"]) for r in twice if r["doc_id"] == 50] == [40, 40]
+    assert substring_dedup.remove_repeats(frame(spark, {})).count() == 0

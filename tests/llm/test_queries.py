@@ -1,6 +1,7 @@
 """Every query of the training-data operators on whole small tables, against brute force or SQL."""
 
 import hashlib
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -13,6 +14,7 @@ from tests import oracle
 from tests.llm import brute
 
 FOLDER = "/root/testdata/sf0.001"
+AUDIT = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +73,40 @@ def test_toxicity_held_out(spark):
     assert hits >= 0.85 * sum(y for y, _ in held) and hits >= 0.9 * sum(p for _, p in held)
 
 
+def test_toxicity_scores(spark, texts):
+    """The score of every text of a whole table under a lexicon with whole words, beginnings and exceptions."""
+    words = sorted({w for t in texts.values() for w in toxicity.WORD.findall(toxicity.fold(t))}, key=lambda w: hashlib.sha256(w.encode()).hexdigest())
+    lexicon = toxicity.Lexicon({w: 1.0 + i % 7 / 3 for i, w in enumerate(words[:60])} | {w[:4] + "*": 2.5 + i % 5 for i, w in enumerate(words[60:100])}, bias=-3.0, slope=1.5, length_slope=0.7)
+    follow = {f"{a} {b}" for t in texts.values() for a, b in itertools.pairwise(toxicity.WORD.findall(toxicity.fold(t))) if a in lexicon.weights}
+    lexicon.exceptions = set(sorted(follow)[::3])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.read.parquet(f"{FOLDER}/documents.parquet"), lexicon).collect()}
+    want = {k: lexicon.score(brute.toxic_features(t, lexicon.weights, lexicon.exceptions, toxicity.fold)) for k, t in texts.items()}
+    assert got == pytest.approx(want, abs=1e-12) and len({round(v, 6) for v in want.values()}) > 50
+
+
+def test_filter_audit(spark, tables):
+    got = {(r["part"], r["filter_order"], r["step"]): [r[c] for c in AUDIT] for r in result(spark, "op11_filter_audit")}
+    want = brute.audit([(r["doc_id"], r["text"], r["lang"]) for r in tables("documents")], [(r["doc_id"], r["quality"], r["toxic"]) for r in tables("labels")])
+    assert got == want
+
+
+def test_whitening(spark, tables):
+    out = result(spark, "op12_whitening")
+    n, rows, shares = brute.whitened({r["vec_id"]: r["embedding"] for r in tables("embeddings")})
+    assert len(out) == 4 * len(rows) and {r["n"] for r in out} == {n}
+    for c in range(1, 5):
+        mine = [r for r in out if r["component"] == c]
+        sign = 1 if mine[0]["whitened"] * rows[mine[0]["vec_id"]][1][c - 1] > 0 else -1
+        assert all(r["deviation"] == rows[r["vec_id"]][0] for r in mine)
+        assert all(r["whitened"] == pytest.approx(sign * rows[r["vec_id"]][1][c - 1], abs=1e-9) for r in mine)
+        assert all(r["explained"] == pytest.approx(shares[c - 1], rel=1e-9) and 0 <= r["identity_error"] < 1e-9 for r in mine)
+
+
+def test_substring_dedup(spark, texts):
+    got = by(result(spark, "op13_substring_dedup"), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute.without_repeats(texts) and any(r[1] for r in got.values())
+
+
 def test_sharding(spark, texts):
     got = {r["doc_id"]: r for r in result(spark, "op7_sharding")}
     assert set(got) == set(texts)
