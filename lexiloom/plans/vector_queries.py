@@ -9,6 +9,7 @@ from lexiloom.functions import vectors as V
 from lexiloom.operators import ngrams as L
 from lexiloom.operators import profile as P
 from lexiloom.operators import vectors as E
+from lexiloom.operators.neighbours import InvertedFile
 from lexiloom.operators.splits import split_rows
 from lexiloom.plans.registry import query, sql_sentences, sql_tokens, sql_uniform, table
 from lexiloom.plans.text_queries import STOP, documents
@@ -45,6 +46,21 @@ def nearest_neighbours(spark, folder):
     return out.withColumn("cosine", F.round("cosine", 6))
 
 
+SQL_FIFTIETH = """
+WITH s AS (SELECT a.vec_id AS query, b.vec_id AS word, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(cos, 12) DESC, word) AS rank FROM s)
+SELECT query, rank, word, round(cos, 6) AS cosine FROM r WHERE rank <= 5"""
+
+
+@query("indexed_neighbours", SQL_FIFTIETH)
+def indexed_neighbours(spark, folder):
+    """The five vectors nearest to every fiftieth one, by the inverted file, visiting all cells that may matter."""
+    vectors = embeddings(spark, folder)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "vec")
+    out = InvertedFile(vectors, "vec_id").nearest(queries, 5, certain=True)
+    return out.withColumn("cosine", F.round("cosine", 6))
+
+
 @query("pair_cosine", """
 SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
