@@ -73,3 +73,52 @@ def interval_scan(spark, folder):
         "vec_id", F.concat(F.lit('File type = "ooTextFile"\nxmin = 0\nxmax = 64\n'), tier("phones"), tier("words")).alias("raw")
     )
     return R.tier_intervals(raw, "vec_id", "raw")
+
+
+@query("archive_round_trip", r"""
+SELECT 'doc' || doc_id || '.txt' AS file, i - 1 AS line_no, regexp_replace(l[i], '\r+$', '') AS line FROM (
+  SELECT doc_id, l, unnest(range(1, len(l) + (CASE WHEN l[len(l)] = '' THEN 0 ELSE 1 END))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
+def archive_round_trip(spark, folder):
+    """Documents as members of zip archives, scanned line by line from their places in them."""
+    docs = documents(spark, folder, "doc_id", "text").select(F.format_string("doc%d.txt", "doc_id").alias("file"), "text")
+    path = scratch_path(spark, "archives")
+    W.write_archives(docs, path)
+    return R.scan_archive(spark, path, ["doc"]).select("file", "line_no", "line")
+
+
+@query("archive_members", "SELECT 'doc' || doc_id || '.txt' AS file, 1::BIGINT AS n FROM documents WHERE doc_id % 3 = 1")
+def archive_members(spark, folder):
+    """Which members of archives a name picks, by the directories alone."""
+    name = F.concat(F.lit("doc"), F.col("doc_id"), F.when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".xml"))
+    path = scratch_path(spark, "archives")
+    W.write_archives(documents(spark, folder, "doc_id", "text").select(name.alias("file"), "text"), path)
+    return R.members(spark, path).where(F.endswith("file", F.lit(".txt"))).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+def wav_files(spark, folder):
+    """Embeddings as WAV files, every third one at half the rate."""
+    rows = table(spark, folder, "embeddings").select(
+        F.format_string("clip%d", "vec_id").alias("name"), "embedding", F.when(F.col("vec_id") % 3 == 0, 8000).otherwise(16000).alias("rate"))
+    path = scratch_path(spark, "wavs")
+    W.write_wavs(rows, path, "name", "embedding", "rate")
+    return path
+
+
+SQL_WAVS = "SELECT 'clip' || vec_id AS stem, CASE WHEN vec_id % 3 = 0 THEN 8000 ELSE 16000 END::BIGINT AS rate, len(embedding)::BIGINT AS frames FROM embeddings"
+
+
+@query("wav_headers", f"SELECT stem, 1::BIGINT AS channels, 2::BIGINT AS sampwidth, rate, frames, round(frames / rate, 6) AS duration_s FROM ({SQL_WAVS})")
+def wav_headers(spark, folder):
+    heads = R.scan_wav_headers(spark, wav_files(spark, folder))
+    return heads.select("stem", "channels", "sampwidth", "rate", "frames", F.round("duration_s", 6).alias("duration_s"))
+
+
+@query("wav_violations", f"SELECT stem, 'expected 16000 Hz, got 8000 Hz' AS reason FROM ({SQL_WAVS}) WHERE rate = 8000")
+def wav_violations(spark, folder):
+    return R.wav_violations(R.scan_wav_headers(spark, wav_files(spark, folder))).select("stem", "reason")
+
+
+@query("file_inventory", "SELECT 'clip' || vec_id AS stem, 'clip' || vec_id || '.wav' AS file FROM embeddings")
+def file_inventory(spark, folder):
+    out = R.file_inventory(spark, wav_files(spark, folder), ".wav")
+    return out.select("stem", F.regexp_extract("path", "([^/]+)$", 1).alias("file"))

@@ -9,9 +9,11 @@ from lexiloom.operators import joins as J
 from lexiloom.operators import ngrams as L
 from lexiloom.operators import parallel as A
 from lexiloom.operators.splits import split_pairs
-from lexiloom.plans.registry import SQL_PAIRS, query, sql_marks, sql_pieces, sql_tokens, table, turn_pairs
+from lexiloom.plans.registry import SQL_PAIRS, query, sql_marks, sql_pieces, sql_tokens, sql_trim, table, turn_pairs
 from lexiloom.plans.text_queries import documents
-from lexiloom.session import cut_lineage
+from lexiloom.session import cut_lineage, scratch_path
+from lexiloom.sources import files as R
+from lexiloom.sources import sinks as W
 
 KEY = ["conv_id", "turn"]
 ENDS = ".?!"
@@ -41,6 +43,54 @@ def aligned(spark, folder):
     return A.align_sentences(sides(spark, folder), KEY, c["c"] if usable else 1.0, c["s2"] if usable and c["s2"] > 0 else 6.8)
 
 
+# ---- the chain from marked-up books in archives to rated verse pairs
+
+def verse_text(col: str) -> str:
+    return rf"array_to_string(list_filter(list_transform(string_split({col}, chr(10)), lambda s: {sql_trim('s')}), lambda s: s <> ''), ' ')"
+
+
+SQL_VERSES = f"""
+WITH t AS (SELECT lpad((conv_id % 1000)::VARCHAR, 3, '0') AS book, (conv_id // 1000 + 1)::INT AS chapter, turn::INT AS turn, role, conv_id, {verse_text('text')} AS text FROM conversations),
+a AS (SELECT book, chapter, turn + 1 AS verse, text FROM t WHERE role = 'user'),
+b AS (SELECT book, chapter, turn AS verse, text FROM t WHERE role = 'assistant' UNION ALL SELECT book, chapter, turn + 1, text FROM t WHERE role = 'assistant' AND conv_id % 7 = 0),
+j AS (SELECT book, chapter, verse, a.text AS a_text, b.text AS b_text FROM a FULL JOIN b USING (book, chapter, verse))"""
+
+
+def marked_books(spark, folder, role, first, bridges=None):
+    """(file, text): a marked-up book for each conversation, a verse for each turn of one role, some over two verses."""
+    turns = table(spark, folder, "conversations").where(F.col("role") == role)
+    number = F.col("turn").cast("int") + first
+    verse = F.when(bridges, F.format_string("%d-%d", number, number + 1)).otherwise(number.cast("string")) if bridges is not None else number.cast("string")
+    lines = turns.select("conv_id", "turn", F.concat(F.lit("\\v "), verse, F.lit(" "), F.coalesce("text", F.lit(""))).alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
+    head = F.format_string("\\id %s\n\\c %d\n", F.lpad((F.col("conv_id") % 1000).cast("string"), 3, "0"), F.floor(F.col("conv_id") / 1000) + 1)
+    # a book is one member of an archive, so one row
+    return lines.groupBy("conv_id").agg(body.alias("body")).select(F.format_string("%09d-%s.usfm", "conv_id", F.lit(role)).alias("file"), F.concat(head, "body").alias("text"))
+
+
+def verse_pairs(spark, folder):
+    path = scratch_path(spark, "books")
+    W.write_archives(marked_books(spark, folder, "user", 1), f"{path}/a")
+    W.write_archives(marked_books(spark, folder, "assistant", 0, F.col("conv_id") % 7 == 0), f"{path}/b")
+    read = lambda side, role: R.scan_archive(spark, f"{path}/{side}", [role]).select("file", "line_no", "line")
+    a, b = A.verse_units(read("a", "-user"), "a"), A.verse_units(read("b", "-assistant"), "b")
+    return J.verse_join(A.expand_bridges(a), A.expand_bridges(b), ["book", "chapter", "verse"], "text", "text")
+
+
+@query("parallel_corpus", f"""{SQL_VERSES}
+SELECT book, chapter, verse, a_text, b_text, len(a_text) / len(b_text) BETWEEN 0.3 AND 3.0 AS kept FROM j WHERE a_text IS NOT NULL AND b_text IS NOT NULL""")
+def parallel_corpus(spark, folder):
+    """Books from archives, their verses joined, rated by length."""
+    both = verse_pairs(spark, folder).where("side = 'both'")
+    return A.with_ratio(both).select("book", "chapter", "verse", "a_text", "b_text", "kept")
+
+
+@query("verse_coverage", f"""{SQL_VERSES}
+SELECT CASE WHEN a_text IS NULL THEN 'b_only' WHEN b_text IS NULL THEN 'a_only' ELSE 'both' END AS side, count(*)::BIGINT AS n FROM j GROUP BY 1""")
+def verse_coverage(spark, folder):
+    return J.coverage_counts(verse_pairs(spark, folder))
+
+
 @query("ratio_kept", f"SELECT conv_id, turn, a_text, b_text FROM ({SQL_PAIRS}) WHERE len(a_text) / len(b_text) BETWEEN 0.3 AND 3.0")
 def ratio_kept(spark, folder):
     return A.ratio_filter(turn_pairs(spark, folder))[0]

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import struct
-import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from lexiloom.functions import text as T
+from lexiloom.sources.ranged import archive_members, lines_of, member_bytes, open_ranged, wav_header
 
 _LINE = "(?:\r\n|\r|\n)"
 
@@ -22,47 +21,65 @@ def file_stem(path: Column | str) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, file, offset, size, method) of all members of the archives, which are not read for it.
+
+    Only the directory at an archive's end is; a member's name may stand in several archives.
+    """
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for archive in pdf["path"]:
+                with open_ranged(archive) as stream:
+                    rows = [(archive, *m) for m in archive_members(stream)]
+                yield pd.DataFrame(rows, columns=["archive", "file", "offset", "size", "method"])
+
+    paths = spark.read.format("binaryFile").load(path).select("path")
+    return paths.mapInPandas(listed, "archive string, file string, offset long, size long, method int")
+
+
 def scan_archive(spark: SparkSession, path: str, codes: list[str] | None = None, batch: int = 4096) -> DataFrame:
     """(archive, file, line_no, line) of the zip members whose name holds one of the codes.
 
-    One task opens one archive and streams the wanted members line by line, so
-    a member is never held whole. Unwanted members are not decompressed.
+    Members are dealt to the tasks one by one, not by archive; a task goes to its member's place in the
+    archive and streams it line by line, so neither an archive nor a member is ever held whole, and
+    members that are not wanted are not read.
     """
 
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for archive, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith("/") or (codes is not None and not any(c in name for c in codes)):
-                            continue
-                        rows = []
-                        with z.open(name) as member:
-                            for no, raw in enumerate(member):
-                                rows.append((archive, name, no, raw.decode("utf-8").rstrip("\r\n")))
-                                if len(rows) == batch:
-                                    yield pd.DataFrame(rows, columns=["archive", "file", "line_no", "line"])
-                                    rows = []
-                        if rows:
+            for archive, name, *place in pdf[["archive", "file", "offset", "size", "method"]].itertuples(index=False):
+                rows = []
+                with open_ranged(archive) as stream:
+                    for no, line in enumerate(lines_of(member_bytes(stream, *map(int, place)))):
+                        rows.append((archive, name, no, line))
+                        if len(rows) == batch:
                             yield pd.DataFrame(rows, columns=["archive", "file", "line_no", "line"])
+                            rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["archive", "file", "line_no", "line"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(lines, "archive string, file string, line_no long, line string")
+    wanted = members(spark, path)
+    if codes is not None:
+        wanted = wanted.where(reduce(Column.__or__, [F.contains("file", F.lit(c)) for c in codes], F.lit(False)))
+    return wanted.repartition("archive", "offset").mapInPandas(lines, "archive string, file string, line_no long, line string")
 
 
 def archive_member(spark: SparkSession, path: str, member: str) -> DataFrame:
     """(archive, text): one member's text per archive, null where it is absent."""
 
     @F.pandas_udf("string")
-    def read(content: pd.Series) -> pd.Series:
-        def one(blob):
-            with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                return z.read(member).decode("utf-8") if member in z.namelist() else None
+    def read(archive: pd.Series) -> pd.Series:
+        def one(uri):
+            with open_ranged(uri) as stream:
+                # of members of one name the last counts
+                found = [place for name, *place in archive_members(stream) if name == member]
+                return b"".join(member_bytes(stream, *found[-1])).decode("utf-8") if found else None
 
-        return content.map(one)
+        return archive.map(one)
 
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path").alias("archive"), read("content").alias("text"))
+    paths = spark.read.format("binaryFile").load(path).select("path")
+    return paths.select(F.col("path").alias("archive"), read("path").alias("text"))
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -151,35 +168,21 @@ WAV_SCHEMA = ST.StructType([
 ])
 
 
-def _wav_header(blob: bytes) -> tuple | None:
-    """Format and data sizes from the RIFF chunk table, None when unreadable."""
-    if len(blob) < 12 or blob[:4] != b"RIFF" or blob[8:12] != b"WAVE":
-        return None
-    at, fmt = 12, None
-    while at + 8 <= len(blob):
-        name, size = blob[at:at + 4], struct.unpack_from("<I", blob, at + 4)[0]
-        if name == b"fmt " and at + 24 <= len(blob):
-            _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", blob, at + 8)
-            fmt = (channels, bits // 8, rate)
-        elif name == b"data" and fmt:
-            width = fmt[0] * fmt[1]
-            return (*fmt, size // width if width else 0)
-        at += 8 + size + (size & 1)
-    return None
-
-
 @F.pandas_udf(WAV_SCHEMA)
-def _wav_udf(content: pd.Series) -> pd.DataFrame:
-    rows = [_wav_header(b) or (None, None, None, None) for b in content]
+def _wav_udf(path: pd.Series, length: pd.Series) -> pd.DataFrame:
+    rows = []
+    for uri, size in zip(path, length):
+        with open_ranged(uri) as stream:
+            rows.append(wav_header(stream, size) or (None, None, None, None))
     return pd.DataFrame(rows, columns=["channels", "sampwidth", "rate", "frames"]).astype("Int64")
 
 
 def scan_wav_headers(spark: SparkSession, path: str) -> DataFrame:
     """(path, stem, channels, sampwidth, rate, frames, duration_s); an unreadable file lasts 0 s."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    # a chunk of any length may stand before the samples, so the walk gets the whole file
+    # a chunk of any length may stand before the samples; the heads of chunks are read, their contents not
     return (
-        raw.select("path", file_stem("path").alias("stem"), _wav_udf("content").alias("h"))
+        raw.select("path", file_stem("path").alias("stem"), _wav_udf("path", "length").alias("h"))
         .select("path", "stem", "h.*")
         .withColumn("duration_s", F.coalesce(F.try_divide("frames", "rate"), F.lit(0.0)))
     )

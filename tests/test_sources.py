@@ -1,7 +1,14 @@
+import io
+import os
+import struct
+import tracemalloc
 import wave
 import zipfile
 
+import pytest
+
 from lexiloom.sources import files as R
+from lexiloom.sources import ranged
 from lexiloom.sources import sinks as W
 
 
@@ -143,3 +150,82 @@ def test_streams_read_files_and_folders(spark, tmp_path):
     next(one.glob("part-*")).rename(tmp_path / "single.parquet")
     for name in ("t.parquet", "single.parquet"):
         assert X.drain(X.read_stream(spark, str(tmp_path), name, df.schema), "rows").count() == 1000
+
+
+def test_lines_of_pieces():
+    text = "one\r\ntwo\n\nlast é"
+    data = text.encode()
+    for size in (1, 2, 3, 7, 100):
+        pieces = [data[i : i + size] for i in range(0, len(data), size)]
+        assert list(ranged.lines_of(iter(pieces))) == ["one", "two", "", "last é"]
+    assert list(ranged.lines_of(iter([]))) == list(ranged.lines_of(iter([b""]))) == [] and list(ranged.lines_of(iter([b"\n"]))) == [""]
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_members_by_their_place(tmp_path, monkeypatch, method):
+    """Stored and packed members of any size, also such that unpack to far more than they are."""
+    contents = {"empty": b"", "folder/small.txt": b"x\n", "zeros": b"0" * 3_000_000, "noise": os.urandom(2_500_000)}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", method) as z:
+        z.mkdir("folder")
+        for name, data in contents.items():
+            z.writestr(name, data)
+    monkeypatch.setattr(ranged, "PIECE", 1 << 16)
+    with ranged.open_ranged(str(tmp_path / "a.zip")) as stream:
+        found = list(ranged.archive_members(stream))
+        assert {m[0]: b"".join(ranged.member_bytes(stream, *m[1:])) for m in found} == contents
+        assert all(len(p) <= 1 << 16 for m in found for p in ranged.member_bytes(stream, *m[1:]))
+        with pytest.raises(ValueError, match="no member"):
+            next(ranged.member_bytes(stream, found[2][1] + 1, 5, 0))
+
+
+def test_archive_beyond_four_gigabytes(tmp_path):
+    """Members behind a hole of five gigabytes are read without it: places need 64-bit fields."""
+    path = tmp_path / "large.zip"
+    with open(path, "wb") as f:
+        f.truncate(5 << 30)
+        f.seek(0, io.SEEK_END)
+        with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("late-MATx.usfm", "\\id MAT\n" * 50_000)
+    tracemalloc.start()
+    with ranged.open_ranged(str(path)) as stream:
+        ((name, offset, size, method),) = ranged.archive_members(stream)
+        assert offset > 4 << 30 and sum(1 for _ in ranged.lines_of(ranged.member_bytes(stream, offset, size, method))) == 50_000
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+
+
+def test_scan_of_a_large_archive(spark, tmp_path):
+    path = tmp_path / "large.zip"
+    with open(path, "wb") as f:
+        f.truncate(3 << 30)
+        f.seek(0, io.SEEK_END)
+        with zipfile.ZipFile(f, "w") as z:
+            z.writestr("a.txt", "one\ntwo")
+            z.writestr("b.txt", "no")
+    assert [(r.file, r.line_no, r.line) for r in R.scan_archive(spark, str(path), ["a."]).orderBy("line_no").collect()] == [("a.txt", 0, "one"), ("a.txt", 1, "two")]
+    assert R.archive_member(spark, str(path), "b.txt").first().text == "no"
+
+
+def test_wav_header_behind_a_chunk_of_gigabytes(tmp_path):
+    """Of a file of 3 GB a few heads are read."""
+    path = tmp_path / "long.wav"
+    with open(path, "wb") as f:
+        f.write(struct.pack("<4sI4s", b"RIFF", 0xFFFFFFFF, b"WAVE") + struct.pack("<4sI", b"LIST", 3_000_000_001))
+        f.seek(3_000_000_002, io.SEEK_CUR)
+        f.write(struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 2, 44100, 176400, 4, 16) + struct.pack("<4sI", b"data", 400))
+    tracemalloc.start()
+    with ranged.open_ranged(str(path)) as stream:
+        assert ranged.wav_header(stream, path.stat().st_size) == (2, 2, 44100, 100)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+    assert ranged.wav_header(io.BytesIO(b"RIFF\0\0\0\0WAVE" + b"fmt "), 16) is None
+
+
+def test_archives_written_and_read(spark, tmp_path):
+    rows = [(f"m{i}", f"line {i}\nnext" if i % 5 else None) for i in range(40)]
+    path = str(tmp_path / "out")
+    W.write_archives(spark.createDataFrame(rows, "file string, text string"), path, members=7)
+    assert all(n.endswith(".zip") for n in os.listdir(path) if not n.startswith("."))
+    got = R.scan_archive(spark, path).select("file", "line_no", "line").collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"m{i}", n, l) for i in range(40) if i % 5 for n, l in enumerate((f"line {i}", "next")))
+    assert R.members(spark, path).count() == 40
