@@ -40,9 +40,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e),
 g AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL '6 hours' AS b, count(*)::BIGINT AS records, round(sum(value), 2) AS total FROM s GROUP BY user_id, k)
 SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS session_end, records, total FROM g""")
 def pause_sessions(spark, folder):
-    last = table(spark, folder, "events").agg(F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 2 DAYS")).first()[0]
-    events = X.closing_record(event_stream(spark, folder), "ts", last)
-    sessions = X.pause_sessions(events, "ts", "user_id", "6 hours", "1 hour", "value")
-    out = X.drain(sessions, "sessions")
+    updates = X.drain(X.pause_sessions(event_stream(spark, folder), "ts", "user_id", "6 hours", "1 hour", "value"), "sessions", "update")
+    out = X.closed_sessions(updates, "user_id")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return out.select("user_id", stamp("session_start"), stamp("session_end"), "records", F.round("total", 2).alias("total"))
