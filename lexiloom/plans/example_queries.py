@@ -136,7 +136,7 @@ def id_decoding(spark, folder):
     return U.decode_ids(ids, joint, ["doc_id"])
 
 
-VOCAB, MAX_LEN, BUCKET, MASK = 1000, 64, 16, 4
+VOCAB, MAX_LEN, BUCKET, MASK = 1000, 128, 16, 4
 
 
 def _token_id(t):
