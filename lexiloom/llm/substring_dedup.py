@@ -21,7 +21,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(32)
 
 ANCHOR_SCHEMA = "doc bigint, id bigint, key bigint, n_words int, whole string, places array<int>, h array<bigint>, after array<bigint>, before array<bigint>"
-SPAN_SCHEMA = "id bigint, key bigint, n bigint, start int, h bigint, windows array<bigint>"
+SPAN_SCHEMA = "id bigint, key bigint, n bigint, start int, h bigint, g bigint, windows array<bigint>"
 KEPT_SCHEMA = "id bigint, key bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 ROW = ["id", "key"]
 
@@ -109,25 +109,27 @@ def _level_three(width: int):
     first, second = levels(width)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*ROW, "n", "start", "h", "windows"]
+        names = [*ROW, "n", "start", "h", "g", "windows"]
         for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
-            out: list[list] = [[] for _ in names]
+            columns: list[list] = [[] for _ in names]
             for id_, key, n, text, alive in arrow_rows([batch], *ROW, "n", "text", "alive"):
                 words = word_hashes(text)
-                owner = lowest(window_hashes(words, first), width - first + 1)
+                short = window_hashes(words, first)
+                long, owner = _extended(short, second - first), lowest(short, width - first + 1)
                 whole = window_hashes(words, width).view(np.int64)
-                for a in alive:
-                    place, side = a["place"], a["side"]
-                    low, high = np.searchsorted(owner, [place, place + 1])
-                    # windows in which the second level's window fits behind the anchor, or else before it
-                    turn = max(low, place - (width - second))
-                    low, high = (turn, high) if side == 0 else (low, min(high, turn))
-                    if low < high:
-                        for column, value in zip(out, (id_, key, n, int(low), a["h"], whole[low:high]), strict=True):
-                            column.append(value)
-            if out[0]:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out[:5], kinds), _lists(out[5], pa.int64())], names=names)
+                place, side = np.divmod(np.sort(np.array(alive, np.int64)), 2)
+                low, high = np.searchsorted(owner, place), np.searchsorted(owner, place, "right")
+                # windows in which the second level's window fits behind the anchor, or else before it
+                turn = np.clip(place - (width - second), low, high)
+                low, high = np.where(side == 0, turn, low), np.where(side == 0, high, turn)
+                h = long[np.where(side == 0, np.minimum(place, len(long) - 1), np.maximum(place - (second - first), 0))].view(np.int64)
+                for i in np.flatnonzero(low < high):
+                    around = whole[low[i] : high[i]]
+                    for column, value in zip(columns, (id_, key, n, low[i], h[i], xxhash.xxh3_64_intdigest(around.tobytes()) - (1 << 63), around), strict=True):
+                        column.append(value)
+            if columns[0]:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:6], kinds), _lists(columns[6], pa.int64())], names=names)
 
     return work
 
@@ -141,9 +143,9 @@ def _without(width: int):
             for id_, key, text, spans in arrow_rows([batch], *ROW, "text", "spans"):
                 words = text.split()
                 edge = np.zeros(len(words) + 1, np.int32)
-                starts = np.array([s["start"] + i for s in spans for i in s["hits"]], np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + width, -1)
+                runs = np.array(spans, np.int64)
+                np.add.at(edge, runs >> 32, 1)
+                np.add.at(edge, (runs & 0xFFFFFFFF) + width, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 rows.append((id_, key, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
@@ -154,16 +156,22 @@ def _without(width: int):
     return work
 
 
-def _repeated(rows: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
-    """Rows (with ``n`` copies each) whose key is held by more than one."""
+def _held_often(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Keys that stand for several copies (``n`` in each row), and those of them with many rows."""
     counts = cut_lineage(rows.groupBy(*keys).agg(F.sum("n").alias("__all"), F.count(F.lit(1)).alias("__rows")).where("__all > 1"), "repeated")
     total = counts.agg(F.sum("__rows")).first()[0] or 0
     hot = counts.where(F.col("__rows") * HOT_SHARE > total).select(*keys, F.lit(True).alias("__hot"))
-    return spread_join(rows, counts.select(*keys), keys, spread_by=spread_by, hot=hot)
+    return counts.select(*keys), hot
+
+
+def _repeated(rows: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
+    """Rows whose key is held by more than one."""
+    often, hot = _held_often(rows, keys)
+    return spread_join(rows, often, keys, spread_by=spread_by, hot=hot)
 
 
 def repeated_windows(texts: DataFrame, first: DataFrame, width: int) -> DataFrame:
-    """(id, key, spans): of each text with repeated windows, where they begin, as starts and steps from them."""
+    """(id, key, spans): of each text with repeated windows, from where to where they begin, as two halves of a long."""
     # level one: anchors' short windows; level two: the repeated ones alone, at twice the length
     at = first.select(*ROW, "n", F.explode(F.arrays_zip("places", "h", "after", "before")).alias("a"))
     at = at.select(*ROW, "n", F.col("a.places").alias("place"), F.col("a.h").alias("h"), F.col("a.after").alias("after"), F.col("a.before").alias("before"))
@@ -172,17 +180,25 @@ def repeated_windows(texts: DataFrame, first: DataFrame, width: int) -> DataFram
     longer = cut_lineage(alive.select(*ROW, "n", "place", F.explode(sides).alias("s")).select(*ROW, "n", "place", "s.side", "s.h"), "alive")
     longer = _repeated(longer, ["h", "side"], [*ROW, "place"])
     # one list a text, no longer than the text
-    wanted = cut_lineage(longer.groupBy(*ROW, "n").agg(F.collect_list(F.struct("place", "side", "h")).alias("alive")), "wanted")
+    wanted = cut_lineage(longer.groupBy(*ROW, "n").agg(F.collect_list(F.col("place") * 2 + F.col("side")).alias("alive")), "wanted")
 
     # level three: windows of the full width around what is left
-    spans = _with(texts, wanted).mapInArrow(_level_three(width), SPAN_SCHEMA).withColumn("g", F.xxhash64("windows"))
-    spans = cut_lineage(spans, "spans")
+    spans = cut_lineage(_with(texts, wanted).mapInArrow(_level_three(width), SPAN_SCHEMA), "spans")
     # copies have the same spans: their windows are compared once, with the number of copies
     kinds = cut_lineage(spans.groupBy("h", "g").agg(F.sum("n").alias("n"), F.first("windows").alias("windows")), "kinds")
-    each = kinds.select("h", "g", "n", F.posexplode("windows").alias("step", "window"))
-    hits = _repeated(each, ["h", "window"], ["g", "step"]).groupBy("h", "g").agg(F.collect_list("step").alias("hits"))
-    placed = spread_join(spans.select(*ROW, "start", "h", "g"), cut_lineage(hits, "hits"), ["h", "g"], spread_by=[*ROW, "start"])
-    return cut_lineage(placed.groupBy(*ROW).agg(F.collect_list(F.struct("start", "hits")).alias("spans")), "repeats")
+    several, hot = _held_often(kinds.select("h", F.lit(1).alias("n")), ["h"])
+    kinds = cut_lineage(spread_join(kinds, several.withColumn("several", F.lit(True)), ["h"], "left", ["g"], hot=hot), "compared")
+    # where all copies have one span, all its windows are repeated or none is
+    alone = kinds.where("several IS NULL AND n > 1").select("h", "g", F.array(F.lit(0), F.size("windows") - 1).alias("hits"))
+    each = kinds.where("several").select("h", "g", "n", F.posexplode("windows").alias("step", "window"))
+    each = _repeated(each, ["h", "window"], ["g", "step"]).groupBy("h", "g").agg(F.min("step").alias("a"), F.max("step").alias("b"), F.collect_list("step").alias("steps"))
+    run = F.when(F.size("steps") == F.col("b") - F.col("a") + 1, F.array("a", "b")).otherwise(F.flatten(F.transform("steps", lambda s: F.array(s, s))))
+    hits = cut_lineage(alone.unionByName(each.select("h", "g", run.alias("hits"))), "hits")
+    placed = spread_join(spans.select(*ROW, "start", "h", "g"), hits, ["h", "g"], spread_by=[*ROW, "start"])
+    start = F.col("start").cast("bigint")
+    edge = lambda i: start + F.get("hits", i)
+    runs = F.transform(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2)), lambda i: F.shiftleft(edge(i), 32) + edge(i + 1))
+    return cut_lineage(placed.select(*ROW, F.explode(runs).alias("run")).groupBy(*ROW).agg(F.collect_list("run").alias("spans")), "repeats")
 
 
 def _with(texts: DataFrame, more: DataFrame) -> DataFrame:
