@@ -123,6 +123,9 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 
+SQL_ROUNDS = 20  # raking of the given tables ends before
+
+
 def _sql_mix() -> str:
     topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in mixing.TOPICS)
     bare = r"regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
@@ -139,20 +142,27 @@ def _sql_mix() -> str:
             f"t_{m} AS MATERIALIZED (SELECT {m}, now + more - less * (CASE WHEN sum(less) OVER () > 0 THEN sum(more) OVER () / sum(less) OVER () ELSE 0 END) AS share "
             f"FROM (SELECT {m}, now, greatest(least(aim, now * {most}) - now, 0) AS more, greatest(now - aim, 0) AS less FROM a_{m}))")
     steps.append(f"w0 AS MATERIALIZED (SELECT {keys}, tokens, tokens AS weight FROM c)")
-    at = 0
-    for _ in range(mixing.ROUNDS):
+    at, ends = 0, []
+    for nth in range(1, SQL_ROUNDS + 1):
+        moved = []
         for m in mixing.MARGINALS:
             # materialised, or each step would be expanded into the next one twice
             steps.append(
-                f"w{at + 1} AS MATERIALIZED (SELECT w.* REPLACE (weight * share / now AS weight) FROM w{at} w JOIN t_{m} t ON {same(m, 'w', 't')} "
-                f"JOIN (SELECT {m}, sum(weight) AS now FROM w{at} GROUP BY {m}) s ON {same(m, 'w', 's')})")
+                f"n{at} AS MATERIALIZED (SELECT t.{m}, share, now FROM (SELECT {m}, sum(weight) AS now FROM w{at} GROUP BY {m}) s JOIN t_{m} t ON {same(m, 's', 't')}), "
+                f"w{at + 1} AS MATERIALIZED (SELECT w.* REPLACE (weight * share / now AS weight) FROM w{at} w JOIN n{at} n ON {same(m, 'w', 'n')})")
+            moved.append(f"(SELECT max(abs(now / share - 1)) FROM n{at})")
             at += 1
+        ends.append((nth, at, f"SELECT {nth} AS nth, greatest({', '.join(moved)}) AS moved"))
+    # the round after which raking stops
+    steps.append(
+        f"e AS MATERIALIZED (SELECT coalesce(min(nth), {SQL_ROUNDS}) AS nth FROM ({' UNION ALL '.join(q for _, _, q in ends)}) WHERE nth >= {mixing.ROUNDS} AND moved <= {mixing.TOLERANCE})")
+    steps.append("w AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM w{i} WHERE (SELECT nth FROM e) = {nth}" for nth, i, _ in ends) + ")")
     unit = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{mixing.SEED}'), 1, 8))::BIGINT / 4294967296.0)"
     on = " AND ".join(same(m, "d", "w") for m in mixing.MARGINALS)
     picked = ", ".join(f"d.{m}" for m in mixing.MARGINALS)
     steps.append(
-        f"p AS MATERIALIZED (SELECT doc_id, {picked}, n_tokens::BIGINT AS n_tokens, coalesce(round(weight / tokens / (SELECT max(weight / tokens) FROM w{at}), 6), 1.0) AS probability "
-        f"FROM d LEFT JOIN w{at} w ON {on})")
+        f"p AS MATERIALIZED (SELECT doc_id, {picked}, n_tokens::BIGINT AS n_tokens, coalesce(round(weight / tokens / (SELECT max(weight / tokens) FROM w), 6), 1.0) AS probability "
+        f"FROM d LEFT JOIN w ON {on})")
     steps.append(f"u AS MATERIALIZED (SELECT *, {unit} < probability AS drawn FROM p)")
     joins, shares = "", ""
     for m in mixing.MARGINALS:
