@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.assignments import assigned_literals
 from lexiloom.llm.common import arrow_rows
 
 # The base patterns. Shorter matches take up their place and are dropped.
@@ -21,17 +22,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-# name = literal in program text, settings, JSON and YAML: an optional declaring word,
-# a dotted or dashed name, perhaps in quotes or with a type, the sign, then the value.
-PAIR = re.compile(
-    r"""(?<![\w.$-])(?:["'](?P<quoted>[A-Za-z_][\w.-]*)["']|(?P<name>[A-Za-z_][\w.-]*))(?:\[["'](?P<key>[\w.-]+)["']\])?"""
-    r"""[ \t]*(?::[ \t]*[A-Za-z_][\w<>\[\]]*[ \t]*(?==))?(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"""
-    r"""(?:[rbuf]?"(?P<double>(?:[^"\\\n]|\\.)*)"|[rbuf]?'(?P<single>(?:[^'\\\n]|\\.)*)'|(?P<ident>[A-Za-z_]\w*)(?![\w(.\[+/=-])|(?P<bare>[^\s"'#;,(){}\[\]]+))""")
 # Weights of name parts. A name's score is the largest weight among its parts.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
     "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 0.9, "bearer": 0.8, "auth": 0.6, "pass": 0.7, "pin": 0.5, "salt": 0.5, "key": 0.5,
 }
+# Every name with a sensitive part holds one of these, whatever stands between the words of a pair.
+SENSITIVE_STEM = re.compile("(?i)pass|pwd|secret|token|key|credential|bearer|auth|pin|salt")
 PLACEHOLDER = re.compile(r"(?i)^(?:changeme|example.*|placeholder|your[-_ ].*|x{3,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|none|null|true|false|test|todo)$")
 LEAST_SCORE = 1.3
 # Names of less weight would need literals of three kinds of characters for that: they have a least score
@@ -56,7 +53,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """Up to 1: long and mixed as a random string is. Placeholders and short values score 0."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or " " in value:
+    if len(value) < 6 or PLACEHOLDER.match(value):
         return 0.0
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -64,10 +61,21 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 4.0) * (0.5 + 0.25 * min(kinds - 1, 2))
 
 
-def pair_score(name: str, value: str) -> float:
-    """Weight of the name and randomness of the literal, 0 if no part of the name reaches its least score with it."""
+def _is_message(value: str) -> bool:
+    """Whether a literal with blanks is a sentence, a label or a command rather than a phrase that opens something."""
+    words = re.split(r"\s+", value)
+    return value[-1] in ".!?:," or any(_sensitive_parts(w) for w in words) or (words[0].istitle() and all(w.isalpha() for w in words))
+
+
+def pair_score(name: str, value: str, quoted: bool = True) -> float:
+    """Weight of the name and randomness of the literal, 0 if no part of the name reaches its least score with it.
+
+    Literals with blanks count for names of full weight, in quotes, where they are no message.
+    """
     parts = _sensitive_parts(name)
-    random = literal_score(value) if parts else 0.0
+    if not parts or (re.search(r"\s", value) and not (quoted and name_score(name) == 1.0 and not _is_message(value))):
+        return 0.0
+    random = literal_score(value)
     least = LEAST_WITH_DIGIT if DIGIT.search(value) else LEAST_WITHOUT
     if random and any(SENSITIVE[p] + random >= least.get(p, LEAST_SCORE) for p in parts):
         return name_score(name) + random
@@ -76,22 +84,14 @@ def pair_score(name: str, value: str) -> float:
 
 def _literals(text: str) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals given to a sensitive name, directly or through constants."""
-    if "=" not in text and ":" not in text:
+    if ("=" not in text and ":" not in text) or not SENSITIVE_STEM.search(text):
         return
-    values: dict[str, tuple[int, int, str]] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for m in PAIR.finditer(text):
-        name = m["key"] or m["quoted"] or m["name"]
-        if m["ident"] and m["ident"] in values:
-            found = values[m["ident"]]
-        elif group := next((g for g in ("double", "single", "ident", "bare") if m[g]), None):
-            found = (*m.span(group), m[group])
-        else:
-            continue
-        values[m["quoted"] or m["name"]] = found
-        score = pair_score(name, found[2])
-        if score > best.get(found[:2], (0.0, ""))[0]:
-            best[found[:2]] = (score, name)
+    for name, literal in assigned_literals(text):
+        score = pair_score(name, literal.text, literal.quoted) if SENSITIVE_STEM.search(name) else 0.0
+        for span in literal.spans if score else ():
+            if score > best.get(span, (0.0, ""))[0]:
+                best[span] = (score, name)
     for (start, end), (score, name) in best.items():
         yield start, end, name, score
 
@@ -113,9 +113,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, spans) of every row; a span is (start, end, kind, name, score) in code points, end exclusive.
 
     Kinds ``assign``, ``access`` and ``hex`` are the base patterns. Kind ``literal`` comes from
-    lexing: assignments of program and settings syntax become (name, literal) pairs, a
+    lexing (``assignments``): assignments of program and settings syntax become (name, literal) pairs, a
     name given to another name passes its literal on, and a literal is kept when the
-    sensitivity of the name and the randomness of the literal reach the name's least score together.
+    sensitivity of the name and the randomness of the literal reach the name's least score together. A
+    joined literal is one span where it stands in one place, else a span for each of its pieces.
 
     Cases. Null and empty texts have no spans; texts are scanned whole, however long; repeated
     rows and null ids each give a row; an empty table gives an empty one; other columns are not read.
