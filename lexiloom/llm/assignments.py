@@ -169,7 +169,7 @@ class _Reader:
                 inside -= 1
             elif kind == "join" and parts and not wanted:
                 wanted = True
-            elif kind == "open" or (kind in ("other", "operator") and not wanted):
+            elif (kind == "open" and (wanted or self.text[start] != "(")) or (parts and not wanted and self.text[start] in ("%*" if parts[-1][-1] is True else "%*-/")):
                 return None
             else:
                 break

@@ -15,7 +15,7 @@ def literals(text):
 
 @pytest.mark.parametrize("text", [
     'db_pwd = os.environ["X"]', "db_pwd = fallback", "db_pwd=fallback", "pwd = Zk39vLq81mTT\n", "connect(pwd=settings2)", "token: Optional", "x = y\ny = x\ndb_pwd = x",
-    'db_pwd = f"{user}x9Zk39vLq81mTT"', 'db_pwd = "Zk39vLq81mTT" + suffix()', 'db_pwd = "Zk39vLq81mTT" + suffix', "db_pwd = load('Zk39vLq81mTT')", 'db_pwd = ["Zk39vLq81mTT"]'])
+    'db_pwd = f"{user}x9Zk39vLq81mTT"', 'db_pwd = "Zk39vLq81mTT" + suffix()', 'db_pwd = "Zk39vLq81mTT" + suffix', "db_pwd = load('Zk39vLq81mTT')", 'db_pwd = "Zk39vLq81mTT%s" % x', 'db_pwd = "Zk39vLq81mTT"[2:]', 'db_pwd = ["Zk39vLq81mTT"]'])
 def test_names_calls_and_subscripts_are_no_literals(text):
     assert literals(text) == []
 
@@ -23,7 +23,7 @@ def test_names_calls_and_subscripts_are_no_literals(text):
 @pytest.mark.parametrize("text", [
     f'cfg["db"]["password"] = "{S}"', f'db_pwd = (\n    "{S}"\n)', f'db_pwd = """{S}"""', f"db_pwd = '''\n  {S}\n'''", f'pwd: Optional[str] = "{S}"', f'{{"clientSecret":\n "{S}"}}',
     f'a = b = db_pwd = "{S}"', f'# pwd = "{S}"', f'connect(user="a", pwd="{S}")', f"don't say pwd = '{S}' it's", f'$this->db_pwd = "{S}";', f'pwd => "{S}",', f"[db]\npwd = {S}\n",
-    f"db_pwd: {S}\n", f'x = "{S}"\nDB_PWD=x', f'def f():\n    auth_token = LATER\nLATER = "{S}"', f'a = "{S}"\nb = a\nc = b\nc_token = c\nb = "other"'])
+    f"db_pwd: {S}\n", f'a | token = "{S}" | b', f'SO!! TOKEN = "{S}"!! SO', f'token = "{S}" (see below)', f'token = "{S}", then', f'x = "{S}"\nDB_PWD=x', f'def f():\n    auth_token = LATER\nLATER = "{S}"', f'a = "{S}"\nb = a\nc = b\nc_token = c\nb = "other"'])
 def test_written_forms(text):
     assert literals(text) == [S]
 
