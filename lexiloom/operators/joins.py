@@ -67,17 +67,18 @@ def enrich_segments(
     textgrids: DataFrame,
     wavs: DataFrame,
     texts: DataFrame,
+    order: str | None = None,
 ) -> DataFrame:
     """Alignment rows with segmentation flags and file paths; defaults where a file is missing.
 
-    A segment that the report repeats takes its last row. Every side is unique on ``segment``, so plain
+    A segment that the report repeats takes its last row by the report's column ``order``, and of rows equal in
+    it, or without one, the greatest (chapter, confidence, reason). Every other side is unique on ``segment``, so plain
     shuffled joins cannot skew. ``aligned`` says that there is an interval file; whether it holds words
     is for ``collect_record`` to see.
     """
     path = lambda df, name: df.select(F.col("stem").alias("segment"), F.col("path").alias(name))
-    newest = report.withColumn("__at", F.monotonically_increasing_id()).groupBy("segment").agg(
-        F.max_by(F.struct("chapter", "confidence", "reason"), "__at").alias("r")
-    )
+    flagged = F.struct("chapter", "confidence", "reason")
+    newest = report.groupBy("segment").agg(F.max_by(flagged, F.struct(F.col(order) if order else F.lit(0), flagged)).alias("r"))
     flags = newest.select(
         "segment",
         F.col("r.chapter").alias("__chapter"),
@@ -142,7 +143,7 @@ def judge_lexicon(pairs: DataFrame, reference: DataFrame) -> DataFrame:
         .when(F.array_contains("glosses", F.col("target")), "agree")
         .otherwise("disagree")
     )
-    return pairs.join(ref, "source", "left").withColumn("status", status).drop("glosses")
+    return spread_join(pairs, ref, ["source"], "left").withColumn("status", status).drop("glosses")
 
 
 def missing_values(wanted: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:

@@ -87,7 +87,8 @@ def perplexity(model: DataFrame, test: DataFrame, tokens: Column, n: int = 2, al
     events = ngram_model(test, tokens, n).withColumnRenamed("n", "__c")
     totals = model.groupBy("context").agg(F.sum("n").alias("__t"))
     size = model.agg(F.countDistinct("next") + 1).scalar()
-    seen = events.join(model, ["context", "next"], "left").join(totals, "context", "left").withColumn("__v", size)
+    known = events.join(model, ["context", "next"], "left")
+    seen = spread_join(known, totals, ["context"], "left", spread_by=["next"]).withColumn("__v", size)
     p = (F.coalesce("n", F.lit(0)) + alpha) / (F.coalesce("__t", F.lit(0)) + alpha * F.col("__v"))
     out = seen.agg(
         F.sum("__c").alias("events"),

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -234,9 +234,10 @@ def first_counts(cells: DataFrame) -> DataFrame:
 
 
 def normalise(counts: DataFrame) -> DataFrame:
-    """(s, t, p): counts as probabilities of t given s. A source token has at most one row per target type here."""
+    """(s, t, p): counts as probabilities of t given s. A source token that meets a large share of all
+    target types is dealt over many tasks."""
     totals = counts.groupBy("s").agg(F.sum("c").alias("__z"))
-    return counts.join(totals, "s").select("s", "t", (F.col("c") / F.col("__z")).alias("p"))
+    return spread_join(counts, totals, ["s"], spread_by=["t"]).select("s", "t", (F.col("c") / F.col("__z")).alias("p"))
 
 
 def translation_table(cells: DataFrame, key: list[str], rounds: int = 5) -> tuple[DataFrame, list[float]]:
@@ -437,9 +438,12 @@ def sentence_scores(df: DataFrame, key: list[str], hyp: str = "hyp", ref: str =
 
 
 def score_divergence(scores: DataFrame, key: list[str], by: str = "direction", k: int = 3) -> DataFrame:
-    """Per direction the k rows where chrF most exceeds BLEU and the k of the opposite."""
-    from pyspark.sql import Window
+    """Per direction the k rows where chrF most exceeds BLEU and the k of the opposite.
 
+    Scores are written once and ranked from both ends, so no text is scored twice and
+    each ranking sends k rows a task and direction.
+    """
+    scores = cut_lineage(scores, "scores")
     gap = F.col("chrf") - F.col("bleu")
     parts = []
     for name, order in (("chrf_high", F.desc("gap")), ("bleu_high", F.asc("gap"))):

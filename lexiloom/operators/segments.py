@@ -459,7 +459,7 @@ QC_FIELDS = [
 
 def collect_record(
     analysis: DataFrame, report: DataFrame, textgrids: DataFrame, wavs: DataFrame, texts: DataFrame, intervals: DataFrame,
-    batch: str, thresholds: dict = QC_THRESHOLDS, chunk: int = 1 << 16,
+    batch: str, thresholds: dict = QC_THRESHOLDS, chunk: int = 1 << 16, report_order: str | None = None,
 ) -> DataFrame:
     """The quality record, QC_FIELDS in order: alignment rows (segment, begin, end, four scores) joined
     with the segmentation report, the file inventories and the silence metrics of the word intervals.
@@ -468,7 +468,7 @@ def collect_record(
     word is not aligned, whatever files it has, so it fails; one without an interval file has no metrics.
     """
     begin, end = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("begin", "end"))
-    rows = enrich_segments(analysis.withColumn("duration_s", F.round(end - begin, 3)), report, textgrids, wavs, texts)
+    rows = enrich_segments(analysis.withColumn("duration_s", F.round(end - begin, 3)), report, textgrids, wavs, texts, report_order)
     metrics = silence_metrics(intervals, rows.select("segment", "duration_s"), "segment", chunk)
     seen = rows.join(metrics, "segment", "left")
     aligned = F.col("aligned") & F.col("n_words_aligned").isNotNull()

@@ -351,3 +351,52 @@ def test_coverage_and_expected(spark):
     left = spark.createDataFrame([("MAT", 1), ("MAT", 2)], "book string, num int")
     right = spark.createDataFrame([("MAT", 2), ("MAT", 9)], "book string, num int")
     assert tuple(J.inventory_counts(J.expected_present(books, left, right)).first()) == (3, 1, 2, 1, 2)
+
+
+def test_hot_words_give_the_same_results(spark):
+    """One source word, one context and one pair's word hold nearly all rows."""
+    counts = spark.range(3000).select(F.when(F.col("id") % 50 > 0, "hot").otherwise(F.concat(F.lit("s"), "id")).alias("s"), F.concat(F.lit("t"), "id").alias("t"), (F.col("id") % 7 + 1).cast("double").alias("c"))
+    rows = counts.collect()
+    total = {}
+    for r in rows:
+        total[r.s] = total.get(r.s, 0.0) + r.c
+    got = {(r.s, r.t): r.p for r in A.normalise(counts).collect()}
+    assert len(got) == 3000 and all(got[r.s, r.t] == pytest.approx(r.c / total[r.s]) for r in rows)
+
+    pairs = counts.select(F.col("s").alias("source"), F.col("t").alias("target"))
+    ref = spark.createDataFrame([("hot", ["t1", "t2"]), ("s0", ["t0"]), ("s50", ["x"])], "headword string, glosses array<string>")
+    judged = {(r.source, r.target): r.status for r in J.judge_lexicon(pairs, ref).collect()}
+    assert len(judged) == 3000 and [judged["hot", "t1"], judged["hot", "t3"], judged["s0", "t0"], judged["s50", "t50"], judged["s100", "t100"]] == ["agree", "disagree", "agree", "disagree", "not_in_ref"]
+
+    words = [f"hot w{i % 400}" for i in range(2000)] + ["cold end"]
+    text = spark.createDataFrame([(w,) for w in words], "text string")
+    model = L.ngram_model(text, T.tokens("text"), 2)
+    m = {(tuple(r.context) if isinstance(r.context, list) else r.context, r.next): r.n for r in model.collect()}
+    row = L.perplexity(model, text, T.tokens("text"), 2).first()
+    size, contexts = len({k[1] for k in m}) + 1, {}
+    for (c, _), n in m.items():
+        contexts[c] = contexts.get(c, 0) + n
+    log = sum(n * math.log((n + 1) / (contexts[c] + size)) for (c, _), n in m.items())
+    assert row.events == sum(m.values()) and row.perplexity == pytest.approx(math.exp(-log / row.events))
+
+
+def test_last_report_row_by_its_order(spark):
+    report = spark.createDataFrame([("s", "c1", "high", "", 5), ("s", "c2", "low", "x", 9), ("s", "c3", "low", "y", 7)], "segment string, chapter string, confidence string, reason string, line int")
+    empty = spark.createDataFrame([], "stem string, path string")
+    analysis = spark.createDataFrame([("s",)], "segment string")
+    for rows in (report, report.repartition(5, "line"), report.orderBy(F.desc("line"))):
+        got = J.enrich_segments(analysis, rows, empty, empty, empty, "line").first()
+        assert (got.chapter, got.segmentation_confidence, got.segmentation_reason) == ("c2", "low", "x")
+    assert J.enrich_segments(analysis, report, empty, empty, empty).first().chapter == "c3"
+
+
+def test_score_divergence_scores_once(spark):
+    scores = spark.range(40).select("id", (F.col("id") % 2).cast("string").alias("direction"), (F.col("id") * 7 % 40).cast("double").alias("chrf"), F.lit(3.0).alias("bleu"))
+    got = [(r.direction, r.side, r["rank"], r.id) for r in A.score_divergence(scores, ["id"], k=2).collect()]
+    want = []
+    for d in "01":
+        rows = sorted((r for r in scores.collect() if r.direction == d), key=lambda r: (-r.chrf, r.id))
+        want += [(d, "chrf_high", i + 1, r.id) for i, r in enumerate(rows[:2])]
+        rows.sort(key=lambda r: (r.chrf, r.id))
+        want += [(d, "bleu_high", i + 1, r.id) for i, r in enumerate(rows[:2])]
+    assert sorted(got) == sorted(want)
