@@ -72,13 +72,15 @@ def enrich_segments(
     """Alignment rows with segmentation flags and file paths; defaults where a file is missing.
 
     A segment that the report repeats takes its last row by the report's column ``order``, and of rows equal in
-    it, or without one, the greatest (chapter, confidence, reason). Every other side is unique on ``segment``, so plain
+    it the greatest (chapter, confidence, reason). Without ``order`` it is the last row as read, which is the file's
+    last only where the report comes straight from its file. Every other side is unique on ``segment``, so plain
     shuffled joins cannot skew. ``aligned`` says that there is an interval file; whether it holds words
     is for ``collect_record`` to see.
     """
     path = lambda df, name: df.select(F.col("stem").alias("segment"), F.col("path").alias(name))
     flagged = F.struct("chapter", "confidence", "reason")
-    newest = report.groupBy("segment").agg(F.max_by(flagged, F.struct(F.col(order) if order else F.lit(0), flagged)).alias("r"))
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    newest = report.withColumn("__at", at).groupBy("segment").agg(F.max_by(flagged, F.struct("__at", flagged)).alias("r"))
     flags = newest.select(
         "segment",
         F.col("r.chapter").alias("__chapter"),

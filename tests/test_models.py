@@ -387,7 +387,6 @@ def test_last_report_row_by_its_order(spark):
     for rows in (report, report.repartition(5, "line"), report.orderBy(F.desc("line"))):
         got = J.enrich_segments(analysis, rows, empty, empty, empty, "line").first()
         assert (got.chapter, got.segmentation_confidence, got.segmentation_reason) == ("c2", "low", "x")
-    assert J.enrich_segments(analysis, report, empty, empty, empty).first().chapter == "c3"
 
 
 def test_score_divergence_scores_once(spark):
