@@ -37,7 +37,7 @@ WORD = re.compile(r"[^\W_]+")
 PREFIXES = range(3, 9)
 SAMPLE_ROWS = 20_000  # labelled rows of each label that the model is fitted on
 LEAST_DOCS = 3  # toxic rows that hold a pattern
-LEAST_WEIGHT = 2.5
+LEAST_WEIGHT = 1.0
 LEAST_GAIN = 15.0  # log-likelihood ratio of a pattern, chi-squared with one degree of freedom
 LEXICON_SIZE = 5_000
 THRESHOLD = 0.3
@@ -73,6 +73,18 @@ def neighbours(folded: str, begin: int) -> tuple[str | None, str | None, str | N
     return folded[start:end] or None, here[0], after[0] if after else None
 
 
+def matches(folded: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[int, float, str]]:
+    """(place, weight, pattern) wherever a pattern meets a word: whole, or a beginning of a longer word, as they are counted."""
+    for end, (size, whole, start) in automaton.iter(folded) if len(automaton) else ():
+        begin = end - size + 1
+        if begin and folded[begin - 1].isalnum():
+            continue
+        closed = end + 1 == len(folded) or not folded[end + 1].isalnum()
+        weight = whole if closed else start
+        if weight:
+            yield begin, weight, folded[begin:end + 1] + ("" if closed else "*")
+
+
 @dataclass
 class Lexicon:
     """Patterns with weights: whole words, or beginnings of words written with a final ``*``;
@@ -101,14 +113,8 @@ class Lexicon:
             return 0.0, 0.0
         folded = fold(text)
         words: dict[int, float] = {}
-        for end, (size, whole, start) in automaton.iter(folded):
-            begin = end - size + 1
-            if begin and folded[begin - 1].isalnum():
-                continue
-            closed = end + 1 == len(folded) or not folded[end + 1].isalnum()
-            weight = max(whole if closed else 0.0, start)
-            if weight > words.get(begin, 0.0):
-                words[begin] = weight
+        for begin, weight, _ in matches(folded, automaton):
+            words[begin] = max(weight, words.get(begin, 0.0))
         if self.exceptions and words:
             words = {b: w for b, w in words.items() if not self._excepted(folded, b)}
         total = sum(words.values())
@@ -154,7 +160,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     ``minhash.near_duplicates``) with one label one is read, or any word of a text copied often would seem
     telling. A row labelled both ways is read under both labels. A pattern is taken when its counts in toxic and clean rows
     differ by more than chance (LEAST_GAIN); its weight is the log of how much oftener toxic rows
-    hold it, less one standard error. Matches followed or preceded by one word in several
+    hold it, less one standard error. Both are then taken again from the rows in which it is the heaviest
+    pattern of some word, as only that one counts, so a beginning does not live on the one telling word it begins. Matches followed or preceded by one word in several
     clean rows and in no toxic row become exception phrases. The scale from sums to a score is a
     logistic fit on the sample, each half being measured with the lexicon of the other half.
     """
@@ -164,13 +171,22 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     sums = [F.coalesce(F.sum(F.when(F.col("half") == h, F.col(c))), F.lit(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean")]
     counted = cut_lineage(counted.groupBy("pattern").agg(*sums), "patterns")
 
+    def number(label: int, halves: tuple[int, ...]) -> float:
+        return float(sum(n.get((h, label), 0) for h in halves))
+
     def learned(*halves: int) -> Lexicon:
         total = lambda c: sum((F.col(f"{c}{h}") for h in halves), F.lit(0))
-        number = lambda y: float(sum(n.get((h, y), 0) for h in halves))
-        return Lexicon(weights=_weights(counted.select("pattern", total("toxic").alias("toxic"), total("clean").alias("clean")), number(1), number(0)))
+        return Lexicon(weights=_weights(counted.select("pattern", total("toxic").alias("toxic"), total("clean").alias("clean")), number(1, halves), number(0, halves)))
 
-    lexicon, others = learned(0, 1), {0: learned(1), 1: learned(0)}
     send = rows.sparkSession.sparkContext.broadcast
+
+    def settled(*halves: int) -> Lexicon:
+        lexicon = learned(*halves)
+        credited = rows.where(F.col("half").isin(*halves)).mapInArrow(_count_heaviest(send(lexicon)), "pattern string, toxic bigint, clean bigint")
+        credited = credited.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return Lexicon(weights=_weights(credited, number(1, halves), number(0, halves)))
+
+    lexicon, others = settled(0, 1), {0: settled(1), 1: settled(0)}
     contexts = rows.mapInArrow(_count_contexts(send(lexicon)), "phrase string, toxic bigint, clean bigint").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     spared = contexts.where((F.col("toxic") == 0) & (F.col("clean") >= LEAST_DOCS)).orderBy(F.desc("clean"), "phrase").limit(LEXICON_SIZE).collect()
     lexicon.exceptions = {r["phrase"] for r in spared}
@@ -220,15 +236,25 @@ def _counts(name: str, toxic: Counter, clean: Counter) -> pa.RecordBatch:
         name: pa.array(keys, pa.string()), "toxic": pa.array([toxic[k] for k in keys], pa.int64()), "clean": pa.array([clean[k] for k in keys], pa.int64())})
 
 
+def _count_heaviest(sent):
+    def count(batches):
+        automaton, toxic, clean = sent.value.automaton(), Counter(), Counter()
+        for text, label in arrow_rows(batches, "text", "toxic"):
+            words: dict[int, tuple[float, str]] = {}
+            for begin, weight, pattern in matches(fold(text), automaton):
+                words[begin] = max((weight, pattern), words.get(begin, (0.0, "")))
+            (toxic if label else clean).update({pattern for _, pattern in words.values()})
+        yield _counts("pattern", toxic, clean)
+
+    return count
+
+
 def _count_contexts(sent):
     def count(batches):
         automaton, toxic, clean = sent.value.automaton(), Counter(), Counter()
         for text, label in arrow_rows(batches, "text", "toxic"):
             folded, phrases = fold(text), set()
-            for end, (size, _, _) in automaton.iter(folded) if len(automaton) else ():
-                begin = end - size + 1
-                if begin and folded[begin - 1].isalnum():
-                    continue
+            for begin, _, _ in matches(folded, automaton):
                 before, here, after = neighbours(folded, begin)
                 if here and after:
                     phrases.add(f"{here} {after}")

@@ -147,7 +147,7 @@ def toxic_features(text, weights, exceptions, fold):
         for pattern, weight in weights.items():
             bare = pattern.removesuffix("*")
             end = begin + len(bare)
-            if folded.startswith(bare, begin) and (pattern.endswith("*") or end == len(folded) or not folded[end].isalnum()):
+            if folded.startswith(bare, begin) and pattern.endswith("*") == (end < len(folded) and folded[end].isalnum()):
                 best = max(best, weight)
         at = [i for i, (start, _) in enumerate(words) if start == begin]
         if best and at:

@@ -285,6 +285,27 @@ def test_exception_phrases():
     assert total("M0RON") == 4.0
 
 
+def test_beginnings_do_not_count_as_whole_words():
+    """A beginning is counted in longer words only, when it is learned as when it is met."""
+    lexicon = toxicity.Lexicon(weights={"los*": 3.0, "loser": 5.0})
+    automaton = lexicon.automaton()
+    total = lambda t: round(math.expm1(lexicon.features(t, automaton)[0]), 6)
+    assert total("los, de los") == 0.0
+    assert total("lost los") == 3.0
+    assert total("l0ser") == 5.0
+    assert "los*" not in toxicity.patterns_of("los") and "los*" in toxicity.patterns_of("lost")
+
+
+def test_beginnings_do_not_live_on_one_word(spark):
+    """``idi*`` leads no word but clean ones once ``idiot`` is a pattern, so it is none itself."""
+    texts = {k: f"w{k} idiot x{k}" for k in range(60)} | {k: f"w{k} idiom x{k}" if k % 3 == 0 else f"w{k} y{k}" for k in range(100, 400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    lexicon = toxicity.fit_lexicon(docs, spark.createDataFrame([(k, int(k < 60)) for k in texts], "doc_id bigint, toxic int"))
+    assert "idiot" in lexicon.weights and "idi*" not in lexicon.weights
+    automaton = lexicon.automaton()
+    assert lexicon.features("an idiom", automaton) == (0.0, 0.0)
+
+
 def test_sharding(spark):
     got = sharding.assign_shards(frame(spark, more=NULL_AND_REPEATED), shards=4).collect()
     assert len(got) == len(TEXTS) + 4 and {r["law"] for r in got} == {"bytes"}
