@@ -323,7 +323,10 @@ def merge_runs(pieces: DataFrame, clip: str = "clip", lo: int = MERGE_MIN_MS, hi
     placed = lambda df, by, *order: df.repartition(*by).sortWithinPartitions(*by, *order)
     heads = placed(keyed, [clip, "__ch"], "idx").mapInArrow(head, fields(kt, ("__ch", "long"), ("head", "array<long>"), ("left", "array<long>")))
     entered = placed(heads, [clip], "__ch").mapInArrow(carry, fields(kt, ("__ch", "long"), ("__open", "long")))
-    flagged = cut_lineage(placed(keyed.join(entered, [clip, "__ch"]), [clip, "__ch"], "idx").mapInArrow(
+    # Dealt by a hash of the key: dealing by the join's own key would add no exchange, and a join that turns
+    # into a broadcast as it runs leaves its rows where they were read, so a chunk's pieces would lie apart.
+    joined = keyed.join(entered, [clip, "__ch"]).repartition(F.xxhash64(clip, "__ch")).sortWithinPartitions(clip, "__ch", "idx")
+    flagged = cut_lineage(joined.mapInArrow(
         starts, fields(kt, ("idx", "long"), ("dur", "long"), ("__start", "long"))
     ), "groups")
     numbered = ordered_scan(flagged, [clip], ["idx"], _chunk("idx", chunk), __before=("sum_before", "__start"))

@@ -94,6 +94,25 @@ def test_greedy_merge_any_chunking(spark, chunk):
         assert [r.group_no for r in out.where(F.col("clip") == clip).orderBy("idx").collect()] == greedy(ds, 15000, 25000), clip
 
 
+def test_greedy_merge_where_the_join_turns_into_a_broadcast(spark):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"]
+    was = {n: spark.conf.get(n, None) for n in names}
+    durations = {c: [(i * 7919 + c * 104729) % 30000 + 100 for i in range(40)] for c in range(60)}
+    rows = [(c, i, d) for c, ds in durations.items() for i, d in enumerate(ds)]
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "20000")  # the sums fit, the pieces do not
+        spark.conf.set(names[2], "false")
+        out = S.merge_runs(spark.createDataFrame(rows, "clip int, idx long, dur long").repartition(5, "idx"), chunk=100)
+        got = {}
+        for r in out.orderBy("clip", "idx").collect():
+            got.setdefault(r.clip, []).append(r.group_no)
+    finally:
+        for n, v in was.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert got == {c: greedy(ds, 15000, 25000) for c, ds in durations.items()}
+
+
 def test_assign_words(spark):
     groups = spark.createDataFrame([("a", 0, 20000), ("a", 1, 100), ("a", 2, 20000), ("b", 0, 5), ("b", 1, 5)], "clip string, group_no long, dur long")
     words = spark.createDataFrame([("a", [f"w{i}" for i in range(10)]), ("b", ["x"])], "clip string, words array<string>")
