@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.hashing import hash_key, uniform
@@ -61,16 +66,49 @@ def shingle_sets(df: DataFrame, key: str, text: str = "text", width: int = 3) ->
     )
 
 
-def leakage(train: DataFrame, test: DataFrame, key: str, text: str = "text", width: int = 3, threshold: float = 0.8, share: int = 10000) -> DataFrame:
+# How many of the commonest shingles have a place of their own in the order, what part of the training
+# sets they are counted in, and how many elements are ordered at once.
+RANKED, COUNTED_IN, ORDERED_AT_ONCE = 200_000, 8, 1 << 20
+
+
+def _prefixes(df: DataFrame, ident: str, elements: str, ranked: pa.Table, threshold: float) -> DataFrame:
+    """(e, ident): the first elements of each sorted set, those of no rank first, then by rank."""
+    by_value = np.argsort(ranked["e"].to_numpy())
+    shared = df.sparkSession.sparkContext.broadcast((ranked["e"].to_numpy()[by_value], by_value + 1))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, places = shared.value
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(elements)).to_numpy(zero_copy_only=False).astype(np.int64)
+            step = max(1, batch.num_rows * ORDERED_AT_ONCE // max(1, int(sizes.sum())))
+            for at in range(0, batch.num_rows, step):
+                part, n = batch.slice(at, step), sizes[at:at + step]
+                values = part.column(elements).flatten().to_numpy()
+                rank = np.zeros(len(values), dtype=np.int64)
+                if len(listed):
+                    spot = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
+                    rank = np.where(listed[spot] == values, places[spot], 0)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.argsort(row * (len(listed) + 1) + rank, kind="stable")
+                place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+                kept = place < np.repeat(n - np.ceil(threshold * n).astype(np.int64) + 1, n)
+                yield pa.RecordBatch.from_arrays([pa.array(values[order[kept]]), part.column(ident).take(pa.array(row[kept]))], names=["e", ident])
+
+    return df.select(ident, elements).mapInArrow(cut, f"e long, {ident} {df.schema[ident].dataType.simpleString()}")
+
+
+def leakage(train: DataFrame, test: DataFrame, key: str, text: str = "text", width: int = 3, threshold: float = 0.8) -> DataFrame:
     """Test rows with ``leaked`` = some train row has shingle Jaccard >= threshold. Exact.
 
     Two sets can reach the threshold only if they share an element of their
-    prefixes under one global order, so rows meet on prefix elements alone.
-    The order puts shingles that hold over 1/share of all occurrences last
-    (there are at most ``share`` of them, so they fit a scalar subquery), which keeps
-    boilerplate out of the prefixes. Equal sets are collapsed to one first.
-    Sets are then tested against one train set per shared element, and only
-    test sets still unmatched meet all of their candidates.
+    prefixes under one global order. Any order gives the same flags; this one puts
+    the commonest shingles last, which keeps boilerplate out of the prefixes. They are
+    counted in every ``COUNTED_IN``-th training set, by its hash, and at most ``RANKED`` are listed.
+    Equal sets are collapsed to one first. Common elements up to the end of the prefix that ends
+    first lie in both prefixes, so a pair's shared prefix elements and what lies behind a prefix
+    bound its overlap; only pairs that may still reach the threshold meet with their sets.
+    Each test set is tried first against the training sets that most of its elements name as
+    the least that holds them, and only test sets still unmatched meet all of their candidates.
     """
     sets = lambda df: shingle_sets(df, key, text, width)
     id_of = F.xxhash64("set")
@@ -80,34 +118,33 @@ def leakage(train: DataFrame, test: DataFrame, key: str, text: str = "text", wid
     ).groupBy("tid").agg(F.first("train_set").alias("train_set")), "train-sets")
     test_sets = tests.groupBy("sid").agg(F.first("set").alias("test_set"))
 
-    occurrences = trains.select(F.explode("train_set").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    total = occurrences.agg(F.sum("n")).scalar()
-    hot = occurrences.where(F.col("n") * share > total).agg(F.collect_list("e")).scalar()
-
-    def prefixes(df: DataFrame, ident: str, elements: str) -> DataFrame:
-        length = F.size(elements) - F.ceil(F.lit(threshold) * F.size(elements)) + 1
-        ordered = F.concat(F.array_except(elements, "__hot"), F.array_intersect(elements, "__hot"))
-        return df.withColumn("__hot", hot).select(
-            ident, F.col(elements), F.explode(F.slice(ordered, F.lit(1), length.cast("int"))).alias("e")
-        )
-
-    train_prefix = cut_lineage(prefixes(trains, "tid", "train_set").select("e", "tid"), "train-prefixes")
-    test_prefix = cut_lineage(prefixes(test_sets, "sid", "test_set").select("e", "sid"), "held-out-prefixes")
+    counted = trains.where(F.pmod("tid.h", F.lit(COUNTED_IN)) == 0).select(F.explode("train_set").alias("e"))
+    common = counted.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "e").limit(RANKED)
+    # commonest last
+    ranked = common.orderBy("n", "e").toArrow()
+    train_prefix = cut_lineage(_prefixes(trains, "tid", "train_set", ranked, threshold), "train-prefixes")
+    test_prefix = cut_lineage(_prefixes(test_sets, "sid", "test_set", ranked, threshold), "held-out-prefixes")
     sized = (F.col("tid.n") >= F.col("sid.n") * threshold) & (F.col("sid.n") >= F.col("tid.n") * threshold)
+    behind = F.greatest(F.ceil(F.col("sid.n") * threshold), F.ceil(F.col("tid.n") * threshold)) - 1
+    wanted = (F.col("sid.n") + F.col("tid.n")) * (threshold / (1 + threshold)) - 1e-6
+
+    def shared(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, "e").where(sized).groupBy("sid", "tid").agg(F.count(F.lit(1)).alias("n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("test_set", "train_set"))
         return (
-            pairs.select("sid", "tid").distinct()
-            .join(test_sets, "sid").join(trains, "tid")
+            pairs.select("sid", "tid").join(test_sets, "sid").join(trains, "tid")
             .where(both >= threshold * (F.size("test_set") + F.size("train_set") - both))
             .select("sid").distinct()
         )
 
     representative = train_prefix.groupBy("e").agg(F.min("tid").alias("tid"))
-    first = cut_lineage(verified(test_prefix.join(representative, "e").where(sized)), "matched")
+    likeliest = Window.partitionBy("sid").orderBy(F.desc("n"), "tid")
+    tried = shared(test_prefix, representative).withColumn("r", F.row_number().over(likeliest)).where("r <= 2")
+    first = cut_lineage(verified(tried), "matched")
     rest = test_prefix.join(first, "sid", "left_anti")
-    second = verified(rest.join(train_prefix, "e").where(sized))
+    second = verified(cut_lineage(shared(rest, train_prefix).where(F.col("n") + behind >= wanted), "candidates"))
     matched = first.unionByName(second).distinct().withColumn("leaked", F.lit(True))
     return spread_join(tests.select(key, "sid"), matched, ["sid"], "left", spread_by=[key]).select(
         key, F.coalesce("leaked", F.lit(False)).alias("leaked")

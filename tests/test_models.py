@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -340,6 +341,34 @@ def test_leakage_with_many_copies(spark):
     assert len(flags) == test.count() and all(v for k, v in flags.items() if k < 2000)
 
 
+def test_leakage_meets_only_pairs_that_may_reach_the_threshold(spark, monkeypatch):
+    # a few common lines in all texts, own words, and copies with some words changed
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    lines = [" ".join(word() for _ in range(12)) for _ in range(4)]
+    texts = [" ".join([lines[i % 4], *(word() for _ in range(60)), lines[(i + 1) % 4]]) for i in range(160)]
+    for i in range(60):
+        words = texts[i].split()
+        for at in rng.sample(range(len(words)), i % 6):
+            words[at] = word()
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("held", F.col("id") % 3 == 0)
+    monkeypatch.setattr(S, "COUNTED_IN", 1)
+    written = {}
+    plain = S.cut_lineage
+
+    def kept(frame, name="stage"):
+        written[name] = plain(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(S, "cut_lineage", kept)
+    got = {r.id: r.leaked for r in S.leakage(df.where("NOT held"), df.where("held"), "id").collect()}
+    grams = [{tuple(w[i:i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    close = lambda i: any(len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) for j in range(len(texts)) if j % 3)
+    assert got == {i: close(i) for i in range(0, len(texts), 3)}
+    assert 0 < sum(got.values()) < len(got) and written["candidates"].count() <= 40
+
+
 def test_coverage_and_expected(spark):
     chars = spark.createDataFrame([("a", 6), ("b", 3), ("c", 1)], "ch string, n long")
     inv = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c"), ("z", "q")], "candidate string, ch string")
