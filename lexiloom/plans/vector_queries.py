@@ -127,9 +127,8 @@ def document_vectors(spark, folder):
     """Documents as means of their known words' vectors; a word's hash picks its vector, if there is one."""
     docs = documents(spark, folder, "doc_id", "text")
     key = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 6), 16, 10).cast("long") % F.lit(embeddings(spark, folder).count())
-    words = P.vocabulary(docs, T.tokens("text")).select(F.col("token").alias("word"), key.alias("vec_id"))
-    vectors = words.join(embeddings(spark, folder), "vec_id").select("word", "vec")
-    out = E.pool(docs, vectors, "doc_id")
+    words = P.vocabulary(docs, T.tokens("text")).select(F.col("token").alias("word"), key.alias("name"))
+    out = E.pool(docs, embeddings(spark, folder).select(F.col("vec_id").alias("name"), "vec"), "doc_id", shared=words)
     return out.select("doc_id", F.round(F.get("mean", F.lit(0)), 6).alias("first"), F.round(F.get("mean", F.lit(63)), 6).alias("last"))
 
 

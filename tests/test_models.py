@@ -271,6 +271,26 @@ def test_nearest_refuses_repeated_ids(spark):
         E.nearest(twice, vectors, 2, slice_rows=1)
 
 
+def test_pool_moves_a_vector_once_for_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(E, "POOLED_BYTES", 400)
+    vectors = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(9)], "word string, vec array<float>")
+    texts = [(i % 50, " ".join(f"w{(i * 7 + j * j) % 12}" for j in range(i % 30))) for i in range(60)] + [(None, "w1 w2"), (70, None), (71, "x y")]
+    out = E.pool(spark.createDataFrame(texts, "id int, text string"), vectors, "id")
+    want = {}
+    for i, t in texts:
+        want.setdefault(i, []).extend(int(w[1:]) for w in (t or "").split() if w[0] == "w" and int(w[1:]) < 9)
+    got = {r.id: r["mean"] for r in out.collect()}
+    assert got == {i: pytest.approx([sum(x) / len(x), 1.0]) for i, x in want.items() if x}
+    # words that share a vector, one of them a vector that is not there
+    shared = spark.createDataFrame([(f"w{i}", i % 3) for i in range(9)], "word string, name int")
+    few = spark.createDataFrame([(0, [1.0]), (1, [5.0])], "name int, vec array<float>")
+    got = {r.id: r["mean"] for r in E.pool(spark.createDataFrame(texts, "id int, text string"), few, "id", shared=shared).collect()}
+    values = {i: [(1.0, 5.0)[n % 3] for n in x if n % 3 < 2] for i, x in want.items()}
+    assert got == {i: [pytest.approx(sum(x) / len(x))] for i, x in values.items() if x}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_pool_drops_unknown(spark):
     docs = spark.createDataFrame([(1, "a b zz"), (2, "zz")], "id int, text string")
     vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "word string, vec array<double>")
