@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lexiloom.llm.common import keep_ids
 from lexiloom.llm.components import connected_components
+from lexiloom.operators.joins import spread_join
 from lexiloom.session import cut_lineage
 
 SKETCH = 32  # retained hash values
@@ -92,7 +93,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     square. (4) Lists that still hold several components compare across them. Lists of more
     than CROWD members do so through the rarest values of their members' full sets, where
     the places of a common value bound the overlap exactly: in a crowd of texts that are
-    alike, but not enough, each begins with values of its own and meets no other.
+    alike, but not enough, each begins with values of its own and meets no other. Near copies of
+    one text, which share all but their changes, are compared by their changes against a leader.
     Rounds (3) and (4) estimate similarity on the union of the sketches, and every link is
     confirmed on the full sets.
 
@@ -167,40 +169,99 @@ def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def _across(lists: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of members of one short list that lie in different components, and the
-    members (rep, part) of the longer lists that hold several components."""
+    members (rep, part, leader) of the longer lists that hold several components, with the
+    heaviest leader of a member's lists."""
     placed = lists.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "value", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    mixed = placed.groupBy("value").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("members")).where("p < q")
-    placed = cut_lineage(placed.join(mixed.select("value", "members"), "value"), "across")
+        "value", "rep", "n", "weight", F.coalesce("component", "rep").alias("part"))
+    mixed = placed.groupBy("value").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("members"), F.max(F.struct("weight", "rep")).alias("most")).where("p < q")
+    placed = cut_lineage(placed.drop("weight").join(mixed.select("value", "members", "most"), "value"), "across")
     short = placed.where(F.col("members") <= CROWD)
     left = short.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
     right = short.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     pairs = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _similar_sizes("na", "nb", percent))
-    return pairs.select("a", "b").distinct(), placed.where(F.col("members") > CROWD).select("rep", "part").distinct()
+    crowded = placed.where(F.col("members") > CROWD).groupBy("rep", "part").agg(F.max("most").alias("most"))
+    return pairs.select("a", "b").distinct(), crowded.select("rep", "part", F.col("most.rep").alias("leader"))
 
 
 def _crowded_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components among the members (rep, part), by exact prefix filtering.
+    """Links (a, b) that join the components among the members (rep, part, leader), exact.
 
-    Sets are put in one order, the rarest values first. If the first common value of two linked
-    sets is the i-th of one of n values, n - i + 1 values at least are as many as the overlap needs.
+    Members near one leader are compared by what sets them apart from it (``_group_pairs``), all
+    others by prefix filtering. Sets are put in one order, the rarest values first. If the first common value of two
+    linked sets is the i-th of one of n values, n - i + 1 values at least are as many as the overlap needs.
     """
     members = cut_lineage(members, "crowd")
     sets = shingle_sets(keep_ids(docs, "id", members.select(F.col("rep").alias("id"))), width).withColumnRenamed("id", "rep")
-    sets = cut_lineage(sets.join(members, "rep").select("rep", "part", F.size("shingles").alias("n"), "shingles"), "sets")
-    postings = sets.select("rep", "part", "n", F.explode("shingles").alias("value"))
-    common = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = (
-        postings.join(common, "value", "left").groupBy("rep", "part", "n")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value"))).alias("values")))
+    sets = cut_lineage(sets.join(members, "rep").select("rep", "part", "leader", F.size("shingles").alias("n"), "shingles"), "sets")
+    apart = cut_lineage(_apart(sets, percent), "apart")
+    to_leaders = apart.where(F.col("near") & (F.col("rep") != F.col("leader"))).select(
+        F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
+    grouped = sets.join(apart.select("rep", F.col("leader").alias("group")), "rep", "left")
     front = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int") + 1
-    first = ranked.select("rep", "part", "n", F.posexplode(F.slice("values", F.lit(1), front)).alias("at", "v")).where("v.df > 1")
-    first = cut_lineage(first.select(F.col("v.value").alias("value"), "rep", "part", "n", "at"), "fronts")
-    side = lambda end: first.select("value", F.col("rep").alias(end), F.col("part").alias(f"p{end}"), F.col("n").alias(f"n{end}"), F.col("at").alias(f"i{end}"))
+    first = _fronts(grouped.select("rep", "part", "group", "n", F.col("shingles").alias("values")), [], front)
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent))
-    fits = (F.col("na") - F.col("ia") >= needed) & (F.col("nb") - F.col("ib") >= needed)
-    pairs = side("a").join(side("b"), "value").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits).select("a", "b").distinct()
-    return _linked(pairs, sets.select(F.col("rep").alias("id"), "shingles"), percent)
+    fits = (F.col("na") - F.col("ata") >= needed) & (F.col("nb") - F.col("atb") >= needed)
+    same = F.coalesce(F.col("groupa") == F.col("groupb"), F.lit(False))
+    pairs = _meeting(first, ["value"], fits & ~same).unionByName(_group_pairs(apart, percent)).distinct()
+    return _linked(pairs, sets.select(F.col("rep").alias("id"), "shingles"), percent).unionByName(to_leaders)
+
+
+def _fronts(rows: DataFrame, within: list[str], front: Column) -> DataFrame:
+    """Rows (..., at, value) for the values, among the ``front`` rarest of ``values``, that another
+    row ``within`` the same keys holds too; ``at`` is a value's place, from 0."""
+    others = [c for c in rows.columns if c != "values"]
+    postings = rows.select(*others, F.explode("values").alias("value"))
+    common = postings.groupBy(*within, "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = (
+        postings.join(common, [*within, "value"], "left").groupBy(*others)
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value"))).alias("values")))
+    first = ranked.select(*others, F.posexplode(F.slice("values", F.lit(1), front)).alias("at", "v")).where("v.df > 1")
+    return cut_lineage(first.select(*others, "at", F.col("v.value").alias("value")), "fronts")
+
+
+def _meeting(fronts: DataFrame, on: list[str], fits: Column) -> DataFrame:
+    """Pairs (a, b) of different components that meet in ``on`` and fit; other columns end in a or b."""
+    side = lambda end: fronts.select(*on, F.col("rep").alias(end), *[
+        F.col(c).alias(c + end) for c in fronts.columns if c not in ("rep", *on)])
+    pairs = side("a").join(side("b"), on).where((F.col("a") < F.col("b")) & (F.col("parta") != F.col("partb")) & fits)
+    return pairs.select("a", "b").distinct()
+
+
+def _apart(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, part, leader, size, least, near, values) of the members that differ from their leader in no more values than they hold.
+
+    ``values`` are those that only one of member and leader holds, ``size`` is the leader's, and
+    ``near`` says that the two are linked. Two members of one leader have in common ``size``,
+    less what each lacks, plus the ``values`` they share. So they are linked if and only if
+    2 * (100 + percent) times the number of shared ``values`` is the sum of their ``least`` or more.
+    """
+    leaders = sets.join(sets.select(F.col("leader").alias("rep")).distinct(), "rep").select(
+        F.col("rep").alias("leader"), F.col("n").alias("size"), F.col("shingles").alias("whole"))
+    both = spread_join(sets, leaders, ["leader"], spread_by=["rep"])
+    both = both.select("rep", "part", "leader", "n", "size", F.array_except("shingles", "whole").alias("own"), F.array_except("whole", "shingles").alias("lacked"))
+    lacks = F.size("lacked").cast("bigint")
+    least = F.col("n") * (2 * percent) - F.col("size") * (100 + percent) + lacks * (2 * (100 + percent))
+    return both.where(F.size("own") + F.size("lacked") <= F.col("n")).select(
+        "rep", "part", "leader", "size", least.alias("least"), (least <= F.col("size") * (100 - percent)).alias("near"), F.concat("own", "lacked").alias("values"))
+
+
+def _group_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader that may be linked, by prefix filtering of what sets them apart from it.
+
+    Members near the leader are linked with it, so a pair that joins components has one that is
+    not. ``least`` is over size * (100 - percent) for those and -size * (100 - percent) at least for
+    any, so such a pair shares a value.
+    """
+    unit = 2 * (100 + percent)
+    reach = F.col("size") * (100 - percent)
+    partner = F.when(F.col("near"), reach + 1).otherwise(-reach)
+    shared = F.greatest(F.lit(1), F.ceil((F.col("least") + partner) / F.lit(float(unit)))).cast("int")
+    held = F.size("values")
+    rows = apart.where(held >= shared).select("rep", "part", "leader", "least", "near", held.alias("held"), shared.alias("shared"), "values")
+    first = _fronts(rows, ["leader"], F.col("held") - F.col("shared") + 1)
+    rest = lambda end: (F.col(f"held{end}") - F.col(f"at{end}")) * unit >= F.col("leasta") + F.col("leastb")
+    return _meeting(first, ["leader", "value"], ~(F.col("neara") & F.col("nearb")) & rest("a") & rest("b"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

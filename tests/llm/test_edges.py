@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import zlib
 
 import numpy as np
@@ -71,6 +72,22 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == brute.near_duplicates(texts, 2)
 
 
+def test_near_duplicates_edited_from_one_text(spark, monkeypatch):
+    """Copies of one text with several changes each: all are alike, few are linked, and few pairs are compared in full."""
+    draw, texts = random.Random(5), {}
+    for i in range(240):
+        words = [f"b{j}" for j in range(150)]
+        for at in draw.sample(range(150), 1 + i % 4):
+            words[at] = f"u{i}v{at}"
+        texts[i] = " ".join(words)
+    compared, linked = [], minhash._linked
+    monkeypatch.setattr(minhash, "_linked", lambda pairs, *more: compared.append(pairs.count()) or linked(pairs, *more))
+    got = rows(minhash.near_duplicates(frame(spark, texts), width=5))
+    assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == brute.near_duplicates(texts, 5)
+    assert 20 < sum(r["kept"] for r in got.values()) < 220
+    assert compared[-1] < 2_000, compared
+
+
 def test_warc(spark):
     pages = spark.createDataFrame(
         [(1, "http://a", "same"), (2, None, "same"), (3, "http://é b\r\nX: y", "same"), (4, "u", None), (5, "u", ""), (6, "u", "x" * 3_000_000), (7, "u", "\r\n\r\nWARC/1.1\r\n\r\n"),
