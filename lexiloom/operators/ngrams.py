@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,28 +19,65 @@ def _padded(tokens: Column, n: int) -> Column:
     return F.concat(F.array(*[F.lit(BEGIN)] * (n - 1)), tokens, F.array(F.lit(END)))
 
 
-def _events(df: DataFrame, tokens: Column, n: int, keep: list[str] = ()) -> DataFrame:
-    """(keep, context, next) for every position including the end."""
-    rows = F.transform(
-        F.sequence(F.lit(n), F.size("__p")),
-        lambda i: F.struct(
-            F.array_join(F.slice("__p", i - (n - 1), F.lit(n - 1)), " ").alias("context"), F.get("__p", i - 1).alias("next")
-        ),
-    )
-    return df.select(*keep, _padded(tokens, n).alias("__p")).select(*keep, F.explode(rows).alias("e")).select(*keep, "e.*")
+# Fixed value: tokens whose n-grams are counted at once; a longer row is counted alone.
+COUNTED_AT_ONCE = 1 << 20
+
+
+def _slice_counts(lists: pa.ListArray, n: int) -> pa.RecordBatch:
+    """The distinct n-grams inside the rows of ``lists``, a column a place, and their counts.
+
+    An n-gram is a number with its tokens' codes as digits; numbers about to grow over 63 bits are replaced by their ranks.
+    """
+    coded = lists.flatten().dictionary_encode(null_encoding="encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.flatnonzero(np.arange(len(codes)) + n <= np.repeat(np.cumsum(size), size))
+    base = bound = max(1, len(coded.dictionary))
+    gram = codes[at]
+    for k in range(1, n):
+        if bound * base >= 1 << 63:
+            ranks, gram = np.unique(gram, return_inverse=True)
+            bound = len(ranks)
+        gram, bound = gram * base + codes[at + k], bound * base
+    _, first, counts = np.unique(gram, return_index=True, return_counts=True)
+    places = [coded.dictionary.take(pa.array(codes[at[first] + k])) for k in range(n)]
+    return pa.RecordBatch.from_arrays([*places, pa.array(counts.astype(np.int64))], names=[*(f"g{k}" for k in range(n)), "n"])
+
+
+def _gram_counts(df: DataFrame, padded: Column, n: int) -> DataFrame:
+    """(g0, g1, ..., n): n-grams inside the rows' token arrays, counted in slices of a batch of rows; sums are left to the caller."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            long = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            piece = (np.cumsum(long) - long) // COUNTED_AT_ONCE
+            borders = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(borders, borders[1:]):
+                if i < j:
+                    yield _slice_counts(lists.slice(i, j - i), n)
+
+    return df.select(padded.alias("__p")).mapInArrow(count, ", ".join(f"g{k} string" for k in range(n)) + ", n long")
 
 
 def ngram_model(df: DataFrame, tokens: Column, n: int = 2) -> DataFrame:
     """(context, next, n): counts of each token after the n-1 before it."""
     if n < 2:
         raise ValueError("n must be at least 2")
-    return _events(df, tokens, n).groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+    grams = _gram_counts(df, _padded(tokens, n), n)
+    context = F.concat_ws(" ", *[F.col(f"g{k}") for k in range(n - 1)])
+    return grams.select(context.alias("context"), F.col(f"g{n - 1}").alias("next"), "n").groupBy("context", "next").agg(F.sum("n").alias("n"))
+
+
+def commonest_next(model: DataFrame, k: int = 5) -> DataFrame:
+    """(context, next, n, rank): the k commonest next tokens of every context."""
+    best = Window.partitionBy("context").orderBy(F.desc("n"), "next")
+    return model.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def top_next(model: DataFrame, k: int = 5) -> DataFrame:
     """(context, rank, next, n, p): the k likeliest next tokens of every context."""
-    best = Window.partitionBy("context").orderBy(F.desc("n"), "next")
-    top = model.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = commonest_next(model, k)
     totals = model.groupBy("context").agg(F.sum("n").alias("__t"))
     return top.join(totals, "context").select("context", "rank", "next", "n", (F.col("n") / F.col("__t")).alias("p"))
 
@@ -56,15 +98,8 @@ def _context(tokens: Column, n: int) -> Column:
 
 def blank_model(df: DataFrame, tokens: Column) -> DataFrame:
     """(left, right, middle, n): counts of each token between its two neighbours."""
-    rows = F.transform(
-        F.sequence(F.lit(2), F.size("__p") - 1),
-        lambda i: F.struct(F.get("__p", i - 2).alias("left"), F.get("__p", i).alias("right"), F.get("__p", i - 1).alias("middle")),
-    )
-    padded = F.concat(F.array(F.lit(BEGIN)), tokens, F.array(F.lit(END)))
-    return (
-        df.select(padded.alias("__p")).where(F.size("__p") >= 3).select(F.explode(rows).alias("e")).select("e.*")
-        .groupBy("left", "right", "middle").agg(F.count(F.lit(1)).alias("n"))
-    )
+    grams = _gram_counts(df, F.concat(F.array(F.lit(BEGIN)), tokens, F.array(F.lit(END))), 3)
+    return grams.groupBy(F.col("g0").alias("left"), F.col("g2").alias("right"), F.col("g1").alias("middle")).agg(F.sum("n").alias("n"))
 
 
 def fill_mask(model: DataFrame, k: int = 5) -> DataFrame:

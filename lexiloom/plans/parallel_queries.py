@@ -198,7 +198,7 @@ j AS (SELECT source, target, frequency, CASE WHEN glosses IS NULL THEN 'not_in_r
 
 def dictionary(spark, folder):
     model = L.ngram_model(documents(spark, folder, "text"), T.tokens("text"), 2)
-    top = L.top_next(model, 3)
+    top = L.commonest_next(model, 3)
     return top.groupBy(F.col("context").alias("headword")).agg(F.collect_list("next").alias("glosses"))
 
 

@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 from collections import Counter
@@ -474,3 +475,20 @@ def test_score_divergence_scores_once(spark):
         rows.sort(key=lambda r: (r.chrf, r.id))
         want += [(d, "bleu_high", i + 1, r.id) for i, r in enumerate(rows[:2])]
     assert sorted(got) == sorted(want)
+
+
+def test_ngrams_are_counted_before_they_meet(spark, monkeypatch):
+    """n-grams leave their batch counted, whatever the slices; nulls and empty texts are as before."""
+    texts = ["a b " * 500, None, "", "b", "a b a c", "c " * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want, blanks = collections.Counter(), collections.Counter()
+    for t in texts:
+        if t is not None:
+            p = ["<s>", "<s>", *t.split(), "</s>"]
+            want.update((f"{x} {y}", z) for x, y, z in zip(p, p[1:], p[2:]))
+            blanks.update((x, z, y) for x, y, z in zip(p[1:], p[2:], p[3:]))
+    for at_once in (1 << 20, 7):
+        monkeypatch.setattr(L, "COUNTED_AT_ONCE", at_once)
+        assert {(r.context, r.next): r.n for r in L.ngram_model(df, T.tokens("text"), 3).collect()} == want
+        assert {(r.left, r.right, r.middle): r.n for r in L.blank_model(df, T.tokens("text")).collect()} == blanks
+        assert L._gram_counts(df, T.tokens("text"), 2).count() < 20
