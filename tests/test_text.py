@@ -1,3 +1,4 @@
+import time
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,16 @@ def test_adaptation_refuses_emptied_rows(spark):
     assert [r.text for r in P.adapt_dataset(df, "id", ["\u200d", "।", "x"], policy).orderBy("id").collect()] == ["कख. ks", "y"]
     with pytest.raises(ValueError, match=r"empties 1 rows, such as \[2\]"):
         P.adapt_dataset(df, "id", ["y"])
+
+
+def test_digit_tokens_of_long_words(spark):
+    """A word without a digit costs its length; references go only where there is one."""
+    long = "x" * 150_000
+    texts = [f"{long} a1b c {long}9 d", "Mark Luke 3:16; 17, rest", "time 3 : 4 k", None, "1a-b2 , 7", "no digits here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    start = time.time()
+    got = {r.id: r.c for r in df.select("id", T.clean_transcript("text", T.LATIN_TRANSCRIPT).alias("c")).collect()}
+    assert time.time() - start < 30
+    assert (got[0].text, got[0].dropped) == (f"{long} c d", 2)
+    assert [(got[i].text, got[i].dropped) for i in (1, 2, 4, 5)] == [("rest", 0), ("time k", 2), ("", 3), ("no digits here", 0)]
+    assert got[3].text is None
