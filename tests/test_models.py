@@ -213,13 +213,15 @@ def test_choose_vocab(spark, report, want):
     assert (row.vocab_size, row.reason) == want
 
 
-def test_joint_ids(spark):
+def test_joint_ids(spark, monkeypatch):
     side = lambda ps: spark.createDataFrame([(i, p) for i, p in enumerate(["<pad>", "<unk>", "<s>", "</s>", *ps])], "piece_id int, piece string")
     joint = U.joint_vocab(side(["▁a", "b"]), side(["▁x"]))
     assert [(r.joint_id, r.side, r.piece) for r in joint.where("joint_id > 5").orderBy("joint_id").collect()] == [(6, "a", "▁a"), (7, "a", "b"), (8, "b", "▁x")]
     rows = [(1, "a", [6, 7, 8, 3, 6]), (2, "b", [6, 7]), (3, "b", [8]), (4, "a", [])]
     got = U.decode_ids(spark.createDataFrame(rows, "id int, side string, ids array<int>"), joint, ["id"]).orderBy("id").collect()
     assert [(r.text, r.dropped) for r in got] == [("ab a", 1), ("(empty output)", 2), ("x", 0), ("(empty output)", 0)]
+    monkeypatch.setattr(U, "DECODED_AT_ONCE", 3)
+    assert U.decode_ids(spark.createDataFrame(rows, "id int, side string, ids array<int>").coalesce(1), joint, ["id"]).orderBy("id").collect() == got
     df = spark.createDataFrame([("a2b", [4, 5, 1], [4])], "direction string, source_ids array<int>, target_ids array<int>")
     row = U.bilingual_examples(df, 6, 10).first()
     assert row.src == [4, 6, 7, 1] and row.tgt == [2, 8, 3]
