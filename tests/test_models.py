@@ -494,3 +494,13 @@ def test_ngrams_are_counted_before_they_meet(spark, monkeypatch):
         assert {(r.context, r.next): r.n for r in L.ngram_model(df, T.tokens("text"), 3).collect()} == want
         assert {(r.left, r.right, r.middle): r.n for r in L.blank_model(df, T.tokens("text")).collect()} == blanks
         assert L._gram_counts(df, T.tokens("text"), 2).count() < 20
+
+
+def test_pairs_in_order_read_their_input_once(spark):
+    """Rows of equal counts pair up without the Python step of the others; both routes name the same columns."""
+    rows = [(1, ["a b", "c"], ["x", "y z"]), (2, ["a"], ["x", "y"]), (3, [], []), (4, None, ["x"]), (5, None, None)]
+    pairs = spark.createDataFrame(rows, "id int, a_sentences array<string>, b_sentences array<string>")
+    even = A.align_in_order(pairs, ["id"])
+    assert [tuple(r) for r in even.orderBy("id", "pos").collect()] == [(1, 0, "a b", "x", "1:1", "length_only"), (1, 1, "c", "y z", "1:1", "length_only")]
+    assert even.columns == A.align_sentences(pairs, ["id"], 1.0, 6.8).columns
+    assert "MapInPandas" not in even._jdf.queryExecution().optimizedPlan().toString()
