@@ -21,7 +21,7 @@ SUMMED_ROWS = 1 << 16  # rows of vectors added up in one group
 
 
 def weighted_means(rows: DataFrame, key: str, n_rows: int, kind: str = "double") -> DataFrame:
-    """(key, n, vec): weighted means of vectors by key, from rows (key, n double, vec array<float>) where vec is already
+    """(key, n, vec): weighted means of vectors by key, from rows (key, n double, vec) where vec is already
     multiplied by its weight n.
 
     Keys are dealt by a hash into groups of about SUMMED_ROWS rows, added up by numpy.
@@ -30,23 +30,23 @@ def weighted_means(rows: DataFrame, key: str, n_rows: int, kind: str = "double")
 
     def add(table: pa.Table) -> pa.Table:
         codes = table[key].combine_chunks().dictionary_encode()
-        n, vec = table["n"].to_numpy(), _matrix(table["vec"]).astype(np.float64)
+        n, vec = table["n"].to_numpy(), list_matrix(table["vec"]).astype(np.float64)
         code = codes.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(code, kind="stable")
         starts = np.flatnonzero(np.diff(code[order], prepend=-1))
         sums = np.add.reduceat(n[order], starts)
-        return pa.table({key: codes.dictionary, "n": sums, "vec": _lists((np.add.reduceat(vec[order], starts, axis=0) / sums[:, None]).astype(width))})
+        return pa.table({key: codes.dictionary, "n": sums, "vec": matrix_lists((np.add.reduceat(vec[order], starts, axis=0) / sums[:, None]).astype(width))})
 
     bucket = F.pmod(F.xxhash64(key), F.lit(n_rows // SUMMED_ROWS + 1)).alias("__b")
     return rows.select(key, "n", "vec", bucket).groupBy("__b").applyInArrow(add, f"{key} string, n double, vec array<{kind}>")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def list_matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1 if len(lists) else 0)
 
 
-def _lists(matrix: np.ndarray) -> pa.ListArray:
+def matrix_lists(matrix: np.ndarray) -> pa.ListArray:
     rows, width = matrix.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(matrix).ravel()))
 
@@ -178,7 +178,7 @@ def skip_gram(df: DataFrame, words: Column, dim: int, window: int, min_count: in
                 first = _first_vectors(known["hash"].to_numpy(), dim)
                 second = np.zeros_like(first)
             else:
-                first, second = (np.ascontiguousarray(half) for half in np.hsplit(_matrix(known["vec"]), 2))
+                first, second = (np.ascontiguousarray(half) for half in np.hsplit(list_matrix(known["vec"]), 2))
             ids = rows["ids"].combine_chunks()
             numbers = ids.flatten().to_numpy(zero_copy_only=False)
             text = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy(zero_copy_only=False))
@@ -190,7 +190,7 @@ def skip_gram(df: DataFrame, words: Column, dim: int, window: int, min_count: in
                 train_shard(at, text, first, second, window, [*seeds, known["shard"][0].as_py()], done, share)
             n = np.bincount(at, minlength=size).astype(np.float64)
             both = first if last else np.hstack([first, second])
-            return pa.table({"word": known["word"], "n": n, "vec": _lists(both * n[:, None].astype(np.float32))})
+            return pa.table({"word": known["word"], "n": n, "vec": matrix_lists(both * n[:, None].astype(np.float32))})
 
         passed = lines.groupBy("of").cogroup(known.groupBy("shard")).applyInArrow(train, "word string, n double, vec array<float>")
         passed = cut_lineage(passed, "passed")

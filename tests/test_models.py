@@ -256,6 +256,27 @@ def test_composed_vectors(spark):
     assert got == {"cats": pytest.approx([0.375, 0.625])}
 
 
+def test_composed_in_buckets_of_words(spark, monkeypatch):
+    # n-grams summed two words at a time, asked words in buckets: as computed plainly
+    monkeypatch.setattr(E, "COMPOSED_WORDS", 3)
+    monkeypatch.setattr(E, "WORDS_AT_ONCE", 2)
+    rng = np.random.default_rng(7)
+    known = {w: (rng.normal(size=3), int(rng.integers(1, 9))) for w in ["cat", "cats", "chat", "hat", "that", "héé", "aaaa"]}
+    asked = ["cats", "hats", "aaaaa", "é", "zzzz", "chatty", "tha", "at"]
+    grams = lambda w: {f"<{w}>"[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n)}
+    weight, total = {}, {}
+    for w, (v, n) in known.items():
+        for g in grams(w):
+            weight[g], total[g] = weight.get(g, 0) + n, total.get(g, 0) + n * v
+    want = {w: np.mean([total[g] / weight[g] for g in grams(w) if g in total], axis=0) for w in asked if any(g in total for g in grams(w))}
+    vectors = spark.createDataFrame([(w, v.tolist()) for w, (v, _) in known.items()], "word string, vec array<double>").coalesce(1)
+    counts = spark.createDataFrame([(w, n) for w, (_, n) in known.items()], "token string, n long")
+    out = E.compose_vectors(spark.createDataFrame([(w,) for w in [*asked, "cats"]], "word string"), vectors, counts, 2, 3)
+    got = [(r.word, r.vec) for r in out.collect()]
+    assert len(got) == len(want) and "zzzz" not in want
+    assert dict(got) == {w: pytest.approx(v.tolist()) for w, v in want.items()}
+
+
 def test_vectors_trained_in_shards(spark, monkeypatch):
     from lexiloom.operators import skipgram
 
