@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Ids of at most this many rows may be broadcast: 16 MB of longs.
 BROADCAST_ROWS = 1_000_000
+ROWS_AT_ONCE = 256
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +65,8 @@ def shared_input(folder: str, name: str):
 
 
 def arrow_rows(batches, *columns: str):
-    """Rows of Arrow batches as tuples, one batch in memory at a time."""
+    """Rows of Arrow batches as tuples, ROWS_AT_ONCE of them in memory as Python values."""
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)

@@ -46,25 +46,26 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, nth, held, pending = TaskContext.get().partitionId(), itertools.count(), 0, []
+    numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
     for id_, key, text in arrow_rows(batches, "id", "key", "text"):
+        # a segment keeps its words as numbers, so that only one text's are held as strings
         words = words_of(text)
-        pending.append((id_, key, words))
+        pending.append((id_, key, np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))))
         held += len(text or "")
         if held >= SEGMENT_BYTES or len(pending) >= 50_000:
-            yield _segment(f"{part}-{next(nth)}", pending)
-            held, pending = 0, []
+            yield _segment(f"{part}-{next(nth)}", pending, numbers)
+            held, pending, numbers = 0, [], defaultdict(itertools.count().__next__)
     if pending:
-        yield _segment(f"{part}-{next(nth)}", pending)
+        yield _segment(f"{part}-{next(nth)}", pending, numbers)
 
 
-def _segment(name: str, texts: list) -> pa.RecordBatch:
-    numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
+def _segment(name: str, texts: list, numbers: dict[bytes, int]) -> pa.RecordBatch:
     sizes = np.array([len(words) for _, _, words in texts], dtype=np.int32)
-    stream = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(w for _, _, w in texts)), dtype=np.int32, count=int(sizes.sum()))
+    stream = np.concatenate([w for _, _, w in texts])
     starts = _starts(sizes)
-    position = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(len(stream))
+    position = (np.repeat((starts - np.concatenate(([0], np.cumsum(sizes)[:-1]))).astype(np.int32), sizes) + np.arange(len(stream), dtype=np.int32)).astype(np.int32)
     by_term = np.argsort(stream, kind="stable")
-    postings = position[by_term].astype(np.int32)
+    postings = position[by_term]
     steps = np.diff(postings, prepend=np.int32(0)).astype(np.int32)
     pack = zstandard.ZstdCompressor(level=1).compress
     counts = np.bincount(stream, minlength=len(numbers)).astype(np.int32)

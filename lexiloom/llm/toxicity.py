@@ -296,12 +296,13 @@ def toxicity_score(lexicon: Lexicon, spark, text: Column) -> Column:
     sent = spark.sparkContext.broadcast(lexicon)
     state: dict = {}
 
-    @F.pandas_udf("double")
-    def score(texts):
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         lexicon = sent.value
         if "automaton" not in state:
             state["automaton"] = lexicon.automaton()
-        return texts.map(lambda t: lexicon.score(lexicon.features(t, state["automaton"])))
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array([lexicon.score(lexicon.features(t, state["automaton"])) for (t,) in arrow_rows([batch], "text")], pa.float64())
 
     return score(F.coalesce(text, F.lit("")))
 

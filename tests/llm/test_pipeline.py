@@ -93,3 +93,27 @@ def test_stages_on_odd_rows(spark, name):
     if name != "token_output":
         assert out.columns == docs.columns
     assert STAGES[name](spark, frame(spark, {}), FOLDER).count() == 0
+
+
+def test_stages_read_small_batches(spark, monkeypatch):
+    # whole texts in Python: stages get small Arrow batches, and the session's setting is as before afterwards
+    setting = corpus_pipeline.BATCH_SETTING
+    before, seen = spark.conf.get(setting), []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(setting)))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert seen == [corpus_pipeline.BATCH_ROWS] * 2 and spark.conf.get(setting) == before
+
+
+def test_rows_of_a_batch_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from lexiloom.llm import common
+
+    monkeypatch.setattr(common, "ROWS_AT_ONCE", 3)
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(n)), "b": [str(i) for i in range(n)]}) for n in (0, 3, 7)]
+    assert list(common.arrow_rows(batches, "a", "b")) == [(i, str(i)) for n in (0, 3, 7) for i in range(n)]
