@@ -552,3 +552,29 @@ def test_pairs_in_order_read_their_input_once(spark):
     assert [tuple(r) for r in even.orderBy("id", "pos").collect()] == [(1, 0, "a b", "x", "1:1", "length_only"), (1, 1, "c", "y z", "1:1", "length_only")]
     assert even.columns == A.align_sentences(pairs, ["id"], 1.0, 6.8).columns
     assert "MapInPandas" not in even._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expected_uses_of_many_words_at_once(monkeypatch):
+    # words of several lengths, one beyond the basic plane, one that no pieces spell, in parts of a few places: as by all segmentations
+    monkeypatch.setattr(U, "PLACES_AT_ONCE", 8)
+    scores = {p: math.log(w) for p, w in {"a": 0.2, "b": 0.1, "ab": 0.3, "ba": 0.15, "aba": 0.05, "𐍈": 0.1, "b𐍈": 0.1}.items()}
+    words, counts = ["ab", "ba", "aab", "abab", "b𐍈a", "zz", "aza", "", "a", "abaabab"], np.array([3, 1, 2, 5, 4, 9, 1, 7, 2, 6], float)
+
+    def splits(word):
+        if not word:
+            yield ()
+        for i in range(1, len(word) + 1):
+            if word[:i] in scores:
+                yield from ((word[:i], *rest) for rest in splits(word[i:]))
+
+    want, likelihood = dict.fromkeys(scores, 0.0), 0.0
+    for word, n in zip(words, counts):
+        weights = {s: math.exp(sum(scores[p] for p in s)) for s in splits(word)}
+        if weights and word:
+            likelihood += n * math.log(sum(weights.values()))
+            for s, weight in weights.items():
+                for p in s:
+                    want[p] += n * weight / sum(weights.values())
+    pieces = U._Pieces(scores)
+    used, got = U._expected(words, counts, pieces)
+    assert got == pytest.approx(likelihood) and dict(zip(pieces.pieces, used)) == pytest.approx(want)
