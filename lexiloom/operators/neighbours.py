@@ -15,7 +15,8 @@ from lexiloom.session import cut_lineage
 
 MOST_CELLS = 4096
 SAMPLE_PER_CELL = 64  # vectors that the centroids are fitted on, for each of them
-BLOCK = 4096  # rows of one side in one product of a task
+BLOCK = 4096  # rows of one side in one group of a task
+ROWS_AT_ONCE = 256  # rows of one side in one product, and BLOCK visits in one batch, so that neither grows with the cells
 SLACK = 1e-9  # for bounds on cosines that were rounded
 
 
@@ -61,7 +62,7 @@ class InvertedFile:
         centroids = self.spark.sparkContext.broadcast(self.centroids)
 
         def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in (f.iloc[at : at + BLOCK] for f in frames for at in range(0, len(f), BLOCK)):
+            for pdf in (f.iloc[at : at + ROWS_AT_ONCE] for f in frames for at in range(0, len(f), ROWS_AT_ONCE)):
                 near = np.array(pdf["vec"].tolist()) @ centroids.value.T
                 cell = near.argmax(axis=1)
                 yield pdf.assign(cell=cell.astype("int32"), angle=np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1)))
@@ -106,7 +107,7 @@ class InvertedFile:
 
         def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centroids, radii, sizes = sent.value
-            for pdf in () if not sizes.any() else (f.iloc[at : at + 512] for f in frames for at in range(0, len(f), 512)):
+            for pdf in () if not sizes.any() else (f.iloc[at : at + ROWS_AT_ONCE] for f in frames for at in range(0, len(f), ROWS_AT_ONCE)):
                 near = np.array(pdf["q"].tolist()) @ centroids.T
                 near[:, sizes == 0] = -2.0
                 order = np.argsort(-near, axis=1, kind="stable")
@@ -118,7 +119,8 @@ class InvertedFile:
                     visited = may & ~visited
                 visited[:, sizes == 0] = False
                 at, cell = np.nonzero(visited)
-                yield pd.DataFrame({"cell": cell.astype("int32"), "query": pdf["query"].to_numpy()[at], "q": pdf["q"].to_numpy()[at]})
+                for some in (slice(i, i + BLOCK) for i in range(0, len(at), BLOCK)):
+                    yield pd.DataFrame({"cell": cell[some].astype("int32"), "query": pdf["query"].to_numpy()[at[some]], "q": pdf["q"].to_numpy()[at[some]]})
 
         return asked.mapInPandas(choose, f"cell int, query {qt}, q array<double>")
 
@@ -142,11 +144,14 @@ class InvertedFile:
                 return pd.DataFrame({"query": [], "word": [], "cosine": []})
             block = block.sort_values("id", kind="stable")
             ids, rows = block["id"].to_numpy(), np.array(block["vec"].tolist())
-            # the last bits of a product depend on the sizes of the blocks, and ties must not
-            cosines = np.round(np.array(queries["q"].tolist()) @ rows.T, 12)
-            order = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
-            return pd.DataFrame({
-                "query": np.repeat(queries["query"].to_numpy(), order.shape[1]), "word": ids[order].ravel(), "cosine": np.take_along_axis(cosines, order, axis=1).ravel()})
+            asked, found = queries["query"].to_numpy(), []
+            for some in (slice(i, i + ROWS_AT_ONCE) for i in range(0, len(queries), ROWS_AT_ONCE)):
+                # the last bits of a product depend on the sizes of the blocks, and ties must not
+                cosines = np.round(np.array(queries["q"].iloc[some].tolist()) @ rows.T, 12)
+                order = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
+                found.append(pd.DataFrame({
+                    "query": np.repeat(asked[some], order.shape[1]), "word": ids[order].ravel(), "cosine": np.take_along_axis(cosines, order, axis=1).ravel()}))
+            return pd.concat(found, ignore_index=True)
 
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, f"query {qt}, word {self.id_type}, cosine double")
 

@@ -64,3 +64,16 @@ def test_the_same_index_again(grouped):
     vectors, _ = grouped
     a, b = (neighbours.fit_centroids(v, "word", 12) for v in (vectors, vectors.repartition(7).orderBy(F.desc("word"))))
     assert np.allclose(a, b)
+
+
+def test_certain_in_small_products(spark, monkeypatch):
+    # products of three queries and batches of seven visits give the exhaustive answers
+    monkeypatch.setattr(neighbours, "ROWS_AT_ONCE", 3)
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    data = np.random.default_rng(9).normal(size=(60, 4))
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "word int, vec array<double>")
+    queries = vectors.where("word % 4 = 0").withColumnRenamed("word", "query")
+    found = neighbours.InvertedFile(vectors, "word", cells=5).nearest(queries, 3, probes=1, certain=True)
+    got = {(r["query"], r["rank"]): r["word"] for r in found.collect()}
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    assert got == {(q, k): int(w) for q in range(0, 60, 4) for k, w in enumerate(np.argsort(-(unit @ unit[q]))[:3], 1)}
