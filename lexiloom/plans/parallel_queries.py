@@ -31,15 +31,17 @@ def even_pairs(spark, folder):
     return A.align_in_order(sides(spark, folder), KEY)
 
 
-def constants(spark, folder):
-    single = sides(spark, folder).where((F.size("a_sentences") == 1) & (F.size("b_sentences") == 1))
+def constants(rows):
+    single = rows.where((F.size("a_sentences") == 1) & (F.size("b_sentences") == 1))
     return A.estimate_constants(single, F.length(F.get("a_sentences", F.lit(0))), F.length(F.get("b_sentences", F.lit(0))))
 
 
 def aligned(spark, folder):
-    c = constants(spark, folder).first()
+    # written, as each use of a column of sentences would split the text anew
+    rows = cut_lineage(sides(spark, folder), "sides")
+    c = constants(rows).first()
     usable = c["pairs"] > 1
-    return A.align_sentences(sides(spark, folder), KEY, c["c"] if usable else 1.0, c["s2"] if usable and c["s2"] > 0 else 6.8)
+    return A.align_sentences(rows, KEY, c["c"] if usable else 1.0, c["s2"] if usable and c["s2"] > 0 else 6.8)
 
 
 # ---- the chain from marked-up books in archives to rated verse pairs

@@ -124,6 +124,45 @@ def test_word_alignment_learns_and_improves(spark):
     assert links == {("the", "das"): 2, ("house", "haus"): 1, ("book", "buch"): 2, ("a", "ein"): 1}
 
 
+def test_word_alignment_in_buckets_equals_joins(spark, monkeypatch):
+    rng = random.Random(3)
+    side = lambda letter, n: [f"{letter}{min(rng.randrange(1, 40), rng.randrange(1, 40))}" for _ in range(n)]
+    rows = [(i, side("s", rng.randrange(1, 9)), side("t", rng.randrange(1, 30))) for i in range(120)]
+    rows += [(200, [], ["t1"]), (201, ["s1"], []), (202, None, ["t1"]), (203, ["s1"] * 30, ["t1"] * 30), (204, ["é", "z"], ["\U0001f600", "z"])]
+    df = spark.createDataFrame(rows, "id int, a array<string>, b array<string>")
+    cells = A.alignment_cells(df, ["id"], F.col("a"), F.col("b")).cache()
+    table, likelihood = A.translation_table(cells, ["id"], 3)
+    expected = {(r.source, r.target): r.frequency for r in A.best_links(cells, table, ["id"]).collect()}
+    written, keep = [], A.cut_lineage
+
+    def recorded(frame, name="stage"):
+        written.append((name, keep(frame, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(A, "cut_lineage", recorded)
+    for size, cut, many in ((1 << 21, 1 << 20, False), (2000, 12, True)):
+        written.clear()
+        links, history = A.align_words(df, ["id"], F.col("a"), F.col("b"), 3, size, cut)
+        assert {(r.source, r.target): r.frequency for r in links.collect()} == expected
+        assert history == pytest.approx(likelihood)
+        rounds = [frame for name, frame in written if name == "round"]
+        assert len(rounds) == 3 and (rounds[0].select("bucket").distinct().count() > 1) == many
+        # only word pairs that several buckets have are sent again
+        sent = rounds[0].where("t IS NOT NULL").groupBy("s", "t").count()
+        several = sent.where("count > 1").agg(F.sum("count")).first()[0] or 0
+        assert [r.where("t IS NOT NULL").count() for r in rounds[1:]] == [several] * 2
+    empty = df.where("id = 202")
+    links, history = A.align_words(empty, ["id"], F.col("a"), F.col("b"), 3)
+    assert links.count() == 0 and history == [None, None]
+
+
+def test_turns_are_split_once_for_alignment(spark):
+    from lexiloom.plans import parallel_queries as P
+
+    plan = P.aligned(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "Join" not in plan
+
+
 def test_lexicon(spark):
     pairs = spark.createDataFrame([("a", "x", 5), ("b", "y", 3), ("c", "z", 2), (",", "।", 9), (",", "w", 3), ("d", "q", 1)], "source string, target string, frequency long")
     ref = spark.createDataFrame([("a", ["x"]), ("b", ["n"]), ("h", ["i"])], "headword string, glosses array<string>")
