@@ -7,7 +7,8 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,10 @@ def read_planes(folder: str, name: str) -> Iterator[tuple[int | None, np.ndarray
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # The same for texts of the first 256 characters, which are composed already and have one lower case each.
 LETTERS, NUMBERS, SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+SPACE, LETTER, NUMBER, OTHER = range(4)
+KINDS = np.array([next((k for k, those in enumerate((SPACES, LETTERS, NUMBERS)) if re.match(f"[{those}]", chr(c))), OTHER) for c in range(256)], np.uint8)
+TEXTS_AT_ONCE = 1 << 22  # characters of the texts that are cut at once, of which a longer text has its own
+LONGEST_KEPT = 64  # characters of a word that is remembered
 
 
 def byte_letters() -> dict[int, str]:
@@ -128,19 +132,54 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def word_starts(raw: np.ndarray) -> np.ndarray:
+    """Where words and runs of spaces begin in lower-cased Latin-1 characters that end with two line ends."""
+    kind = KINDS[raw]
+    first = np.ones(len(raw), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    # 's 't 'm 'd 're 've 'll are words where the quote does not follow another mark
+    quote = np.flatnonzero((raw == ord("'")) & first)
+    a, b = raw[quote + 1], raw[quote + 2]
+    short = np.isin(a, list(b"stmd"))
+    long = (np.isin(a, list(b"rv")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+    first[quote[short | long] + 1] = False
+    first[quote[short] + 2] = first[quote[long] + 3] = True
+    return np.flatnonzero(first)
+
+
+class Remembered(dict):
+    """What ``make`` gives for a key. Of ``most`` values and the ``most`` before them those are kept;
+    one of the older that is asked for is new again, so that frequent keys stay."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes, equal to those of the tokenizer file's library.
 
-    Texts of Latin letters are cut into words as the tokenizer does, and the library's model
-    is asked once for each word, of which ``remembered`` at most are kept. Other texts, texts that
-    hold a special token's string, and other kinds of tokenizers go to the library whole.
+    Texts of Latin letters are cut into words as the tokenizer does, many at once, and each distinct word's
+    ids are looked up once; the library's model is asked for new words, of which twice ``remembered`` at most
+    are kept. Other texts, texts that hold a special token's string, and other kinds of tokenizers go to the
+    library whole.
     """
 
     def __init__(self, tokenizer_file: str, remembered: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(tokenizer_file), {}, remembered
+        self.tokenizer, self.known = Tokenizer.from_file(tokenizer_file), Remembered(self._word, remembered)
         kind = json.loads(self.tokenizer.to_str())
         steps = [n["type"] for n in (kind["normalizer"] or {}).get("normalizers", [])]
         cut = ((kind["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
@@ -149,23 +188,68 @@ class WordEncoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_words or not self._latin(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words, known = LATIN_WORDS.findall(text.lower()), self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-            new = set(words)
-        for w in new:
-            spelled = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
-            known[w] = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return self.many([text])[0].tobytes()
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [None] * len(texts)
+        latin = []
+        for i, text in enumerate(texts):
+            if not self.by_words or not self._latin(text) or any(s in text for s in self.special):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            else:
+                latin.append(i)
+        for i, ids in zip(latin, self._by_words([texts[i].lower() for i in latin]), strict=True):
+            out[i] = ids
+        return out
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        raw = np.frombuffer("\n".join([*texts, "\n"]).encode("latin-1"), np.uint8)
+        starts = word_starts(raw)
+        places = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, places, pa.py_buffer(raw)]).dictionary_encode()
+        pieces = list(map(self.known.__getitem__, words.dictionary.to_pylist()))
+        ids, sizes, code = np.frombuffer(b"".join(pieces), "<u4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4, words.indices.to_numpy()
+        n = sizes[code]
+        upto = np.cumsum(n)
+        found = ids[np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[code] - (upto - n), n)]
+        # a run of spaces may hold the line end between two texts and gives no ids
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        cuts = np.concatenate([[0], upto])[np.searchsorted(starts, ends)]
+        return [found[x:y] for x, y in zip([0, *cuts], cuts)]
+
+    def _word(self, word: bytes) -> bytes:
+        if KINDS[word[0]] == SPACE:
+            return b""
+        text = word.decode("latin-1")
+        spelled = text if text.isascii() and text.isprintable() else "".join(map(self.letters.__getitem__, text.encode()))
+        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
 
     @staticmethod
     def _latin(text: str) -> bool:
         return text.isascii() or max(text) <= "ÿ"
 
 
+@lru_cache(maxsize=1)
+def word_encoder(tokenizer_file: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return WordEncoder(tokenizer_file)
+
+
+def _together(rows: Iterable[tuple[int | None, str | None]], characters: int = TEXTS_AT_ONCE) -> Iterator[list[tuple[int | None, str]]]:
+    """Rows in lists of at most so many characters, or of one row."""
+    held, size = [], 0
+    for id_, text in rows:
+        text = text or ""
+        if held and size + len(text) + 1 > characters:
+            yield held
+            held, size = [], 0
+        held.append((id_, text))
+        size += len(text) + 1
+    if held:
+        yield held
+
+
 def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, unit: str = "byte") -> DataFrame:
     """Encode every text and write its ids and ``end_id`` in ascending order of id; returns the manifest.
 
@@ -180,19 +264,19 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, id_col:
 
         from pyspark import TaskContext
 
-        part, end, tokens = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes(), 0
+        part, end, tokens = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4"), 0
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
         rows = arrow_rows(batches, "id", "text")
         first = next(rows, None)
         if first is None:
             return
-        encoder = WordEncoder(tokenizer_file)
+        encoder = word_encoder(tokenizer_file)
         with shared_output(folder, name) as stream:
             writer = PlaneWriter(stream, unit)
-            for id_, text in (r for source in ([first], rows) for r in source):
-                ids = np.frombuffer(encoder(text or "") + end, dtype="<u4")
-                tokens += len(ids)
-                writer.add(id_, ids)
+            for some in _together(r for source in ([first], rows) for r in source):
+                for (id_, _), ids in zip(some, encoder.many([text for _, text in some]), strict=True):
+                    tokens += len(ids) + 1
+                    writer.add(id_, np.append(ids, end))
             writer.close()
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})

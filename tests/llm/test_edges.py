@@ -397,6 +397,35 @@ def test_word_encoder_on_all_latin_characters():
             assert np.frombuffer(encoder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_word_encoder_cuts_many_texts_at_once():
+    rng = random.Random(9)
+    tokenizer, encoder = Tokenizer.from_file(queries.word_tokenizer()), token_files.WordEncoder(queries.word_tokenizer())
+    pieces = ["'", "'", "'s", "'RE", "ve", "ll", "l", "t", "M", "d", " ", "\n", "\x85", "\x1c", "\xa0", "1", "½", "!", "É", "ß", "\x00", "the"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["€ it's", "<|endoftext|>'s", "'", "", "'l", "'r"]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in encoder.many(texts)] == expected
+    assert encoder.many([]) == [] and [ids.tolist() for ids in encoder.many(["€"])] == [tokenizer.encode("€", add_special_tokens=False).ids]
+    together = list(token_files._together(enumerate([*texts, None, "x" * 500]), characters=100))
+    assert [r for some in together for r in some] == list(enumerate([*texts, "", "x" * 500]))
+    assert len(together) > 100 and all(len(some) == 1 or sum(len(t) + 1 for _, t in some) <= 100 for some in together)
+
+
+def test_word_encoder_keeps_frequent_words():
+    encoder, asked = token_files.WordEncoder(queries.word_tokenizer(), remembered=10), []
+    model = encoder.model
+
+    class Counted:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Counted()
+    for i in range(300):
+        encoder(f"the {chr(97 + i % 26)}{chr(97 + i // 26)} with")
+    assert asked.count("the") == asked.count("with") == 1 and len(asked) == 302
+    assert token_files.word_encoder(queries.word_tokenizer()) is token_files.word_encoder(queries.word_tokenizer())
+
+
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 65_536, 65_537, 150_000])
 def test_planes_round_trip(tmp_path, unit, n):
