@@ -121,7 +121,7 @@ WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 LETTERS, NUMBERS, SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 SPACE, LETTER, NUMBER, OTHER = range(4)
 KINDS = np.array([next((k for k, those in enumerate((SPACES, LETTERS, NUMBERS)) if re.match(f"[{those}]", chr(c))), OTHER) for c in range(256)], np.uint8)
-TEXTS_AT_ONCE = 1 << 22  # characters of the texts that are cut at once, of which a longer text has its own
+TEXTS_AT_ONCE = 1 << 21  # characters of the texts that are cut at once, of which a longer text has its own
 LONGEST_KEPT = 64  # characters of a word that is remembered
 
 
@@ -208,7 +208,7 @@ class WordEncoder:
         starts = word_starts(raw)
         places = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, places, pa.py_buffer(raw)]).dictionary_encode()
-        pieces = list(map(self.known.__getitem__, words.dictionary.to_pylist()))
+        pieces = list(map(self.known.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
         ids, sizes, code = np.frombuffer(b"".join(pieces), "<u4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4, words.indices.to_numpy()
         n = sizes[code]
         upto = np.cumsum(n)
@@ -223,11 +223,15 @@ class WordEncoder:
             return b""
         text = word.decode("latin-1")
         spelled = text if text.isascii() and text.isprintable() else "".join(map(self.letters.__getitem__, text.encode()))
-        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     @staticmethod
     def _latin(text: str) -> bool:
-        return text.isascii() or max(text) <= "ÿ"
+        try:
+            return text.isascii() or bool(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
 
 
 @lru_cache(maxsize=1)
