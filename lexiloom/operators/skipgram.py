@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.session import cut_lineage
+from lexiloom.functions.blocks import packed, unpacked
+from lexiloom.session import cut_lineage, drop_shuffles
 
 # Words in a shard, words trained at once and multiplied at once, noise words drawn for them, noise words a pair counts,
 # and the most pairs that one step of a word adds up (more are averaged, so that a very common word stays stable).
@@ -18,6 +19,8 @@ SHARD_WORDS = 1 << 20
 CHUNK, BLOCK, DRAWN, NEGATIVE, MOST_PAIRS = 512, 32, 128, 5, 128
 STEP, LEAST_STEP = 0.025, 1e-4
 SUMMED_ROWS = 1 << 16  # rows of vectors added up in one group
+# Shards that one task trains at most, and their number times the dimensions.
+GROUP_SHARDS, GROUP_WIDTH = 8, 256
 
 
 def weighted_means(rows: DataFrame, key: str, n_rows: int, kind: str = "double") -> DataFrame:
@@ -29,18 +32,25 @@ def weighted_means(rows: DataFrame, key: str, n_rows: int, kind: str = "double")
     width = np.float64 if kind == "double" else np.float32
 
     def add(table: pa.Table) -> pa.Table:
-        codes = table[key].combine_chunks().dictionary_encode()
-        n, vec = table["n"].to_numpy(), list_matrix(table["vec"]).astype(np.float64)
-        code = codes.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(code, kind="stable")
-        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
-        sums = np.add.reduceat(n[order], starts)
-        return pa.table({key: codes.dictionary, "n": sums, "vec": matrix_lists((np.add.reduceat(vec[order], starts, axis=0) / sums[:, None]).astype(width))})
+        return mean_rows(table, key, width)
 
     bucket = F.pmod(F.xxhash64(key), F.lit(n_rows // SUMMED_ROWS + 1)).alias("__b")
     return rows.select(key, "n", "vec", bucket).groupBy("__b").applyInArrow(add, f"{key} string, n double, vec array<{kind}>")
 
 
+def mean_rows(table: pa.Table, key: str, width: type = np.float64) -> pa.Table:
+    """``weighted_means`` of the rows of one table."""
+    codes = table[key].combine_chunks().dictionary_encode()
+    n, vec = table["n"].to_numpy(), list_matrix(table["vec"]).astype(np.float64)
+    if not len(n):
+        return pa.table({key: codes.dictionary, "n": n, "vec": matrix_lists(vec.astype(width))})
+    code = codes.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    sums = np.add.reduceat(n[order], starts)
+    return pa.table({key: codes.dictionary, "n": sums, "vec": matrix_lists((np.add.reduceat(vec[order], starts, axis=0) / sums[:, None]).astype(width))})
+
+
 def list_matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1 if len(lists) else 0)
@@ -122,79 +132,127 @@ def _laid(parts: np.ndarray, block: int) -> np.ndarray:
     return out.reshape(-1, parts.shape[2])
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition is a shard: its texts as numbers of its words, a row per text, and its words, a row each."""
+def _numbered(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """A partition is a group of shards: its texts as numbers of its words, a row per batch and shard, and its words, 10,000 a row.
+
+    ``few`` are the numbers of words that the group alone has fewer than ``min_count`` times.
+    """
     from pyspark import TaskContext
 
-    shard = TaskContext.get().partitionId()
-    held = [batch.column("tokens") for batch in batches if batch.num_rows]
+    group = TaskContext.get().partitionId()
+    held = [(batch.column("shard").to_numpy(), batch.column("tokens")) for batch in batches if batch.num_rows]
     if not held:
         return
-    coded = pa.chunked_array([h.flatten() for h in held], pa.string()).dictionary_encode().unify_dictionaries()
+    coded = pa.chunked_array([lists.flatten() for _, lists in held], pa.string()).dictionary_encode().unify_dictionaries()
     words = coded.chunk(0).dictionary
-    schema = pa.schema([("shard", pa.int32()), ("word", pa.string()), ("id", pa.int32()), ("ids", pa.list_(pa.int32()))])
-    for lists, codes in zip(held, coded.chunks, strict=True):
+    seen = np.zeros(len(words), np.int64)
+    for order, ((shards, lists), codes) in enumerate(zip(held, coded.chunks, strict=True)):
+        ids = codes.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        seen += np.bincount(ids, minlength=len(words))
         # a null list is without words
-        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
-        n = len(lists)
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), codes.indices.cast(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), ids], schema=schema)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        for shard in np.unique(shards):
+            mine = shards == shard
+            of = ids[np.repeat(mine, sizes)] if not mine.all() else ids
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in ((group, pa.int32()), (int(shard), pa.int32()), (order, pa.int32()), (packed(sizes[mine]), pa.binary()), (packed(of), pa.binary()))]
+                + [pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int32()))], schema=NUMBERED)
     for lo in range(0, len(words), 10_000):
         part = words.slice(lo, 10_000)
-        n = len(part)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), part, pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+        few = (lo + np.flatnonzero(seen[lo : lo + 10_000] < min_count)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([group], pa.int32()), pa.nulls(1, pa.int32()), pa.array([lo], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+             pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.ListArray.from_arrays(pa.array([0, len(few)], pa.int32()), pa.array(few))], schema=NUMBERED)
+
+
+NUMBERED = pa.schema([
+    ("of", pa.int32()), ("shard", pa.int32()), ("at", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary()),
+    ("words", pa.list_(pa.string())), ("few", pa.list_(pa.int32()))])
+NUMBERED_ROWS = "of int, shard int, at int, sizes binary, ids binary, words array<string>, few array<int>"
 
 
 def skip_gram(df: DataFrame, words: Column, dim: int, window: int, min_count: int, seed: int, iterations: int, partitions: int) -> DataFrame:
     """(word, vec array<double>) of every word that occurs ``min_count`` times; rarer ones are left out before pairs are made.
 
     Texts are dealt over ``partitions`` shards, or more where a shard would have over SHARD_WORDS words. A shard holds its
-    own words only; after each pass a word's vectors are averaged over shards, by its occurrences. No vocabulary and no
+    own words only; after each pass a word's vectors are averaged over shards, by its occurrences. Where there are many shards
+    a task trains a group of them, each from the same vectors, and adds their vectors up before any moves. Numbers move as
+    packed blocks, and a word is looked up in the whole only if its group has it too seldom. No vocabulary and no
     vector passes the driver. A null text has no words. Equal texts may lie in different shards, so one text that
     repeats makes no crowded shard.
     """
-    texts = cut_lineage(df.select(words.alias("tokens")), "tokens")
+    texts = df.select(words.alias("tokens"))
     counted = cut_lineage(texts.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     shards = max(partitions, -(-total // SHARD_WORDS))
+    together = max(1, min(GROUP_SHARDS, GROUP_WIDTH // dim, shards // partitions))
     order = F.xxhash64("tokens")
-    dealt = texts.repartition(shards).sortWithinPartitions(order)
-    numbered = cut_lineage(dealt.mapInArrow(_numbered, "shard int, word string, id int, ids array<int>"), "shards")
-    lines = numbered.where("ids IS NOT NULL").select(F.col("shard").alias("of"), "ids")
-    kept = counted.where(F.col("n") >= min_count).select("word")
-    placed = numbered.where("word IS NOT NULL").join(kept, "word", "left_semi").select("shard", "id", "word", F.xxhash64("word", F.lit(seed)).alias("hash"))
-    if iterations > 1:
-        placed = cut_lineage(placed, "placed")
+    dealt = texts.repartition(shards).sortWithinPartitions(order).select(F.spark_partition_id().alias("shard"), "tokens")
+    if together > 1:
+        dealt = dealt.coalesce(-(-shards // together))
+    numbered = cut_lineage(dealt.mapInArrow(lambda batches: _numbered(batches, min_count), NUMBERED_ROWS), "shards")
+    drop_shuffles(df.sparkSession)
+    spelled = numbered.where("words IS NOT NULL")
+    n_rows = spelled.agg(F.sum(F.size("words"))).first()[0] or 0
+    rare = counted.where(F.col("n") < min_count).select("word")
+    seldom = spelled.select("of", "at", "words", F.explode("few").alias("id")).select("of", "id", F.get("words", F.col("id") - F.col("at")).alias("word"))
+    dropped = seldom.join(rare, "word", "left_semi").select(F.col("of").alias("__of"), "id", F.lit(None).cast("array<float>").alias("vec"))
     vectors = None
     for i in range(iterations):
         last = i == iterations - 1
-        known = placed.withColumn("vec", F.lit(None).cast("array<float>")) if vectors is None else placed.join(vectors, "word")
-        seeds, done, share = [seed, i], i / iterations, 1 / iterations
+        if vectors is None:
+            known = dropped
+            lines = numbered.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w, F.lit(seed))))
+        else:
+            named = spelled.select("of", "at", F.posexplode("words").alias("k", "word"))
+            known = named.join(vectors, "word").select(F.col("of").alias("__of"), (F.col("at") + F.col("k")).alias("id"), "vec")
+            lines = numbered.withColumn("hashes", F.lit(None).cast("array<long>"))
+        begun, seeds, done, share = vectors is not None, [seed, i], i / iterations, 1 / iterations
 
         def train(rows: pa.Table, known: pa.Table) -> pa.Table:
-            known = known.sort_by("id")
-            size = known.num_rows
-            if known["vec"].null_count == size:
-                first = _first_vectors(known["hash"].to_numpy(), dim)
-                second = np.zeros_like(first)
+            spelled = rows.filter(pc.is_valid(rows["words"])).sort_by("at")
+            words = spelled["words"].combine_chunks().flatten()
+            hashes = spelled["hashes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            named = known["id"].to_numpy()
+            keep = np.zeros(len(words), bool)
+            keep[named] = True
+            if begun:
+                row = np.zeros(len(words), np.int64)
+                row[named] = np.arange(len(named))
+                vec = list_matrix(known["vec"])
             else:
-                first, second = (np.ascontiguousarray(half) for half in np.hsplit(list_matrix(known["vec"]), 2))
-            ids = rows["ids"].combine_chunks()
-            numbers = ids.flatten().to_numpy(zero_copy_only=False)
-            text = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy(zero_copy_only=False))
-            place = np.full(max(int(numbers.max(initial=-1)), int(known["id"].to_numpy().max(initial=-1))) + 1, -1, np.int64)
-            place[known["id"].to_numpy()] = np.arange(size)
-            at = place[numbers]
-            text, at = text[at >= 0], at[at >= 0]
-            if size:
-                train_shard(at, text, first, second, window, [*seeds, known["shard"][0].as_py()], done, share)
-            n = np.bincount(at, minlength=size).astype(np.float64)
-            both = first if last else np.hstack([first, second])
-            return pa.table({"word": known["word"], "n": n, "vec": matrix_lists(both * n[:, None].astype(np.float32))})
-
-        passed = lines.groupBy("of").cogroup(known.groupBy("shard")).applyInArrow(train, "word string, n double, vec array<float>")
-        passed = cut_lineage(passed, "passed")
-        vectors = weighted_means(passed, "word", passed.count(), "double" if last else "float").select("word", "vec")
+                keep = ~keep
+            place = np.cumsum(keep) - 1
+            width = dim if last else 2 * dim
+            n, sums = np.zeros(int(keep.sum())), np.zeros((int(keep.sum()), width), np.float32)
+            blocks = rows.filter(pc.is_valid(rows["shard"])).sort_by([("shard", "ascending"), ("at", "ascending")])
+            whose = blocks["shard"].to_numpy()
+            for shard in np.unique(whose):
+                mine = blocks.filter(pa.array(whose == shard))
+                sizes = np.concatenate([unpacked(b.as_py(), np.int32) for b in mine["sizes"]])
+                ids = np.concatenate([unpacked(b.as_py(), np.int32) for b in mine["ids"]])
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                text, ids = text[keep[ids]], ids[keep[ids]]
+                if not len(ids):
+                    continue
+                # words in the order of the shard, so that its noise words are the same in any group
+                own, begins, at = np.unique(ids, return_index=True, return_inverse=True)
+                order = np.argsort(begins)
+                own, at = own[order], np.argsort(order)[at]
+                if begun:
+                    first, second = (np.ascontiguousarray(half) for half in np.hsplit(vec[row[own]], 2))
+                else:
+                    first = _first_vectors(hashes[own], dim)
+                    second = np.zeros_like(first)
+                train_shard(at, text, first, second, window, [*seeds, int(shard)], done, share)
+                many = np.bincount(at, minlength=len(own)).astype(np.float64)
+                n[place[own]] += many
+                sums[place[own]] += (first if last else np.hstack([first, second])) * many[:, None].astype(np.float32)
+            return pa.table({"word": words.filter(pa.array(keep)), "n": n, "vec": matrix_lists(sums)})
+
+        passed = lines.drop("few").groupBy("of").cogroup(known.groupBy("__of")).applyInArrow(train, "word string, n double, vec array<float>")
+        vectors = weighted_means(passed, "word", n_rows, "double" if last else "float").select("word", "vec")
         if not last:
             vectors = cut_lineage(vectors, "vectors")
+            drop_shuffles(df.sparkSession)
     return vectors

@@ -617,3 +617,31 @@ def test_expected_uses_of_many_words_at_once(monkeypatch):
     pieces = U._Pieces(scores)
     used, got = U._expected(words, counts, pieces)
     assert got == pytest.approx(likelihood) and dict(zip(pieces.pieces, used)) == pytest.approx(want)
+
+
+def test_shards_of_a_task_are_added_up_before_they_move(spark, monkeypatch):
+    """Shards trained in groups give the vectors of shards trained apart; fewer rows move, and none of them is written first."""
+    from lexiloom.operators import skipgram
+
+    rng = np.random.default_rng(8)
+    texts = [(" ".join(f"w{i}" for i in rng.integers(0, 30, 40)),) for _ in range(300)] + [("once w0",), (None,), ("",)]
+    df = spark.createDataFrame(texts, "text string").coalesce(1)
+    monkeypatch.setattr(skipgram, "SHARD_WORDS", 1000)
+    written, moved, keep, means = [], [], skipgram.cut_lineage, skipgram.weighted_means
+    monkeypatch.setattr(skipgram, "cut_lineage", lambda frame, name="stage": (written.append(name), keep(frame, name))[1])
+    monkeypatch.setattr(skipgram, "weighted_means", lambda rows, *rest: (moved.append(rows.count()), means(rows, *rest))[1])
+    got = []
+    for many in (1, 6):
+        monkeypatch.setattr(skipgram, "GROUP_SHARDS", many)
+        got.append({r.word: r.vec for r in E.train_vectors(df, dim=4, iterations=2, partitions=2).collect()})
+    assert set(got[0]) == {f"w{i}" for i in range(30)}
+    assert got[0] == {w: pytest.approx(v, abs=1e-5) for w, v in got[1].items()}
+    assert moved == [13 * 30] * 2 + [3 * 30] * 2 and not {"tokens", "passed"} & set(written)
+
+
+def test_packed_numbers():
+    from lexiloom.functions.blocks import packed, unpacked
+
+    for values in (np.array([], np.int32), np.array([-1, 0, 1 << 40]), np.array([0.5, -np.inf]), np.arange(1000, dtype=np.int32)):
+        back = unpacked(packed(values), values.dtype)
+        assert back.dtype == values.dtype and (back == values).all()
