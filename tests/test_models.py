@@ -670,3 +670,25 @@ def test_ngrams_are_summed_by_task_and_only_asked_ones_move_on(spark, monkeypatc
     rows = {g: (n, v) for b in sums.given() for g, n, v in zip(*(b.column(c).to_pylist() for c in ("gram", "n", "vec")))}
     assert rows == {"<ca": (6.0, [6.0, 18.0]), "cat": (6.0, [6.0, 18.0]), "at>": (4.0, [4.0, 12.0]), "ats": (2.0, [2.0, 6.0]), "ts>": (2.0, [2.0, 6.0])}
     assert list(sums.given()) == []
+
+
+def test_blanks_move_once_and_packed(spark, monkeypatch):
+    """One shuffle of packed trigrams; words with any marks, missing words and counts over four bytes come back whole."""
+    rows = [(["a", "\x01", "c"],), (["a", "\x01", "c"],), (["a", "\x02é", "c"],), (["a", None, "c"],), ([None, "b", "c"],), (None,), ([],)]
+    df = spark.createDataFrame(rows, "w array<string>")
+    counts = Counter()
+    for (w,) in rows:
+        if w is not None:
+            p = ["<s>", *w, "</s>"]
+            counts.update(zip(p, p[2:], p[1:]))
+    out = L.fill_mask(L.blank_model(df, F.col("w")), 2)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange ") == 1
+    for at_once in (L.PACKED_AT_ONCE, 1):
+        monkeypatch.setattr(L, "PACKED_AT_ONCE", at_once)
+        model = L.blank_model(df, F.col("w"))
+        assert {(r.left, r.right, r.middle): r.n for r in model.collect()} == counts
+    top = {(r.left, r.right, r["rank"]): (r.middle, r.n, r.p) for r in out.collect()}
+    assert top["a", "c", 1] == ("\x01", 2, 0.5) and top["a", "c", 2] == (None, 1, 0.25) and ("a", "c", 3) not in top
+    big = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array(["y"]), pa.array(["z"]), pa.array([(1 << 32) + 5])], names=["g0", "g1", "g2", "n"])
+    assert sum(sum(b.column("n").to_pylist()[0]) for b in L._packed_blanks(big, 4)) == (1 << 32) + 5
