@@ -692,3 +692,33 @@ def test_blanks_move_once_and_packed(spark, monkeypatch):
     assert top["a", "c", 1] == ("\x01", 2, 0.5) and top["a", "c", 2] == (None, 1, 0.25) and ("a", "c", 3) not in top
     big = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array(["y"]), pa.array(["z"]), pa.array([(1 << 32) + 5])], names=["g0", "g1", "g2", "n"])
     assert sum(sum(b.column("n").to_pylist()[0]) for b in L._packed_blanks(big, 4)) == (1 << 32) + 5
+
+
+def test_all_seeds_are_trained(spark, monkeypatch):
+    """However many seeds there are, all take part; in tables they give the vocabulary they give on the driver."""
+    rng = random.Random(4)
+    syllables = ["ka", "lo", "mi", "tur", "pe"]
+    words = Counter("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 6))) for _ in range(900))
+    vocab = spark.createDataFrame(list(words.items()), "token string, n long")
+    plain, likelihood = U.train_unigram(vocab, 300, rounds=2, shrink=0.5)
+    want = {r.piece: r.score for r in plain.collect()}
+    seen, wide = [], U.wide_round
+    monkeypatch.setattr(U, "wide_round", lambda words, held, pieces, letters: (seen.append(pieces.count()), wide(words, held, pieces, letters))[1])
+    monkeypatch.setattr(U, "BUCKET_WORDS", 100)
+    for shared in (200, 0):
+        seen.clear()
+        monkeypatch.setattr(U, "SHARED_PIECES", shared)
+        pieces, history = U.train_unigram(vocab, 300, rounds=2, shrink=0.5)
+        assert {r.piece: r.score for r in pieces.collect()} == pytest.approx(want) and history == pytest.approx(likelihood)
+        chars = U.kept_characters(U.marked_words(vocab)).count()
+        assert seen[0] == U.seed_substrings(U.marked_words(vocab)).count() + chars > 200
+        assert len(seen) == len(history) if shared == 0 else len(seen) < len(history)
+
+
+def test_query_keeps_all_seeds(spark, monkeypatch):
+    from lexiloom.plans import example_queries as X
+
+    asked = {}
+    monkeypatch.setattr(X.U, "train_unigram", lambda vocab, size, **given: asked.update(given, size=size))
+    X.trained(spark, "/root/testdata/sf0.001")
+    assert asked["size"] == 2000 and not {"seed_size", "max_chars"} & set(asked)
