@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.blocks import packed, unpacked
-from lexiloom.session import cut_lineage, drop_shuffles
+from lexiloom.session import cut_lineage, drop_shuffles, drop_table
 
 # Words in a shard, words trained at once and multiplied at once, noise words drawn for them, noise words a pair counts,
 # and the most pairs that one step of a word adds up (more are averaged, so that a very common word stays stable).
@@ -181,7 +181,7 @@ def skip_gram(df: DataFrame, words: Column, dim: int, window: int, min_count: in
     vector passes the driver. A null text has no words. Equal texts may lie in different shards, so one text that
     repeats makes no crowded shard.
     """
-    texts = df.select(words.alias("tokens"))
+    texts = cut_lineage(df.select(words.alias("tokens")), "tokens")
     counted = cut_lineage(texts.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     shards = max(partitions, -(-total // SHARD_WORDS))
@@ -191,6 +191,7 @@ def skip_gram(df: DataFrame, words: Column, dim: int, window: int, min_count: in
     if together > 1:
         dealt = dealt.coalesce(-(-shards // together))
     numbered = cut_lineage(dealt.mapInArrow(lambda batches: _numbered(batches, min_count), NUMBERED_ROWS), "shards")
+    drop_table(texts)
     drop_shuffles(df.sparkSession)
     spelled = numbered.where("words IS NOT NULL")
     n_rows = spelled.agg(F.sum(F.size("words"))).first()[0] or 0

@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 from collections import Counter
 
@@ -629,7 +630,7 @@ def test_shards_of_a_task_are_added_up_before_they_move(spark, monkeypatch):
     df = spark.createDataFrame(texts, "text string").coalesce(1)
     monkeypatch.setattr(skipgram, "SHARD_WORDS", 1000)
     written, moved, keep, means = [], [], skipgram.cut_lineage, skipgram.weighted_means
-    monkeypatch.setattr(skipgram, "cut_lineage", lambda frame, name="stage": (written.append(name), keep(frame, name))[1])
+    monkeypatch.setattr(skipgram, "cut_lineage", lambda frame, name="stage": (written.append((name, keep(frame, name))), written[-1][1])[1])
     monkeypatch.setattr(skipgram, "weighted_means", lambda rows, *rest: (moved.append(rows.count()), means(rows, *rest))[1])
     got = []
     for many in (1, 6):
@@ -637,7 +638,9 @@ def test_shards_of_a_task_are_added_up_before_they_move(spark, monkeypatch):
         got.append({r.word: r.vec for r in E.train_vectors(df, dim=4, iterations=2, partitions=2).collect()})
     assert set(got[0]) == {f"w{i}" for i in range(30)}
     assert got[0] == {w: pytest.approx(v, abs=1e-5) for w, v in got[1].items()}
-    assert moved == [13 * 30] * 2 + [3 * 30] * 2 and not {"tokens", "passed"} & set(written)
+    assert moved == [13 * 30] * 2 + [3 * 30] * 2 and "passed" not in {name for name, _ in written}
+    # tokens are gone once they are numbered
+    assert not any(os.path.exists(f.removeprefix("file://")) for name, frame in written if name == "tokens" for f in frame.inputFiles())
 
 
 def test_packed_numbers():
